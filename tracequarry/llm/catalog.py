@@ -7,6 +7,8 @@ import importlib
 #: Module and function of each query.
 _QUERIES = {
     "op1_tiff": "tiff",
+    "op2_best_two_fit": "packing",
+    "op3_mix": "mixing",
 }
 
 
