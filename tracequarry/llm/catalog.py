@@ -9,6 +9,9 @@ _QUERIES = {
     "op1_tiff": "tiff",
     "op2_best_two_fit": "packing",
     "op3_mix": "mixing",
+    "op5_novelty": "secrets",
+    "op8_licenses": "licenses",
+    "op9_boosted": "quality",
 }
 
 
