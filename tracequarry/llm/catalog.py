@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_novelty": "secrets",
     "op8_licenses": "licenses",
     "op9_boosted": "quality",
+    "op10_url_models": "urls",
 }
 
 
