@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_tiff": "tiff",
     "op2_best_two_fit": "packing",
     "op3_mix": "mixing",
+    "op4_global_orders": "jaccard",
     "op5_novelty": "secrets",
     "op8_licenses": "licenses",
     "op9_boosted": "quality",
