@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_mix": "mixing",
     "op4_global_orders": "jaccard",
     "op5_novelty": "secrets",
+    "op6_difference_cover": "substrings",
     "op8_licenses": "licenses",
     "op9_boosted": "quality",
     "op10_url_models": "urls",
