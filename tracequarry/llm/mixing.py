@@ -159,7 +159,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     for r in plan.where("source_size > 0").orderBy("src").collect():
         blocks = -(-r["source_size"] // block)
         recipe.append((r["src"], min(most * blocks, round(r["target"] / r["source_size"] * blocks)), blocks))
-    parts = slots(docs.sparkSession, recipe, seed=seed).join(pieces, ["src", "block"])
+    # both sides grow with the documents; Spark cannot size the slots, so the join is named
+    parts = slots(docs.sparkSession, recipe, seed=seed).hint("merge").join(pieces, ["src", "block"])
     return rows.drop("cell"), parts
 
 
