@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_global_orders": "jaccard",
     "op5_novelty": "secrets",
     "op6_difference_cover": "substrings",
+    "op7_simhash_lines": "lines",
     "op8_licenses": "licenses",
     "op9_boosted": "quality",
     "op10_url_models": "urls",
