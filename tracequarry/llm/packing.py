@@ -7,8 +7,11 @@ that fill a sequence by themselves pass through.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +29,113 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class WordTokens:
+#: Words that a worker keeps between tasks, and words tokenized by one call.
+CACHE_WORDS, CALL_WORDS = 1_500_000, 20_000
+
+
+class WordTokens(dict):
     """Token ids of texts, word by word.
 
-    The tokenizer drops white space and never joins text across it, so a text's ids are the ids of its
-    parts between blanks and line ends, which are kept for the words seen before.
+    The tokenizer lowers case, drops white space, never joins text across it and parts letters from marks. A text's
+    ids are thus the ids of its parts between blanks and line ends, and a comma or full stop that ends a part after
+    a letter is apart again; each part's ids are kept. Texts that hold "<|" may spell special tokens and keep their case.
     """
 
     def __init__(self, file: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.clear()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.reset()
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def learn(self) -> None:
+        """Find the ids of the new words: those of the word without its mark, then the mark's."""
+        for lo in range(0, len(self.new), CALL_WORDS):
+            words = self.new[lo : lo + CALL_WORDS]
+            marks = [w[-1:] if _END.search(w) else b"" for w in words]
+            bare = [w[:-1] if m else w for w, m in zip(words, marks, strict=True)]
+            known = len(self.sizes)
+            places = {w: i for i, w in enumerate(dict.fromkeys([b".", b",", *(w for w in bare if self.get(w, known) >= known)]))}
+            ids, sizes = self._tokenize([w.decode() for w in places])
+            starts = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, ids])
+            at = [self[w] if w not in places else -1 - places[w] for w in bare]
+            own = np.array(at, np.int64)
+            fresh = own < 0
+            start, size = np.where(fresh, starts[np.where(fresh, -1 - own, 0)], 0), np.where(fresh, sizes[np.where(fresh, -1 - own, 0)], 0)
+            if not fresh.all():
+                start[~fresh], size[~fresh] = self.starts[own[~fresh]], self.sizes[own[~fresh]]
+            if marked := [i for i, m in enumerate(marks) if m]:
+                tail = [ids[starts[places[marks[i]]] - len(self.ids) + len(ids) :][: sizes[places[marks[i]]]] for i in marked]
+                parts = [np.concatenate([self.ids[start[i] : start[i] + size[i]], t]) for i, t in zip(marked, tail, strict=True)]
+                more = np.array([len(x) for x in parts], np.int64)
+                start[marked], size[marked] = len(self.ids) + np.cumsum(more) - more, more
+                self.ids = np.concatenate([self.ids, *parts])
+            self.starts, self.sizes = np.concatenate([self.starts, start]), np.concatenate([self.sizes, size])
+        self.new = []
+
+    def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another and their counts, many by one call: a word of letters alone has one token that ends words, its last."""
+        plain = np.fromiter(map(str.isalpha, words), bool, count=len(words))
+        letters = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        ids = self._flat([" ".join(letters[k : k + 500]) for k in range(0, len(letters), 500)])
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(letters) or len(ids) and ends[-1] != len(ids) - 1:  # a word that its lower case parts
+            plain[:] = False
+            ids, ends = np.empty(0, np.uint32), np.empty(0, np.int64)
+        rest = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
+        other = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes = np.empty(len(words), np.int64)
+        sizes[plain] = np.diff(np.r_[-1, ends])
+        sizes[~plain] = [len(x) for x in other]
+        out = np.empty(int(sizes.sum()), np.uint32)
+        mine = np.repeat(plain, sizes)
+        out[mine] = ids
+        out[~mine] = np.fromiter(chain.from_iterable(other), np.uint32)
+        return out, sizes
+
+    def _flat(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's count."""
-        if len(self.place) > common.CACHE_WORDS:
-            self.clear()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws} - self.place.keys())
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in got], np.int64)
-            self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-        many = np.array([len(ws) for ws in words], np.int64)
-        at = np.fromiter((p for ws in words for p in map(self.place.__getitem__, ws)), np.int64, count=int(many.sum()))
+        if len(self) > CACHE_WORDS:
+            self.reset()
+        flat: list[bytes] = []
+        many = np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = (text if b"<|" in text else text.lower()).replace(b"\n", b" ").split(b" ")
+            many[i] = len(own)
+            flat += own
+        at = np.fromiter(map(self.__getitem__, flat), np.int64, count=len(flat))
+        if self.new:
+            self.learn()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(many)]]
-        return ids, np.diff(bounds)
+        return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(many)]])
+
+
+_END = re.compile(rb"[a-z][.,]\Z")
+_KEPT: dict[str, WordTokens] = {}
 
 
 def token_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, file: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -79,10 +152,12 @@ def token_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
 
     def start():
-        tokens = WordTokens(file)
+        if file not in _KEPT:
+            _KEPT[file] = WordTokens(file)
+        tokens = _KEPT[file]
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids, counts = tokens.encode([t or "" for t in batch.column(len(keep)).to_pylist()])
+            ids, counts = tokens.encode(common.texts(batch.column(len(keep))))
             of, rows, parts, at = [], [], [], 0
             for i, n in enumerate(counts.tolist()):
                 own = np.append(ids[at : at + n], np.uint32(END_ID)).astype("<u4")
