@@ -49,6 +49,23 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_names(df: DataFrame, keep: tuple[str, ...], own: list[str]) -> tuple[list[str], str]:
+    """Output names of kept columns and their part of a schema. A name that an operator's own column bears gets ``_in``."""
+    taken, names = {x.lower() for x in own}, []
+    for c in keep:
+        while c.lower() in taken:
+            c += "_in"
+        taken.add(c.lower())
+        names.append(c)
+    kinds = [df.select(F.col(f"`{c}`")).schema[0].dataType.simpleString() for c in keep]
+    return names, "".join(f"`{c}` {k}, " for c, k in zip(names, kinds, strict=True))
+
+
+def fields(schema: str) -> list[str]:
+    """Names of a flat schema in text."""
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

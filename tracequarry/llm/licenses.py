@@ -182,7 +182,8 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     A null or empty text has no words, empty labels and score 0. Repeated rows give repeated results.
     """
     common.small_batches(df.sparkSession)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
+    own_names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+    kept, head = common.kept_names(df, keep, own_names)
     span = pa.list_(pa.struct([("label", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span]
 
@@ -199,7 +200,7 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                 spans = [dict(zip(("label", "coverage", "start", "end"), s, strict=True)) for s in sorted(spans, key=lambda s: (s[2], s[3], s[0])) if s[1] >= scan.covered]
                 rows.append((len(ids), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(full)), max((s["coverage"] for s in spans), default=0.0), spans))
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*keep, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*kept, *own_names])
 
         return step
 

@@ -149,7 +149,7 @@ def token_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
         file = public_tokenizers.path(TOKENIZER)
     common.small_batches(docs.sparkSession)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    kept, head = common.kept_names(docs, keep, [*common.fields(PIECES), "ids"])
 
     def start():
         if file not in _KEPT:
@@ -170,7 +170,7 @@ def token_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                         parts.append(part)
             columns = [batch.column(k).take(pa.array(of, pa.int32())) for k in range(len(keep))]
             columns += [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            names = [*keep, "piece", "start", "length", "ids_crc32"]
+            names = [*kept, "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 columns.append(common.list_of(parts, pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)

@@ -149,7 +149,7 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 def document_stats(df: DataFrame, text: str, keep: tuple[str, ...], model: Trees | None = None) -> DataFrame:
     """The kept columns, the five counts, the features as an array, and the model's probability (null without one)."""
     common.small_batches(df.sparkSession)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
+    kept, head = common.kept_names(df, keep, [*common.fields(STATS), "features", "quality", "base_failed", "kept"])
 
     def start():
         hashes, weights = common.WordHashes(), common.odd_weights(3)
@@ -159,7 +159,7 @@ def document_stats(df: DataFrame, text: str, keep: tuple[str, ...], model: Trees
             x = np.array([f for _, f in got], np.float64)
             columns = [pa.array(c, pa.int64()) for c in zip(*(s for s, _ in got), strict=True)]
             p = pa.nulls(len(got), pa.float64()) if model is None else pa.array(model.probability(x))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns, common.list_of(list(x), pa.float64()), p], names=[*keep, *[c.split()[0] for c in STATS.split(", ")], "features", "quality"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns, common.list_of(list(x), pa.float64()), p], names=[*kept, *common.fields(STATS), "features", "quality"])
 
         return step
 
@@ -181,17 +181,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
     return fit(np.stack(got["features"].to_numpy()), got["good"].to_numpy().astype(float), list(FEATURES.values()))
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """Counts, base_failed, quality and kept of each document.
+def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = KEEP, sample: int = SAMPLE, text: str = "text") -> DataFrame:
+    """Counts, base_failed, quality and kept of each document, with the columns in keep.
 
     A null text has no words, so it fails. Without labels there is no model and the base rules decide.
     Repeated rows give repeated results.
     """
-    rows = document_stats(docs, "text", keep, train(docs, labels, sample))
+    rows = document_stats(docs, text, keep, train(docs, labels, sample))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("quality") >= threshold, F.lit(True))).drop("features")
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns."""
+    judged = judge(docs, labels, tuple(docs.columns))
+    names = judged.columns[: len(docs.columns)]
+    return judged.where("kept").select(*[F.col(f"`{a}`").alias(c) for a, c in zip(names, docs.columns, strict=True)])
+
+
 def op9_boosted(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -100,7 +100,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     Whole texts are scanned; a null or empty text has no spans. Repeated rows give repeated results.
     """
     common.small_batches(df.sparkSession)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
+    kept, head = common.kept_names(df, keep, ["secrets"])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def start():
@@ -108,7 +108,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             found = [[dict(zip(("start", "end", "kind"), s, strict=True)) for s in scan.spans(t or "")] for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(found, kind)], names=[*keep, "secrets"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(found, kind)], names=[*kept, "secrets"])
 
         return step
 

@@ -280,12 +280,9 @@ def tiff_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (),
     Pages come from one value in one task, so there is no shuffle.
     """
     common.small_batches(df.sparkSession)
-    kept = df.select(*[F.col(c) for c in keep])
-    if clash := {x.split()[0] for x in PAGE_SCHEMA.split(", ")} & set(keep):
-        raise ValueError(f"rename before: {sorted(clash)}")
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    schema = ", ".join(x for x in (head, PAGE_SCHEMA, "pixels binary" * pixels) if x)
-    names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")] + ["pixels"] * pixels
+    names = common.fields(PAGE_SCHEMA) + ["pixels"] * pixels
+    kept, head = common.kept_names(df, keep, names)
+    schema = head + PAGE_SCHEMA + ", pixels binary" * pixels
     kinds = dict(zip(names, [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()], strict=False))
 
     def start():
@@ -301,7 +298,7 @@ def tiff_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (),
                     rows.append(page)
                     of.append(i)
             own = [batch.column(k).take(pa.array(of, pa.int32())) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(own + [pa.array([r.get(n) for r in rows], kinds[n]) for n in names], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays(own + [pa.array([r.get(n) for r in rows], kinds[n]) for n in names], names=[*kept, *names])
 
         return step
 
@@ -326,14 +323,14 @@ def store_text(text: bytes) -> bytes:
 def text_to_tiff(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each whole text as a TIFF in column media, with n_bytes, media_bytes and media_sha256; null is empty."""
     common.small_batches(df.sparkSession)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
+    kept, head = common.kept_names(df, keep, ["n_bytes", "media_bytes", "media_sha256", "media"])
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             raw = common.texts(batch.column(len(keep)))
             media = [store_text(x) for x in raw]
             columns = [pa.array(map(len, raw), pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()), pa.array(media, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + columns, names=[*keep, "n_bytes", "media_bytes", "media_sha256", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + columns, names=[*kept, "n_bytes", "media_bytes", "media_sha256", "media"])
 
         return step
 

@@ -84,7 +84,8 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     left = scores.where("decided is null").select("host", "path", "score")
     out = rows.join(left, ["host", "path"], "left").withColumn("threshold", cut)
     method = F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), F.when(F.col("decided").isNull(), F.col("score")).alias("score"), "threshold")
+    names, _ = common.kept_names(pages, keep, ["host", "path", "rule", "verdict", "score", "threshold"])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), F.when(F.col("decided").isNull(), F.col("score")).alias("score"), "threshold")
 
 
 def threshold(scores: DataFrame, steps: int = 200) -> DataFrame:
