@@ -14,8 +14,9 @@ BUDGET = 2.0
 
 def valid(pattern: str) -> bool:
     """Whether Java, and so Spark, accepts the pattern; without a JVM Python's reading stands in."""
-    from pyspark import SparkContext
     from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import PySparkException
 
     sc = SparkContext._active_spark_context
     if sc is None:
@@ -26,7 +27,7 @@ def valid(pattern: str) -> bool:
         return True
     try:
         sc._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

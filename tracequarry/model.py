@@ -31,11 +31,12 @@ ALIASES = {
 #: Values that level words stand for.
 LEVELS = {"critical": ("1",), "error": ("2",), "warning": ("3",), "information": ("4", "0"), "info": ("4", "0"), "verbose": ("5",), "4": ("4", "0")}
 
-EVENTS = T.StructType.fromDDL(
-    "id bigint, ts_ft bigint, ts timestamp, written_ft bigint, event_date date, source_id int, source string, chunk int, off int, record_id bigint, event_id int, qualifiers int,"
-    "version smallint, level smallint, task int, opcode smallint, keywords bigint, provider string, channel string, computer string, user_sid string, pid bigint, tid bigint, flags int,"
-    "fields array<struct<name: string, value: string, type: smallint>>, f map<string, array<string>>"
-)
+#: Columns of the stored events, in order, with their types.
+EVENTS = {
+    "id": "bigint", "ts_ft": "bigint", "ts": "timestamp", "written_ft": "bigint", "event_date": "date", "source_id": "int", "source": "string", "chunk": "int", "off": "int", "record_id": "bigint", "event_id": "int", "qualifiers": "int",
+    "version": "smallint", "level": "smallint", "task": "int", "opcode": "smallint", "keywords": "bigint", "provider": "string", "channel": "string", "computer": "string", "user_sid": "string", "pid": "bigint", "tid": "bigint", "flags": "int",
+    "fields": "array<struct<name: string, value: string, type: smallint>>", "f": "map<string, array<string>>",
+}
 
 
 def flag_names(flags: Column) -> Column:

@@ -116,10 +116,14 @@ def drill_down(events: EventSet, result: Result, values: dict[str, str]) -> Data
     out = result.filtered
     for name, value in values.items():
         key = key_of(events, name, "a group")
-        out = out.where(~key.present if value == MISSING else key.any(lambda v, x=value: v == x))
+        out = out.where(~key.present if value == MISSING else key.any(equal_to(value)))
     return out
 
 
+def equal_to(value: str):
+    return lambda v: v == value
+
+
 def drill_text(query: str | ast.Query, values: dict[str, str]) -> str:
     """The query without its grouping, with a condition for each value of the group that is not missing."""
     q = parse(query) if isinstance(query, str) else query

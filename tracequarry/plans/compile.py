@@ -248,7 +248,7 @@ class Compiler:
             return self.two(F.col(f"`{key.native}`").isin([int(v) for v in values]))
         lowered = [F.lower(F.lit(v)) for v in values]
         if key.many:
-            return F.coalesce(F.arrays_overlap(F.transform(F.filter(key.text, lambda v: v.isNotNull()), F.lower), F.array(*lowered)), F.lit(False))
+            return F.coalesce(F.arrays_overlap(F.transform(F.filter(key.text, lambda v: v.isNotNull()), lambda v: F.lower(v)), F.array(*lowered)), F.lit(False))
         return F.coalesce(F.lower(key.text).isin(*lowered), F.lit(False))
 
     def between(self, name: str, a: str, b: str) -> Column:

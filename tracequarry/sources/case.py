@@ -41,9 +41,9 @@ class Case:
     def events(self) -> EventSet:
         """Events with their fields, annotations and detections, as far as they are there."""
         df = self.table("events")
-        for f in EVENTS:  # an older case may lack a column
-            if f.name not in df.columns:
-                df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+        for name, kind in EVENTS.items():  # an older case may lack a column
+            if name not in df.columns:
+                df = df.withColumn(name, F.lit(None).cast(kind))
         rows = self.table("field_catalog").select("name", "max_mult").collect()  # one row per field name
         out = EventSet.from_events(df, [r["name"] for r in rows], frozenset(r["name"] for r in rows if r["max_mult"] == 1))
         marks = self.annotations()

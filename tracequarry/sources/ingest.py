@@ -185,7 +185,7 @@ def _build(spark: SparkSession, inputs: list[str], case: str, options: Options)
     first, copies = merge_copies(events, options.merge_copies)
     dense = numbered(first, list(ORDER))
     dense = dense.withColumn("ts", timestamp(F.col("ts_ft"))).withColumn("event_date", F.to_date("ts"))
-    keep = [f.name for f in EVENTS]
+    keep = list(EVENTS)
     dense.select(*keep).sortWithinPartitions("event_date", "id").write.partitionBy("event_date").parquet(f"{case}/events")
     stored = spark.read.parquet(f"{case}/events")
     same = ["ts_ft", "record_id", "event_id"]
