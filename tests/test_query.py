@@ -182,6 +182,11 @@ def test_sort_group_limit(events):
     assert engine.drill_text("a exists | group by a, b", {"a": "x y", "b": engine.MISSING}) == 'a exists and a = "x y"'
 
 
+def test_guarded_patterns(events):
+    r = engine.run(events, 'a matches "^x|[0-9]{2}"', regex_budget=2.0)
+    assert [x["id"] for x in r.events.collect()] == [x["id"] for x in engine.run(events, 'a matches "^x|[0-9]{2}"').events.collect()] and r.out_of_time() == 0
+
+
 def test_times():
     assert parse_time("2024-01-02") == parse_time("2024-01-02T00:00:00.0000000Z") and parse_time("2024-01-02 03:00", "UTC+03:00") == parse_time("2024-01-02Z") and parse_time("2024-07-01 12:00", "Europe/Berlin") == parse_time("2024-07-01 10:00Z")
     assert iso(parse_time("2024-01-02 03:04:05.1234567")) == "2024-01-02T03:04:05.1234567Z" and parse_time("1601-01-01") == 0 and iso(0) == "1601-01-01T00:00:00.0000000Z"

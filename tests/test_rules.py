@@ -107,12 +107,37 @@ def test_run(spark):
     s = {r["title"]: r for r in run.summary().collect()}
     assert s["r0"]["hits"] == len(cmd) and s["r0"]["hosts"] == len({i % 3 for i in cmd}) and s["r0"]["first_ft"] == min(cmd) and s["r3"]["state"] == "unsupported" and list(s["r2"]["absent"]) == ["Gone"]
     assert run.hit_events().first()["n"] == len(set().union(*hits.values())) and {r["level"]: r["rules"] for r in run.by_level().collect()} == {"high": 2, "low": 1}
+    from tracequarry.operators.verify import verify
+
+    own = rules.RuleSet(tuple(map(rules.parse_rule, texts)) + (rules.parse_rule("title: ["),))
+    assert verify(e, own, run).count() == 0
+    wrong = detections.Run(run.rules, run.hits.where(f"not (rule = 0 and id = {min(cmd)})").union(spark.createDataFrame([(1, 79, "x", 1)] if 79 not in hits[1] else [(4, min(set(range(80)) - cmd), "x", 1)], "rule int, id bigint, computer string, ts_ft bigint")), run.meta)
+    assert sorted(r["problem"] for r in verify(e, own, wrong).collect()) == ["extra", "missing"]
     one = next(iter(hits[0] & hits[4]))
     assert [r["title"] for r in run.rules_of_event(one).collect()][:2] == ["r0", "sysmon"] and run.listed("problems").count() == 2 and run.listed("evaluated", "medium").count() == 3 and run.listed("hits", text="SYS").count() == 1
     q = lambda t: {r["id"] for r in engine.run(detections.attach(e, run), t).events.collect()}
     assert q("rule = r0") == cmd and q("rule contains sys") == hits[4] and q("rulelevel < medium") == hits[1] and q("rule not in (r0, r1, sysmon)") == set(range(80)) - cmd - hits[1] and q("rule exists") == cmd | hits[1] and q("rule = 1") == hits[1]
 
 
+def test_second_evaluator(spark):
+    """Each modifier by both evaluators over random events."""
+    rng = random.Random(6)
+    images = ["c:\\cmd.exe", "C:\\CMD.EXE", "a -f x", "a /f x", "a –f x", "Zm9vYmFy", "10.1.2.3", "fe80::1", "17", "0x20", "x*y", "", None]
+    rows = [(k, 1, {"Image": rng.choice(images), "CommandLine": rng.choice(images)}, "H") for k in range(150)]
+    e = make(spark, rows, ["Image", "CommandLine"], "Microsoft-Windows-Sysmon/Operational")
+    items = ["Image: '*cmd*'", "Image|contains: MD.", "Image|cased|contains: MD.", "Image|windash|contains: ' -f'", "Image|base64offset|contains: oba", "Image|cidr: [10.0.0.0/8, 'fe80::/10']", "Image|gt: 16", "Image|lte: 0x20", "Image: null", "Image|exists: true", "Image|re: ^[A-C]", "Image|re|i: ^[A-C]", "Image|fieldref: CommandLine", "Image|fieldref|startswith: CommandLine", r"Image: 'x\*y'", "Image: ''", "Image|contains|all: [a, x]", "Image: [17, '10*']"]
+    own = rules.RuleSet(tuple(rules.parse_rule(f"title: t{i}\nlogsource:\n  category: process_creation\ndetection:\n  s:\n    {item}\n  k:\n    - 'foo'\n  condition: s and not k") for i, item in enumerate(items)))
+    run = detections.run(e, own)
+    assert run.meta["evaluated"] == len(items), run.rules.where("state <> 'evaluated'").select("title", "reason").collect()
+    assert verify_rows(e, own, run) == [] and run.hits.select("rule").distinct().count() >= len(items) - 2
+
+
+def verify_rows(e, own, run):
+    from tracequarry.operators.verify import verify
+
+    return [(own.rules[r["rule"]].title, r["id"], r["problem"]) for r in verify(e, own, run).collect()]
+
+
 def test_exports(spark, tmp_path):
     rows = [(i, 132_000_000_000_000_000 + i, "S1.evtx", -1 if i == 1 else i, 4624, 4, f"H{i}", "=cmd|x" if i == 2 else 'a"b;c,d\n', 4 | 1, [("u", "x", 1), ("u", "y", 1), ("v", "<&>\x01" + "z" * (40_000 if i == 0 else 1), 1)], {"u": ["x", "y"], "v": ["1"]}) for i in range(3)]
     df = spark.createDataFrame(rows, "id bigint, ts_ft bigint, source string, record_id bigint, event_id int, level smallint, computer string, provider string, flags int, fields array<struct<name: string, value: string, type: smallint>>, f map<string,array<string>>").withColumn("source_id", F.lit(0))

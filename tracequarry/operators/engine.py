@@ -29,6 +29,11 @@ class Result:
     events: DataFrame | None = None
     groups: DataFrame | None = None
     group_total: DataFrame | None = None
+    guarded: tuple[DataFrame, ...] = ()
+
+    def out_of_time(self) -> int:
+        """Distinct values that regular expressions under a time limit gave up on."""
+        return sum(g.where("hit is null").count() for g in self.guarded)
 
     def rows(self) -> DataFrame:
         """Groups, or events with time and the selected fields (all fields without a selection)."""
@@ -54,17 +59,17 @@ def selected(events: EventSet, names: tuple[str, ...]) -> list[Column]:
     return out
 
 
-def run(events: EventSet, query: str | ast.Query, zone: str = "UTC") -> Result:
+def run(events: EventSet, query: str | ast.Query, zone: str = "UTC", regex_budget: float | None = None) -> Result:
     """A query over events. Stages keep no order: all conditions filter first, then groups or sort, then limit."""
     q = parse(query) if isinstance(query, str) else query
-    compiler = Compiler(events, zone)
+    compiler = Compiler(events, zone, regex_budget)
     condition = F.lit(True) if q.filter is None else compiler.filter(q.filter)
     filtered = compiler.base().where(condition).drop(*[name for name, _ in compiler.flags])
     selected(events, q.select)  # unknown fields are errors even where they are not shown
     if q.group:
         groups, total = grouped(events, filtered, q)
-        return Result(q, events, filtered, groups=groups, group_total=total)
-    return Result(q, events, filtered, events=ordered(events, filtered, q))
+        return Result(q, events, filtered, groups=groups, group_total=total, guarded=tuple(compiler.guarded))
+    return Result(q, events, filtered, events=ordered(events, filtered, q), guarded=tuple(compiler.guarded))
 
 
 def grouped(events: EventSet, filtered: DataFrame, q: ast.Query) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions import text as X
-from ..functions.regexguard import matches, valid
+from ..functions.regexguard import guarded, matches, valid
 from ..functions.timeparse import SECOND, parse_time
 from ..model import ALIASES, LEVELS, EventSet, Key, mask_test
 from . import ast
@@ -63,8 +63,11 @@ def key_of(events: EventSet, name: str, use: str) -> Key:
 
 
 class Compiler:
-    def __init__(self, events: EventSet, zone: str = "UTC") -> None:
-        self.events, self.zone, self.flags, self.bare = events, zone, [], False
+    def __init__(self, events: EventSet, zone: str = "UTC", regex_budget: float | None = None) -> None:
+        """regex_budget: seconds that a regular expression may take on one value, which then is matched once per distinct value."""
+        self.events, self.zone, self.flags, self.bare, self.regex_budget = events, zone, [], False, regex_budget
+        #: Distinct values with hit null where the time ran out, one DataFrame for each guarded pattern.
+        self.guarded: list[DataFrame] = []
 
     def filter(self, e: ast.Expr) -> Column:
         """A condition for where(): positive leaves of the top conjunction stay bare, since null and false filter alike and a bare comparison reaches the scan."""
@@ -169,6 +172,8 @@ class Compiler:
         if op == "matches":
             if not valid(value):
                 raise QueryError("bad-regex", f"{value!r} is not a regular expression")
+            if self.regex_budget is not None:
+                return self.in_time(target, value)
             return target.any(lambda v: matches(v, value))
         if op == "cidr":
             if target.many and net.network(value).version == 6:
@@ -176,6 +181,13 @@ class Compiler:
             return target.any(lambda v: net.in_subnet(v, value))
         raise QueryError("operator-expected", f"unknown operator {op}")
 
+    def in_time(self, key: Key, pattern: str) -> Column:
+        """Matching with a time limit, on distinct values."""
+        own = self.events.df.select("id", F.explode(key.text if key.many else F.array(key.text)).alias("v"))
+        found = guarded(own, F.col("v"), pattern, self.regex_budget)
+        self.guarded.append(found)
+        return self.joined(own.join(found.where("hit").select(F.col("value").alias("v")), "v", "left_semi"))
+
     def native(self, key: Key, value: str) -> Column | None:
         """A bare comparison of a native column, which the scan can use, for a literal in the column's canonical text."""
         if key.native is None:
