@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.timeparse import SECOND, UNIX_EPOCH, parse_time
@@ -146,12 +146,15 @@ _add("m01_catalog", catalog_of, "SELECT 'event_type' AS name, count(event_type)
 
 # 2.9 and 2.10: sessions and processes over events with other labels
 
-_HOST = F.concat(F.lit("H"), (F.col("user_id") % 3).cast("string"))
+
+
+def _host() -> Column:
+    return F.concat(F.lit("H"), (F.col("user_id") % 3).cast("string"))
 
 
 def relabelled(spark: SparkSession, sf: str, ids: dict[str, int], channel: str, provider: str, fields: dict) -> EventSet:
     n = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])[F.col("event_type")]
-    df = _t(spark, sf, "events").withColumns({"event_number": n, "channel": F.lit(channel), "provider": F.lit(provider), "computer": _HOST, **fields}).where("event_number is not null")
+    df = _t(spark, sf, "events").withColumns({"event_number": n, "channel": F.lit(channel), "provider": F.lit(provider), "computer": _host(), **fields}).where("event_number is not null")
     return EventSet.from_dataframe(df, id="event_id", time="ts", fields=list(fields), system={"@EventID": F.col("event_number"), "@Channel": "channel", "@Provider": "provider", "@Computer": "computer"})
 
 
