@@ -2,10 +2,9 @@
 
 Every order of all shingles, applied to each set, has the prefix property: two sets similar enough share a
 shingle among the first n - ceil(t n) + 1 of each. Three orders are used, all from rare to frequent by a fixed-size
-count of all shingles, each with its own order within a frequency. The first generates candidates, with
-length, position and bitmap bounds inside the join; candidates must then share prefix shingles under the second
-and the third order as well; what is left is verified on the whole sets. Equal sets are one class throughout, so
-copies never meet pairwise.
+count of all shingles, each with its own order within a frequency. The first generates candidates, which must keep
+bounds of length, position and bitmap and then share prefix shingles under the second and the third order as well;
+what is left is verified on the whole sets. Equal sets are one class throughout, so copies never meet pairwise.
 """
 
 from __future__ import annotations
@@ -28,6 +27,9 @@ CHUNKS = 64
 #: Documents whose ids may be broadcast to fetch their texts; beyond it the fetch is a shuffled join.
 BROADCAST_ROWS = 500_000
 ORDERS = 3
+#: Parity bits of a set: two sets differ in at least as many shingles as their bitmaps do in bits.
+BITMAP_BITS = 11
+BITMAP = 1 << BITMAP_BITS
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -110,7 +112,7 @@ def fingerprints(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 own = shingles(text)
                 counts.append(len(own))
                 keys.append(xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63 if len(own) else None)
-                parity = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                parity = np.bincount((own >> np.uint64(64 - BITMAP_BITS)).astype(np.int64), minlength=BITMAP) & 1
                 bitmaps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 for k in range(ORDERS):
                     first = ordered_prefix(own, size, k, prefix_length(len(own), percent)) if len(own) else own
@@ -131,21 +133,48 @@ def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil(percent * (na + nb) / (100.0 + percent) - 1e-9)
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that pass the bounds and share prefix shingles under all orders."""
+def _close(percent: int) -> Column:
+    """Bounds that every linked pair meets, for columns n, bits of sides a and b: length, and symmetric difference by parity bitmaps."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= na + nb - 2 * _least_overlap(na, nb, percent))
+
+
+def shared_prefixes(classes: DataFrame) -> DataFrame:
+    """(token, cls, pos, low): prefix shingles of the first order that several classes have, and the smallest of those classes."""
+    own = Window.partitionBy("token")
     spots = classes.select("cls", F.posexplode("p1").alias("pos", "token"))
-    shared = spots.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").select("cls", "pos", "token")
-    shared = shared.join(classes.select("cls", "n", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(4)]), "cls")
-    a, b = (shared.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "n", "b0", "b1", "b2", "b3")]) for s in ("a", "b"))
+    return spots.withColumns({"low": F.min("cls").over(own), "high": F.max("cls").over(own)}).where("low < high").select("token", "cls", "pos", "low")
+
+
+def under_all_orders(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within the bounds that share prefix shingles under the second and the third order as well."""
+    for s in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "p2", "p3")]), s)
+    return pairs.where(_close(percent) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
+
+
+def star_candidates(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Each class with the smallest one of each of its shingles: no more pairs than rows."""
+    return under_all_orders(shared.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), classes, percent)
+
+
+def cross_candidates(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a shingle but no component yet. Bounds of length, position and bitmap hold inside the join."""
+    rows = shared.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    own = Window.partitionBy("token")
+    rows = rows.withColumns({"r0": F.min("root").over(own), "r1": F.max("root").over(own)}).where("r0 < r1")
+    words = range(BITMAP // 64)
+    info = classes.select("cls", "n", *[F.get("bits", F.lit(k)).alias(f"w{k}") for k in words])
+    rows = rows.select("token", "cls", "pos", "root").join(info, "cls")
+    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "pos", "root", "n", *[f"w{k}" for k in words])]) for s in ("a", "b"))
     na, nb = F.col("n_a"), F.col("n_b")
     overlap = _least_overlap(na, nb, percent)
-    near = (F.col("cls_a") < F.col("cls_b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    near = (F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     near &= F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= overlap
-    near &= sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(4)), F.lit(0)) <= na + nb - 2 * overlap
+    near &= sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0)) <= na + nb - 2 * overlap
     pairs = a.hint("merge").join(b, (a["token"] == b["token"]) & near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("p2").alias(f"p2{side}"), F.col("p3").alias(f"p3{side}")), side)
-    return pairs.where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b")
+    return under_all_orders(pairs, classes, percent)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -166,20 +195,36 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(common.batches(start), "cls long, shingles array<long>").groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are at least percent similar, with inter, the shingles they share."""
-    pairs = common.stored(candidates(classes, percent), "pairs")
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are at least percent similar."""
+    pairs = common.stored(pairs, "pairs")
     active = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     sets = common.stored(class_sets(docs, classes.select("cls", "h").join(active, "cls", "left_semi"), n), "sets")
+    both = pairs
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")).hint("merge"), side)
+        both = both.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")).hint("merge"), side)
     inter = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb") - inter).alias("either"))
-    return verified.where(100 * F.col("inter") >= percent * F.col("either")).select("a", "b", "inter")
+    measured = both.select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb") - inter).alias("either"))
+    links = common.stored(measured.where(100 * F.col("inter") >= percent * F.col("either")).select("a", "b"), "links")
+    return links
+
+
+def linked_components(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that link with any other.
+
+    First each class is tried with the smallest class of each prefix shingle, which joins most of a large family of
+    near copies by as many pairs as it has rows. Then only pairs between different components are tried, so no
+    family is taken apart pair by pair, and no link between components is lost.
+    """
+    shared = common.stored(shared_prefixes(classes), "shared")
+    first = verified(docs, classes, star_candidates(shared, classes, percent), n, percent)
+    roots = common.components(first)
+    second = verified(docs, classes, cross_candidates(shared, classes, roots, percent), n, percent)
+    return common.components(first.union(second))
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, h, n_shingles, cls, component_id (smallest doc_id of its component).
+    """One row per document: doc_id, h, n_shingles, cls, root (of its component), component_id (smallest doc_id of its component).
 
     Documents link when 100 * intersection >= percent * union of their sets of n-word shingles; with fewer
     words the whole sequence is the one shingle. A null or empty text has no shingle and links with nothing, so
@@ -190,12 +235,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     prints = common.stored(fingerprints(docs, n, percent), "fingerprints")
     classes = prints.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("h").alias("h"), F.any_value(F.struct("n", "bits", "p1", "p2", "p3")).alias("x")).select("cls", "low", "h", "x.*")
     classes = common.stored(classes, "classes")
-    roots = common.components(links(docs, classes, n, percent))
+    roots = linked_components(docs, classes, n, percent)
     lows = roots.join(classes.select(F.col("cls").alias("node"), "low"), "node")
-    lows = lows.join(lows.groupBy("root").agg(F.min("low").alias("lowest")), "root").select(F.col("node").alias("cls"), "lowest")
-    own = classes.select("cls", "low").join(lows, "cls", "left").select("cls", F.coalesce("lowest", "low").alias("group_low"))
+    lows = lows.join(lows.groupBy("root").agg(F.min("low").alias("lowest")), "root").select(F.col("node").alias("cls"), "root", "lowest")
+    own = classes.select("cls", "low").join(lows, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("lowest", "low").alias("group_low"))
     out = prints.select("doc_id", "h", "n", "cls").join(own, "cls", "left")
-    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("group_low")).alias("component_id"))
+    out = out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "cls", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("group_low")).alias("component_id"))
+    return out
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -204,10 +250,9 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     Rows that repeat that doc_id and text are one document, and of different texts with one doc_id in one component
     the one with the smallest hash stays. Documents without words all stay. Columns stay as they are.
     """
-    groups = similar_groups(docs, n, percent)
-    first = F.row_number().over(Window.partitionBy("component_id", "doc_id", "n0").orderBy("h"))
-    empty = F.when(F.col("n_shingles") == 0, F.col("h"))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("n0", empty).withColumn("first", first).where("first = 1").select(F.col("h").alias("kept_h"))
+    groups = similar_groups(docs, n, percent).select("h", "root", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"))
+    linked = groups.where("root is not null").groupBy("root").agg(F.min(F.struct("doc", "h")).alias("x")).select("x.h")
+    kept = linked.union(groups.where("root is null").select("h")).distinct().withColumnRenamed("h", "kept_h")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("kept_h"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     texts = keyed.join(kept.hint("merge"), "kept_h")
     bare = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
