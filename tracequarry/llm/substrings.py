@@ -26,7 +26,7 @@ WINDOW = 50
 #: A perfect difference set: each difference modulo 31 arises once, so each shift below 31 is covered.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Anchors or windows that a task settles at once.
-LOCAL_ROWS = 1_000_000
+LOCAL_ROWS = 400_000
 #: Stands for a null doc_id, which is larger than all others.
 LAST = 2**63 - 1
 
@@ -42,21 +42,22 @@ def sequence_key(h: np.ndarray) -> int:
 
 
 class _Settled:
-    """Hash occurrences of a task: rows (key, doc, places, known).
+    """Hash occurrences of a task: rows (key, doc, row, places, known), row telling rows of documents apart.
 
     Of each hash the smallest document's places stay to be compared (known false). Places of other documents
-    are known to repeat; they go as one row per document under a key of the document.
+    are known to repeat; they go as one line per row under a key of the row.
     """
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.docs, self.places, self.rows = [], [], [], 0
+        self.hashes, self.docs, self.of, self.places, self.rows = [], [], [], [], 0
 
-    def add(self, doc: int, hashes: np.ndarray, places: np.ndarray) -> None:
+    def add(self, doc: int, row: int, hashes: np.ndarray, places: np.ndarray) -> None:
         self.hashes.append(hashes)
         self.docs.append(np.full(len(hashes), doc, np.int64))
+        self.of.append(np.full(len(hashes), row, np.int64))
         self.places.append(places.astype(np.int32))
         self.rows += len(hashes)
 
@@ -64,60 +65,61 @@ class _Settled:
         """smallest_repeats: a hash that two documents of the task have repeats in the smallest one as well."""
         if not self.rows:
             return
-        h, d, p = np.concatenate(self.hashes), np.concatenate(self.docs), np.concatenate(self.places)
+        h, d, r, p = (np.concatenate(x) for x in (self.hashes, self.docs, self.of, self.places))
         self.clear()
         order = np.lexsort((p, d, h))
-        h, d, p = h[order], d[order], p[order]
+        h, d, r, p = h[order], d[order], r[order], p[order]
         first = np.r_[True, h[1:] != h[:-1]]
         group = np.cumsum(first) - 1
-        low = d[first][group]
-        beyond = d > low
+        known = d > d[first][group]
         if smallest_repeats:
-            many = np.bincount(group, beyond) > 0
-            known = many[group]
+            known = (np.bincount(group, known) > 0)[group]
             send = first | ~known
         else:
-            known = beyond
-            send = ~beyond  # each place in the smallest document needs its own answer
+            send = ~known  # each place in the smallest document needs its own answer
         for lo in range(0, int(send.sum()), 50_000):
             at = np.flatnonzero(send)[lo : lo + 50_000]
-            yield self._rows(common.signed(h[at]), d[at], np.split(p[at], np.arange(1, len(at))), np.zeros(len(at), bool))
+            yield self._rows(common.signed(h[at]), d[at], r[at], np.split(p[at], np.arange(1, len(at))), np.zeros(len(at), bool))
         if known.any():
-            d, p = d[known], p[known]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
-            cut = np.flatnonzero(np.r_[False, d[1:] != d[:-1]])
-            own = d[np.r_[0, cut]]
-            keys = common.signed(common.mixed(own.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-            yield self._rows(keys, own, np.split(p, cut), np.ones(len(own), bool))
+            d, r, p = d[known], r[known], p[known]
+            order = np.lexsort((p, r))
+            d, r, p = d[order], r[order], p[order]
+            cut = np.flatnonzero(np.r_[False, r[1:] != r[:-1]])
+            at = np.r_[0, cut]
+            yield self._rows(common.signed(common.mixed(r[at].view(np.uint64))), d[at], r[at], np.split(p, cut), np.ones(len(at), bool))
 
-    def _rows(self, keys: np.ndarray, docs: np.ndarray, places: list[np.ndarray], known: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs), common.list_of(places, pa.int32()), pa.array(known)], names=["key", "doc", "places", "known"])
+    def _rows(self, keys: np.ndarray, docs: np.ndarray, rows: np.ndarray, places: list[np.ndarray], known: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs), pa.array(rows), common.list_of(places, pa.int32()), pa.array(known)], names=["key", "doc", "row", "places", "known"])
 
 
-SETTLED = "key long, doc long, places array<int>, known boolean"
+SETTLED = "key long, doc long, row long, places array<int>, known boolean"
 
 
 def _repeated(rows: DataFrame, test: str) -> DataFrame:
-    """(doc, places) of what repeats: known places, and those whose key's documents pass the test."""
+    """(row, places) of what repeats: known places, and those whose key's documents pass the test."""
     own = Window.partitionBy("key", "known")
     marked = rows.withColumns({"low": F.min("doc").over(own), "high": F.max("doc").over(own)})
-    return marked.where(F.col("known") | F.expr(test)).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    return marked.where(F.col("known") | F.expr(test)).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, seq, n): doc_id (null last), hash of the word sequence, words."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc, text): hash of doc_id and text, doc_id with null last, text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """(row, doc, seq, n): seq is a hash of the word sequence of n words."""
 
     def start():
         hashes = common.WordHashes()
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            own = [hashes.of(t.split()) for t in common.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence_key(h) for h in own], pa.int64()), pa.array(map(len, own), pa.int64())], names=["doc", "seq", "n"])
+            own = [hashes.of(t.split()) for t in common.texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sequence_key(h) for h in own], pa.int64()), pa.array(map(len, own), pa.int64())], names=["row", "doc", "seq", "n"])
 
         return step
 
-    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col(text)).mapInArrow(common.batches(start), "doc long, seq long, n long")
+    return _keyed(docs).mapInArrow(common.batches(start), "row long, doc long, seq long, n long")
 
 
 def _anchors(window: int):
@@ -126,10 +128,10 @@ def _anchors(window: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights, settled = common.WordHashes(), common.odd_weights(length), _Settled()
         for batch in it:
-            for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), strict=True):
                 h = hashes.of(text.split())
                 at = cover_positions(len(h), length)
-                settled.add(doc, common.rolling(h, length, weights)[at], at)
+                settled.add(doc, row, common.rolling(h, length, weights)[at], at)
             if settled.rows > LOCAL_ROWS:
                 yield from settled.flush(True)
         yield from settled.flush(True)
@@ -143,7 +145,7 @@ def _windows(window: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, weights, settled = common.WordHashes(), common.odd_weights(window), _Settled()
         for batch in it:
-            for doc, text, places in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for row, doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 h = hashes.of(text.split())
                 m = len(h) - window + 1
                 if m <= 0:
@@ -153,7 +155,7 @@ def _windows(window: int):
                 np.add.at(near, np.clip(at - (window - length), 0, m), 1)
                 np.add.at(near, np.clip(at + 1, 0, m), -1)
                 starts = np.flatnonzero(np.cumsum(near[:m]) > 0)
-                settled.add(doc, common.rolling(h, window, weights)[starts], starts)
+                settled.add(doc, row, common.rolling(h, window, weights)[starts], starts)
             if settled.rows > LOCAL_ROWS:
                 yield from settled.flush(False)
         yield from settled.flush(False)
@@ -174,43 +176,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seqs = common.stored(sequences(docs), "sequences")
-    first = seqs.where(f"n >= {window}").groupBy("seq").agg(F.min("doc").alias("low"))
-    marked = seqs.where(f"n >= {window}").join(first, "seq").select("doc", "seq", "low").distinct()
-    # texts are dealt by document once; the three readers below share that exchange
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text").repartition(parts, "doc")
-    leaders = marked.where("doc = low").select("doc").distinct()
-    own = texts.join(leaders.hint("merge"), "doc").select("doc", "text")
+    seqs = common.stored(sequences(docs), "sequences").where(f"n >= {window}")
+    first = seqs.groupBy("seq").agg(F.min("doc").alias("low"))
+    marked = seqs.join(first, "seq").select("row", (F.col("doc") == F.col("low")).alias("leads")).distinct()
+    # texts are dealt by row once; the three readers below share that exchange
+    texts = _keyed(docs).repartition(parts, "row")
+    own = texts.join(marked.where("leads").select("row").hint("merge"), "row").select("row", "doc", "text")
     anchors = _repeated(own.mapInArrow(_anchors(window), SETTLED), "high > low")
-    near = texts.join(anchors.hint("merge"), "doc").select("doc", "text", "places")
+    near = texts.join(anchors.hint("merge"), "row").select("row", "doc", "text", "places")
     removed = _repeated(near.mapInArrow(_windows(window), SETTLED), "doc > low")
-    copies = marked.groupBy("doc").agg(F.collect_set(F.when(F.col("low") < F.col("doc"), F.col("seq"))).alias("copies"))
+    copies = marked.where("not leads").select("row", F.lit(True).alias("copy"))
 
     def start():
-        hashes = common.WordHashes()
-
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             counts, gone, kept = [], [], []
             for text, starts, whole in zip(common.texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
-                hit = np.zeros(len(words) + 1, np.int32)
-                if whole and len(words) >= window and sequence_key(hashes.of(words)) in whole:
-                    hit[0] = 1
-                elif starts:
-                    at = np.array(starts, np.int64)
-                    at = at[at + window <= len(words)]
+                if whole:
+                    keep = np.zeros(len(words), bool)
+                else:
+                    hit, at = np.zeros(len(words) + 1, np.int32), np.array(starts or (), np.int64)
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + window, -1)
-                keep = np.cumsum(hit[:-1]) == 0
+                    keep = np.cumsum(hit[:-1]) == 0
                 counts.append(len(words))
                 gone.append(len(words) - int(keep.sum()))
-                kept.append(text if not words else b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()]))
-            kept = [b"" if not n else k for n, k in zip(counts, kept, strict=True)]
+                kept.append(b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
 
         return step
 
-    full = texts.join(removed.hint("merge"), "doc", "left").join(copies.hint("merge"), "doc", "left").select("doc", "text", "places", "copies")
+    full = texts.join(removed.hint("merge"), "row", "left").join(copies.hint("merge"), "row", "left").select("doc", "text", "places", "copy")
     out = full.mapInArrow(common.batches(start), "doc long, n_words long, n_removed long, kept_text string")
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")
 
