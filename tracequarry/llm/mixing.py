@@ -181,6 +181,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.xxhash64("doc_id", "text").alias("h"), "doc_id", "source")
     own = numbered(own).drop("doc_id", "source")
     words = F.regexp_extract_all(f"c{docs.columns.index('text')}", F.lit(WORD), F.lit(0))
-    joined = own.join(taken, ["h", "k"]).withColumn("w", words)
-    text = F.array_join(F.flatten(F.transform("taken_parts", lambda p: F.slice("w", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    joined = own.join(taken, ["h", "k"])
+    # the words are a lambda's variable, so that they are found once and not once for each part
+    pick = lambda w: F.array_join(F.flatten(F.transform("taken_parts", lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    text = F.get(F.transform(F.array(words), pick), F.lit(0))
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
