@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch may hold; 1,000 texts of 120 kB stay below 130 MB in a Python worker.
 BATCH_ROWS = 1000
 #: Entries of a worker's word cache before it starts anew; it saves time only.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
@@ -46,7 +46,17 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what came of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept_names(df: DataFrame, keep: tuple[str, ...], own: list[str]) -> tuple[list[str], str]:

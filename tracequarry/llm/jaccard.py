@@ -206,6 +206,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     inter = F.size(F.array_intersect("sa", "sb"))
     measured = both.select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb") - inter).alias("either"))
     links = common.stored(measured.where(100 * F.col("inter") >= percent * F.col("either")).select("a", "b"), "links")
+    common.dropped(pairs, sets)
     return links
 
 
@@ -220,6 +221,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, n: int, percent: int)
     first = verified(docs, classes, star_candidates(shared, classes, percent), n, percent)
     roots = common.components(first)
     second = verified(docs, classes, cross_candidates(shared, classes, roots, percent), n, percent)
+    common.dropped(shared)
     return common.components(first.union(second))
 
 
@@ -241,6 +243,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     own = classes.select("cls", "low").join(lows, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("lowest", "low").alias("group_low"))
     out = prints.select("doc_id", "h", "n", "cls").join(own, "cls", "left")
     out = out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "cls", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("group_low")).alias("component_id"))
+    out = common.stored(out, "groups")
+    common.dropped(prints, classes)
     return out
 
 
