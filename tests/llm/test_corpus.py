@@ -198,6 +198,20 @@ def test_lines(spark):
     assert left.columns == ["doc_id", "text", "source"] and left.count() == sum(n for k, n in expected.items() if not k[4])
 
 
+def removed(spark, rows):
+    return {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(frame(spark, rows)).select("row.doc_id", "n_removed").collect()}
+
+
+def test_long_lines_in_repeated_rows(spark):
+    words = [f"w{i}" for i in range(127)]
+    near = [*words[:50], "other", *words[51:]]
+    rows = [(1, " ".join(words), "s")] * 5 + [(None, " ".join(words), "s")] * 3
+    cut = spark.createDataFrame([(1, words)] * 5 + [(2, near)], "k long, words array<string>").repartition(1)
+    assert {(r["k"], r["simhash"] % 2**64) for r in lines.simhashed(cut, ("k",)).collect()} == {(1, plain_simhash(words)), (2, plain_simhash(near))}
+    got = lines.dedup_lines(frame(spark, rows)).select("n_removed").collect()
+    assert sorted(r[0] for r in got) == [0] + [1] * 7
+
+
 def water(sizes, weights, total, most):
     """Targets by repeated resharing, as the contract words it."""
     target, capped = {}, set()
