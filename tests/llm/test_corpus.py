@@ -212,6 +212,18 @@ def test_long_lines_in_repeated_rows(spark):
     assert sorted(r[0] for r in got) == [0] + [1] * 7
 
 
+def test_near_copies_of_a_long_line(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1300)]
+    shifted, dropped = [words[0], "put", *words[1:]], words[:3] + words[4:]
+    edited = [f"x{i}" if i % 130 == 64 else w for i, w in enumerate(words)]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(1300)]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate((words, shifted, dropped, edited, other))]
+    cut = spark.createDataFrame([(i, r[1].split()) for i, r in enumerate(rows)], "k long, words array<string>")
+    assert all(r["simhash"] % 2**64 == plain_simhash(rows[r["k"]][1].split()) for r in lines.simhashed(cut, ("k",)).collect())
+    assert removed(spark, rows) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def water(sizes, weights, total, most):
     """Targets by repeated resharing, as the contract words it."""
     target, capped = {}, set()
