@@ -224,6 +224,27 @@ def test_near_copies_of_a_long_line(spark):
     assert removed(spark, rows) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_planted_edits_are_found(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted, most, d = [], {}, {}, 0
+    for n in (5, 10, 20, 40, 127, 200):
+        for edits in {1, n // 5}:
+            for _ in range(60):
+                words = fresh(n)
+                near = list(words)
+                for at in rng.sample(range(n), edits):
+                    near[at] = fresh(1)[0]
+                rows += [(d, " ".join(words), "s"), (d + 1, " ".join(near), "s")]
+                planted[d + 1] = n, edits
+                d += 2
+    got = removed(spark, rows)
+    assert not any(n for k, n in got.items() if k not in planted)
+    found = {p: sum(got[k] for k, q in planted.items() if q == p) / 60 for p in set(planted.values())}
+    print(sorted(found.items()))
+    assert all(share >= (1 if edits == 1 and n >= 10 else 0.9) for (n, edits), share in found.items()), found
+
+
 def water(sizes, weights, total, most):
     """Targets by repeated resharing, as the contract words it."""
     target, capped = {}, set()
