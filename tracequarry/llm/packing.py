@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,9 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-#: Words that a worker keeps between tasks, and words tokenized by one call.
-CACHE_WORDS, CALL_WORDS = 1_500_000, 20_000
+#: Words, and bytes of words, from which a worker's memory of words falls back to its first KEPT_WORDS, which have the frequent
+#: ones; words tokenized by one call.
+CACHE_WORDS, CACHE_BYTES, KEPT_WORDS, CALL_WORDS = 400_000, 8 << 20, 150_000, 20_000
 
 
 class WordTokens(dict):
@@ -54,10 +55,25 @@ class WordTokens(dict):
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.bytes = 0
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def shrink(self) -> None:
+        """Forget all but the first words, or all of them if those are long."""
+        words = list(islice(self, KEPT_WORDS))
+        held = sum(map(len, words))
+        if held > CACHE_BYTES // 2:
+            return self.reset()
+        self.clear()
+        self.update(zip(words, range(len(words)), strict=True))
+        self.bytes, self.starts, self.sizes = held, self.starts[: len(words)], self.sizes[: len(words)]
+        ends = np.cumsum(self.sizes)
+        self.ids = self.ids[np.repeat(self.starts - (ends - self.sizes), self.sizes) + np.arange(ends[-1])]
+        self.starts = ends - self.sizes
+
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
+        self.bytes += len(word)
         place = self[word] = len(self)
         return place
 
@@ -117,8 +133,8 @@ class WordTokens(dict):
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's count."""
-        if len(self) > CACHE_WORDS:
-            self.reset()
+        if len(self) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.shrink()
         flat: list[bytes] = []
         many = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
