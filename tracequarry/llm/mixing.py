@@ -1,11 +1,10 @@
 """Mixing sources to target weights.
 
-Words are packed into blocks of BLOCK words per source; the mix is a run of slots cut into output shards.
-Each shard draws its source counts from the multinomial distribution under the condition that all shards
-together meet every source's quota, by halving the shards again and again with a seeded draw at each
-node. A shard therefore knows its counts and the first slot of each source without any other shard. Slots of
-a source go through a pseudorandom permutation of its blocks, a new one for each pass, and are joined with
-the blocks by index.
+Words are packed into blocks of BLOCK words per source; the mix is a run of slots dealt to output shards. Each source's
+slots are spread over the shards by a multinomial draw that meets the source's quota: the shards are halved again and
+again, and a seeded binomial draw at each node says how many slots go left. Any range of a source's slots thus knows its
+shards without the others. Slots of a source go through a pseudorandom permutation of its blocks, a new one for each pass,
+and are joined with the blocks by index.
 """
 
 from __future__ import annotations
@@ -67,57 +66,54 @@ def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(shard: int, shards: int, per_shard: int, quotas: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source in a shard, and those in all shards before it."""
-    left, lo, hi, before = quotas.astype(np.int64).copy(), 0, shards, np.zeros(len(quotas), np.int64)
-    while hi - lo > 1:
+def spread(first: int, end: int, quota: int, shards: int, seed: list[int]) -> list[tuple[int, int, int]]:
+    """(shard, first, end) of the parts of a source's slots first to end, of quota in all, over shards.
+
+    A node of the halving tree draws from the binomial distribution with its place in the tree as seed, so that every caller
+    sees the same counts; nodes outside the range are not visited.
+    """
+    out, todo = [], [(0, shards, 0, quota)]
+    while todo:
+        lo, hi, at, n = todo.pop()
+        if at >= end or at + n <= first or not n:
+            continue
+        if hi - lo == 1:
+            out.append((lo, max(at, first), min(at + n, end)))
+            continue
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        want, total, first = (mid - lo) * per_shard, int(left.sum()), np.zeros_like(left)
-        for k, n in enumerate(left.tolist()):
-            if want <= 0 or total <= 0:
-                break
-            rest = total - n
-            low, high = max(0, want - rest), min(n, want)
-            if total < 500_000_000:
-                got = int(rng.hypergeometric(n, rest, want)) if low < high else low
-            else:  # numpy's limit: the normal law with the same mean and variance
-                p = n / total
-                got = round(rng.normal(want * p, (want * p * (1 - p) * (total - want) / max(1, total - 1)) ** 0.5))
-            first[k] = min(max(got, low), high)
-            want, total = want - int(first[k]), rest
-        if shard < mid:
-            left, hi = first, mid
-        else:
-            before, left, lo = before + first, left - first, mid
-    return left, before
-
-
-def slots(spark, recipe: list[tuple[int, int, int]], per_shard: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """One row per slot of the mix: shard, src, pass (0 for the first time around), block.
-
-    recipe: (src, quota in blocks, blocks) of each source. Nothing here depends on partitioning, so reruns agree.
+        left = int(np.random.default_rng([*seed, lo, hi]).binomial(n, (mid - lo) / (hi - lo)))
+        todo += [(mid, hi, at + left, n - left), (lo, mid, at, left)]
+    return out
+
+
+def slots(recipe: DataFrame, shards: int, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """One row per slot of the mix: shard, src, pass (0 for the first time around), block, most (words that the slot takes).
+
+    recipe: src, blocks, turns (whole passes) and rest (words of the last pass) of each source; its slots are made in
+    ranges of SHARD_SLOTS. Nothing here depends on partitioning, so reruns agree.
     """
-    quotas, total = np.array([q for _, q, _ in recipe], np.int64), sum(q for _, q, _ in recipe)
-    shards = max(1, -(-total // per_shard))
+    quota = F.col("turns") * F.col("blocks") + F.ceil(F.col("rest") / block)
+    ranges = recipe.withColumn("quota", quota.cast("long")).where("quota > 0")
+    ranges = ranges.select("src", "blocks", "turns", "rest", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(SHARD_SLOTS).cast("long"))).alias("first"))
+    parts = max(1, recipe.sparkSession.sparkContext.defaultParallelism * 4)
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for shard in batch.column(0).to_pylist():
-                counts, before = shard_counts(shard, shards, per_shard, quotas, seed)
-                for (src, _, blocks), n, first in zip(recipe, counts.tolist(), before.tolist(), strict=True):
-                    if n:
-                        j = np.arange(first, first + n)
-                        turn = j // blocks
-                        block = np.empty(n, np.int64)
-                        for t in np.unique(turn).tolist():
-                            block[turn == t] = permuted(j[turn == t] % blocks, blocks, seed + 1_000_003 * src + t)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, src, np.int32)), pa.array(turn.astype(np.int32)), pa.array(block)], names=["shard", "src", "pass", "block"])
+            for src, blocks, turns, rest, quota, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                j = np.arange(first, min(first + SHARD_SLOTS, quota))
+                turn, place, most = j // blocks, np.empty(len(j), np.int64), np.full(len(j), block, np.int64)
+                for t in np.unique(turn).tolist():
+                    place[turn == t] = permuted(j[turn == t] % blocks, blocks, seed + 1_000_003 * src + t)
+                if rest and j[-1] == quota - 1:
+                    most[-1] = rest - (quota - 1 - turns * blocks) * block
+                shard = np.empty(len(j), np.int64)
+                for k, a, b in spread(first, first + len(j), quota, shards, [seed, src]):
+                    shard[a - first : b - first] = k
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(j), src, np.int64)), pa.array(turn.astype(np.int32)), pa.array(place), pa.array(most)], names=["shard", "src", "pass", "block", "most"])
 
         return step
 
-    parts = min(shards, max(1, spark.sparkContext.defaultParallelism * 4))
-    return spark.range(0, shards if total else 0, 1, parts).mapInArrow(common.batches(start), "shard long, src int, pass int, block long")
+    return ranges.repartition(parts, "src", "first").mapInArrow(common.batches(start), "shard long, src long, pass int, block long, most long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -136,12 +132,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     rows: doc_id, source, size, h, k, src, source_size, target, one per document. parts: the mix itself, shard,
     src, pass, block and the words that each document gives to the slot: h, k, start (word number), length.
-    A source takes its target to within one block or so; with most a whole number, no block is taken more
-    than ``most`` times. Null texts have size 0; null is a source of its own. Equal inputs mix equally.
+    A source takes its target to within one block; with most a whole number, no block is taken more than ``most``
+    times. Null texts have size 0; null is a source of its own. Of repeated rows each is taken on its own. Sources of
+    equal ratio are capped in their order. Equal inputs mix equally, and an empty table gives an empty mix.
     """
     base = common.stored(sized(docs), "sizes")
     plan = common.stored(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rows = base.join(plan, base["source"].eqNullSafe(plan["source"])).select(base["*"], "src", "source_size", "target")
+    words = F.least(F.round("target"), F.lit(most) * F.col("source_size")).cast("long")
+    recipe = plan.where("source_size > 0").select(F.col("src").cast("long").alias("src"), F.col("source_size"), F.ceil(F.col("source_size") / block).alias("blocks"), words.alias("words"))
+    recipe = recipe.select("src", "blocks", F.floor(F.col("words") / F.col("source_size")).alias("turns"), (F.col("words") % F.col("source_size")).alias("rest"))
+    total = plan.agg(F.sum("target")).first()[0] or 0
     cells = max(1, -(-base.count() // CELL_DOCS))
     rows = rows.withColumn("cell", F.pmod(F.col("h"), F.lit(cells)))
     known = rows.groupBy("src", "cell").agg(F.sum("size").alias("n"))
@@ -153,14 +154,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     n = F.lit(block)
     pieces = placed.select("*", F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((F.col("at") + F.col("size") - 1) / n))).alias("block"))
     begin = F.greatest(F.col("at"), F.col("block") * n)
-    pieces = pieces.select("src", "block", "h", "k", (begin - F.col("at")).alias("start"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * n) - begin).alias("length"))
-    # the recipe has one row per source: it grows with the number of sources, not with the documents
-    recipe = []
-    for r in plan.where("source_size > 0").orderBy("src").collect():
-        blocks = -(-r["source_size"] // block)
-        recipe.append((r["src"], min(most * blocks, round(r["target"] / r["source_size"] * blocks)), blocks))
+    pieces = pieces.select("src", "block", "h", "k", (begin - F.col("at")).alias("start"), (begin - F.col("block") * n).alias("ahead"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * n) - begin).alias("length"))
     # both sides grow with the documents; Spark cannot size the slots, so the join is named
-    parts = slots(docs.sparkSession, recipe, seed=seed).hint("merge").join(pieces, ["src", "block"])
+    shards = max(1, -(-int(total) // (block * SHARD_SLOTS)))
+    parts = slots(recipe, shards, block, seed).hint("merge").join(pieces, ["src", "block"])
+    length = F.least("length", F.col("most") - F.col("ahead"))
+    parts = parts.withColumn("length", length).where("length > 0").drop("most", "ahead")
     return rows.drop("cell"), parts
 
 
@@ -174,15 +173,29 @@ def op3_mix(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row per document and pass with the words taken, joined by blanks, in their order.
 
-    Other columns stay as they were. A document from which nothing is taken goes.
+    Other columns stay as they were. A document from which nothing is taken goes, and so do null and empty texts. Of rows
+    that repeat doc_id and text each is mixed on its own. An empty table gives an empty result.
     """
+    common.small_batches(docs.sparkSession)
     _, parts = mix(docs)
-    taken = parts.groupBy("h", "k", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("taken_parts"))
+    taken = parts.groupBy("h", "k").agg(F.collect_list(F.struct("pass", "start", "length")).alias("cuts"))
     own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.xxhash64("doc_id", "text").alias("h"), "doc_id", "source")
-    own = numbered(own).drop("doc_id", "source")
-    words = F.regexp_extract_all(f"c{docs.columns.index('text')}", F.lit(WORD), F.lit(0))
-    joined = own.join(taken, ["h", "k"])
-    # the words are a lambda's variable, so that they are found once and not once for each part
-    pick = lambda w: F.array_join(F.flatten(F.transform("taken_parts", lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
-    text = F.get(F.transform(F.array(words), pick), F.lit(0))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    joined = numbered(own).join(taken, ["h", "k"])
+    names, at = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+
+    def start():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            of, texts = [], []
+            for i, (text, cuts) in enumerate(zip(common.texts(batch.column(at)), batch.column(len(names)), strict=True)):
+                words, mixed = text.split(), {}
+                for turn, first, length in sorted(zip(*(cuts.values.field(k).to_pylist() for k in ("pass", "start", "length")), strict=True)):
+                    mixed.setdefault(turn, []).extend(words[first : first + length])
+                of += [i] * len(mixed)
+                texts += [b" ".join(own) for own in mixed.values()]
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i).take(pa.array(of, pa.int32())) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return step
+
+    out = joined.select(*names, "cuts").mapInArrow(common.batches(start), joined.select(*names).schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
