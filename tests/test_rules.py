@@ -151,7 +151,7 @@ def test_exports(spark, tmp_path):
     raw = out.read_bytes()
     assert not raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\r\n") == 4
     table = list(csv.reader(io.StringIO(raw.decode(), newline="")))
-    assert table[0][0] == "Time (UTC+03:00)" and table[1][1].endswith("Z") and table[2][8] == "18446744073709551615" and table[1][10] == "ff" and table[1][11] == "beyondHeader headerCrcMismatch" and table[1][12] == "x" and table[1][13] == "" and table[2][14].startswith("u: x | u: y | v: <&>")
+    assert table[0][0] == "Time (UTC+03:00)" and table[1][1].endswith("Z") and table[2][8] == "18446744073709551615" and table[1][10] == "ff" and table[0][9:12] == ["SourceFile", "SourceSHA256", "Flags"] and table[1][11] == "beyondHeader headerCrcMismatch" and table[1][12] == "x" and table[1][13] == "" and table[2][14].startswith("u: x | u: y | v: <&>")
     export.export_csv(e, df, str(out), [], excel=True)
     text = out.read_text("utf-8-sig")
     assert out.read_bytes().startswith(b"\xef\xbb\xbf") and ";'=cmd|x;" in text and '"a""b;c,d' in text
@@ -160,6 +160,9 @@ def test_exports(spark, tmp_path):
     assert first["data"] == {"u": ["x", "y"], "v": "1"} and first["flags"] == ["beyondHeader", "headerCrcMismatch"] and first["event_id"] == 4624 and first["source_file"] == "/x/S1.evtx"
     counts = export.export_xlsx(e, df, str(tmp_path / "a.xlsx"), ["u"], info=[("case", "x")])
     assert counts["rows"] == 3 and counts["cut"] == 1
+    with pytest.raises(export.TooManyRows):
+        export.export_xlsx(e, spark.range(export.MOST_ROWS + 1), str(tmp_path / "b.xlsx"))
+    assert not (tmp_path / "b.xlsx").exists()
     with zipfile.ZipFile(tmp_path / "a.xlsx") as z:
         sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
         ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -176,7 +179,10 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("id bigint, ts_ft bigint, Image string").parquet(str(tmp_path / "in"))
     own = rules.RuleSet((rules.parse_rule("title: t\nlogsource:\n  product: windows\ndetection:\n  s:\n    Image|startswith: CMD\n  condition: s"), rules.parse_rule("title: [")))
     e = EventSet(stream, EventSet.from_dataframe(spark.createDataFrame([], "Image string"), id=F.lit(0), fields=["Image"]).keys)
-    q = streaming.hits(e, own).writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert list(streaming.screened(e, own)[1]) == [1]
+    with pytest.warns(UserWarning, match="1 of 2 rules"):
+        found = streaming.hits(e, own)
+    q = found.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["id"] for r in spark.table("hits").collect()) == [1, 3, 5, 7, 9]
     timed = spark.readStream.schema("id bigint, ts_ft bigint, Image string").parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds(F.col("ts_ft") * 600))
@@ -198,6 +204,8 @@ def test_cli(spark, tmp_path, capsys):
     assert run("dql", case, "TargetUserName = ALICE | group by eventid").count("\n") == 3 and run("query", case, "TargetUserName=alice", "eventid!=4625").count("\n") == 2
     (tmp_path / "r.yml").write_text("title: Rule\nlevel: high\nauthor: Me\nlicense: DRL\nlogsource:\n  service: security\ndetection:\n  s:\n    TargetUserName: alice\n  condition: s\n")
     assert '"hits": 3' in run("sigma", case, str(tmp_path), "--export", str(tmp_path / "d.csv")) and "Me" in (tmp_path / "d.csv").read_text()
+    table = list(csv.reader((tmp_path / "d.csv").open()))
+    assert table[0] == ["Level", "Rule", "Events", "Hosts", "First (UTC)", "Last (UTC)", "FirstUTC", "LastUTC", "Author", "RuleSet", "RulePath", "RuleID", "Status", "Tags", "References", "License", "DQL"] and table[1][:4] == ["high", "Rule", "3", "1"]
     assert run("dql", case, "rule = Rule and rulelevel >= high").count("\n") == 3 and "HOST1" in run("entities", case) and run("dql", case, "anyuser = alice").count("\n") == 3
     assert run("export", case, str(tmp_path / "o.csv"), "--query", "time >= 2024-03-01 | limit 2").strip() == "2" and run("sessions", case) == "" and "sha256" in run("stats", case) and run("processes", case) == "" and run("sessions", case, "--rdp") == ""
     assert "<EventID>4624</EventID>" in run("xml", str(tmp_path / "Security.evtx"), "--limit", "1") and run("json", str(tmp_path / "Security.evtx")).count("\n") == 3 and run("carve", str(tmp_path / "Security.evtx")) == ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ STATUS = {
 }
 KERBEROS = {"0x0": "success", "0x6": "client not found", "0x7": "server not found", "0x12": "account disabled or locked", "0x17": "password expired", "0x18": "wrong password", "0x1b": "server needs user-to-user", "0x20": "ticket expired", "0x25": "clocks differ"}
 ENCRYPTION = {"0x1": "DES-CBC-CRC", "0x3": "DES-CBC-MD5", "0x11": "AES128", "0x12": "AES256", "0x17": "RC4-HMAC", "0x18": "RC4-HMAC-EXP", "0xffffffff": "failure"}
+# Message numbers and their texts.
 PARAMETERS = {
     "%%1537": "DELETE", "%%1538": "READ_CONTROL", "%%1539": "WRITE_DAC", "%%1540": "WRITE_OWNER", "%%1541": "SYNCHRONIZE", "%%1542": "ACCESS_SYS_SEC", "%%1832": "Identification", "%%1833": "Impersonation", "%%1840": "Delegation",
-    "%%1842": "Yes", "%%1843": "No", "%%1936": "full token", "%%1937": "elevated token", "%%1938": "limited token", "%%4416": "ReadData", "%%4417": "WriteData", "%%4418": "AppendData", "%%4419": "ReadEA", "%%4420": "WriteEA",
-    "%%4421": "Execute", "%%4422": "DeleteChild", "%%4423": "ReadAttributes", "%%4424": "WriteAttributes",
+    "%%1842": "Yes", "%%1843": "No", "%%1936": "Type 1 (full token, UAC off or built-in administrator)", "%%1937": "Type 2 (elevated token)", "%%1938": "Type 3 (limited token)", "%%4416": "ReadData (ListDirectory)", "%%4417": "WriteData (AddFile)", "%%4418": "AppendData (AddSubdirectory)", "%%4419": "ReadEA", "%%4420": "WriteEA",
+    "%%4421": "Execute/Traverse", "%%4422": "DeleteChild", "%%4423": "ReadAttributes", "%%4424": "WriteAttributes",
 }
 AUDIT_FAILURE, AUDIT_SUCCESS = 0x0010_0000_0000_0000, 0x0020_0000_0000_0000
 
@@ -60,6 +63,11 @@ def actor(events) -> Column:
 
 #: (channel ending, event id) to a template; {Field} is a field's first value.
 SYSMON, SECURITY, SYSTEM, POWERSHELL = "sysmon/operational", "security", "system", "powershell/operational"
+TASKS, SESSIONS, REMOTE = "taskscheduler/operational", "localsessionmanager/operational", "remoteconnectionmanager/operational"
+DEFENDER, WINRM, BITS = "windows defender/operational", "winrm/operational", "bits-client/operational"
+# Rights that replicate a directory, as they stand in the properties of event 4662.
+REPLICATION = ("1131f6aa-9c07-11d1-f79f-00c04fc2dcd2", "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2", "89e95b76-444d-4c62-991a-0facbeda640c")
+KERNEL = "Microsoft-Windows-Kernel-General"
 TEMPLATES = {
     (SYSMON, 1): "started {Image} by {ParentImage}: {CommandLine}", (SYSMON, 2): "{Image} changed the creation time of {TargetFilename}", (SYSMON, 3): "{Image} connected to {DestinationIp}:{DestinationPort}", (SYSMON, 5): "ended {Image}",
     (SYSMON, 6): "loaded driver {ImageLoaded}", (SYSMON, 7): "{Image} loaded {ImageLoaded}", (SYSMON, 8): "{SourceImage} made a thread in {TargetImage}", (SYSMON, 9): "{Image} read raw {Device}", (SYSMON, 10): "{SourceImage} opened {TargetImage} ({GrantedAccess})",
@@ -77,7 +85,12 @@ TEMPLATES = {
     (SECURITY, 4771): "Kerberos pre-authentication of {TargetUserName} failed: {Status}", (SECURITY, 4776): "NTLM check of {TargetUserName} from {Workstation}: {Status}", (SECURITY, 4778): "{AccountName} reconnected from {ClientName}", (SECURITY, 4779): "{AccountName} disconnected from {ClientName}", (SECURITY, 5140): "{SubjectUserName} opened share {ShareName} from {IpAddress}",
     (SECURITY, 5145): "{SubjectUserName} checked {ShareName}\\{RelativeTargetName}", (SECURITY, 5156): "{Application} was let through to {DestAddress}:{DestPort}",
     (SYSTEM, 104): "the {Channel} log was cleared", (SYSTEM, 7036): "service {param1}: {param2}", (SYSTEM, 7040): "service {param1} start type {param2} to {param3}", (SYSTEM, 7045): "installed service {ServiceName}: {ImagePath}", (SYSTEM, 1074): "{param7} asked for {param5}", (SYSTEM, 6005): "event log started", (SYSTEM, 6006): "event log stopped",
-    (SYSTEM, 6008): "unexpected shutdown", (SYSTEM, 6011): "renamed to {Data}", (POWERSHELL, 4103): "module: {ContextInfo}", (POWERSHELL, 4104): "script: {ScriptBlockText}",
+    (SYSTEM, 6008): "unexpected shutdown", (SYSTEM, 6011): "renamed to {Data}", (POWERSHELL, 4103): "module: {ContextInfo}", (POWERSHELL, 4104): "script {MessageNumber} of {MessageTotal}: {ScriptBlockText}", (POWERSHELL, 40961): "console started",
+    (SECURITY, 1100): "event log service stopped", (SECURITY, 4609): "system shuts down", (SECURITY, 4729): "{SubjectUserName} removed {MemberName} from {TargetUserName}", (SECURITY, 4733): "{SubjectUserName} removed {MemberName} from {TargetUserName}", (SECURITY, 4757): "{SubjectUserName} removed {MemberName} from {TargetUserName}",
+    (SECURITY, 4739): "domain policy of {DomainName} changed", (SECURITY, 4767): "{TargetUserName} was unlocked", (SECURITY, 4770): "Kerberos ticket {ServiceName} renewed for {TargetUserName}", (SECURITY, 4794): "{SubjectUserName} tried to set the restore mode password", (SYSTEM, 7034): "service {param1} ended unexpectedly",
+    (TASKS, 106): "task {TaskName} registered by {UserContext}", (TASKS, 140): "task {TaskName} changed by {UserName}", (TASKS, 141): "task {TaskName} deleted by {UserName}", (TASKS, 200): "task {TaskName} started {ActionName}", (TASKS, 201): "action of task {TaskName} ended with {ResultCode}",
+    (SESSIONS, 21): "{User} logged on from {Address} (session {SessionID})", (SESSIONS, 22): "shell of {User} started from {Address}", (SESSIONS, 23): "{User} logged off", (SESSIONS, 24): "{User} disconnected from {Address}", (SESSIONS, 25): "{User} reconnected from {Address}", (REMOTE, 1149): "{Param2}\\{Param1} authenticated from {Param3}",
+    (DEFENDER, 1116): "found {Threat Name} in {Path}", (DEFENDER, 1117): "{Action Name} of {Threat Name}", (DEFENDER, 5001): "real-time protection off", (DEFENDER, 5007): "configuration changed to {New Value}", (WINRM, 6): "session to {connection}", (BITS, 59): "job {name} from {url}",
 }
 
 
@@ -89,7 +102,7 @@ def describe(events) -> Column:
     tables = {"LogonType": LOGON_TYPES, "SubStatus": STATUS, "TicketEncryptionType": ENCRYPTION}
     for (ending, number), template in TEMPLATES.items():
         parts = []
-        for literal, field in re.findall(r"([^{]*)(?:\{(\w+)\})?", template):
+        for literal, field in re.findall(r"([^{]*)(?:\{([\w ]+)\})?", template):
             if literal:
                 parts.append(F.lit(literal))
             if field:
@@ -98,4 +111,10 @@ def describe(events) -> Column:
                 v = F.coalesce(looked_up(table, v), v) if table else member_name(v) if field == "MemberName" else v
                 parts.append(F.coalesce(v, F.lit("?")))
         lines.append(F.when((n == str(number)) & channel.endswith(ending), F.concat(*parts)))
-    return F.coalesce(*lines)
+    replicates = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(events.value("Properties"), F.lit(""))), F.lit(x)) for x in REPLICATION))
+    who, what = (F.coalesce(events.value(x), F.lit("?")) for x in ("SubjectUserName", "ObjectName"))
+    special = [F.when((n == "4662") & channel.endswith(SECURITY) & replicates, F.concat(who, F.lit(" may have replicated the directory: "), what))]
+    kernel = channel.endswith(SYSTEM) & (events.raw("@Provider") == KERNEL)
+    old, new = (F.coalesce(events.value(x), F.lit("?")) for x in ("OldTime", "NewTime"))
+    special.append(F.when(kernel, F.when(n == "1", F.concat(F.lit("time changed from "), old, F.lit(" to "), new)).when(n == "12", F.lit("operating system started")).when(n == "13", F.lit("operating system shuts down"))))
+    return F.coalesce(*special, *lines)

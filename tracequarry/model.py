@@ -39,9 +39,13 @@ EVENTS = {
 }
 
 
-def flag_names(flags: Column) -> Column:
-    """Names of the bits that are set."""
-    return F.filter(F.array(*[F.when(flags.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(FLAGS)]), lambda x: x.isNotNull())
+# Order of the flags in exports.
+EXPORTED_FLAGS = ("carved", "beyondHeader", "stale", "afterGap", "parseError", "crcMismatch", "headerCrcMismatch", "timeSkew", "foreignTemplate", "missingTemplate", "invalidText", "hasCopies", "sizeMismatch")
+
+
+def flag_names(flags: Column, order: tuple[str, ...] = FLAGS) -> Column:
+    """Names of the bits that are set, in the given order."""
+    return F.filter(F.array(*[F.when(flags.bitwiseAND(F.lit(BIT[n])) != 0, F.lit(n)) for n in order]), lambda x: x.isNotNull())
 
 
 @dataclass(frozen=True)

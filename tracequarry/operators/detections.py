@@ -55,7 +55,7 @@ class Run:
         return rows.orderBy(level_rank(F.col("level")).desc_nulls_last(), "title")
 
 
-RULE_SCHEMA = "rule int, rule_id string, title string, level string, author string, license string, source string, path string, tags array<string>, references array<string>, state string, reason string, query string, absent array<string>, renamed array<string>"
+RULE_SCHEMA = "rule int, rule_id string, title string, level string, author string, license string, source string, path string, tags array<string>, references array<string>, state string, reason string, query string, absent array<string>, renamed array<string>, status string"
 
 
 def run(events: EventSet, rules: RuleSet, batch: int = BATCH) -> Run:
@@ -82,7 +82,7 @@ def run(events: EventSet, rules: RuleSet, batch: int = BATCH) -> Run:
                         work.setdefault(printer.expression(base), (base, []))[1].append((number, rest))
             except (Unsupported, QueryError) as e:
                 state, reason = "unsupported", str(e)
-        rows.append((number, rule.id, rule.title, rule.level, rule.author, rule.license, rule.source, rule.path, list(rule.tags), list(rule.references), state, reason, query, list(absent), list(renamed)))
+        rows.append((number, rule.id, rule.title, rule.level, rule.author, rule.license, rule.source, rule.path, list(rule.tags), list(rule.references), state, reason, query, list(absent), list(renamed), rule.status))
     spark = events.df.sparkSession
     table = spark.createDataFrame(rows, RULE_SCHEMA)
     hits = None

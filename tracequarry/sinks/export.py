@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparse import iso_text, local_text, zone_label
-from ..model import EventSet, flag_names
+from ..model import EXPORTED_FLAGS, EventSet, flag_names
 
 MOST_ROWS, MOST_CHARS = 1_048_575, 32_767
 NOTE = " [cut]"
-SYSTEM = ("TimeUTC", "Computer", "Channel", "Provider", "EventID", "Level", "UserSID", "RecordID", "Source", "SHA256", "Flags")
+# Columns of the exports.
+SYSTEM = ("TimeUTC", "Computer", "Channel", "Provider", "EventID", "Level", "UserSID", "RecordID", "SourceFile", "SourceSHA256", "Flags")
 _BAD_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]")
 
 
@@ -38,7 +39,7 @@ def rows(events: EventSet, df: DataFrame, fields: list[str], zone: str = "UTC",
         sha = F.coalesce("_sha", F.lit(""))
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     unsigned = F.conv(F.hex("record_id"), 16, 10)
-    columns = [local_text(F.col("ts_ft"), zone), iso_text(F.col("ts_ft")), *[text(F.col(c)) for c in ("computer", "channel", "provider", "event_id", "level", "user_sid")], text(unsigned), text(F.col("source")), sha, F.array_join(flag_names(F.col("flags")), " ")]
+    columns = [local_text(F.col("ts_ft"), zone), iso_text(F.col("ts_ft")), *[text(F.col(c)) for c in ("computer", "channel", "provider", "event_id", "level", "user_sid")], text(unsigned), text(F.col("source")), sha, F.array_join(flag_names(F.col("flags"), EXPORTED_FLAGS), " ")]
     columns += [text(events.keys[f].first) if f in events.keys else F.lit("") for f in fields]
     columns.append(F.array_join(F.transform("fields", lambda p: F.concat_ws(": ", p["name"], F.coalesce(p["value"], F.lit("")))), " | "))
     return out.select("id", F.array(*columns).alias("cells")).orderBy("id")
@@ -71,7 +72,7 @@ def json_rows(events: EventSet, df: DataFrame, zone: str = "UTC", sources: DataF
     if sources is not None:
         out = out.join(F.broadcast(sources.select("source_id", F.col("sha256").alias("_sha"), F.col("path").alias("_path"))), "source_id", "left")
     sha, file = ("_sha", "_path") if sources is not None else (F.lit("").alias("_sha"), F.col("source").alias("_path"))
-    return out.select(local_text(F.col("ts_ft"), zone).alias("_local"), iso_text(F.col("ts_ft")).alias("_utc"), sha, file, "id", "computer", "channel", "provider", "event_id", "level", "user_sid", F.conv(F.hex("record_id"), 16, 10).alias("record_id"), flag_names(F.col("flags")).alias("flags"), "f").orderBy("id")
+    return out.select(local_text(F.col("ts_ft"), zone).alias("_local"), iso_text(F.col("ts_ft")).alias("_utc"), sha, file, "id", "computer", "channel", "provider", "event_id", "level", "user_sid", F.conv(F.hex("record_id"), 16, 10).alias("record_id"), flag_names(F.col("flags"), EXPORTED_FLAGS).alias("flags"), "f").orderBy("id")
 
 
 def export_jsonl(events: EventSet, df: DataFrame, path: str, zone: str = "UTC", sources: DataFrame | None = None) -> int:
@@ -98,6 +99,10 @@ def column_letters(n: int) -> str:
     return out
 
 
+class TooManyRows(ValueError):
+    """More rows than a sheet holds; CSV and JSON Lines hold any number."""
+
+
 def xml_text(text: str) -> str:
     return escape(_BAD_XML.sub("�", text))
 
@@ -108,8 +113,7 @@ def _sheet(head: list[str], cells: Iterable[list[str]], numeric: set[int], count
     number = 0
     for row in [head, *()] if cells is None else _chain(head, cells):
         if number > MOST_ROWS:
-            counts["left_out"] = counts.get("left_out", 0) + 1
-            continue
+            raise TooManyRows(f"a sheet holds {MOST_ROWS} rows")
         number += 1
         yield f'<row r="{number}">'
         for i, v in enumerate(row):
@@ -134,7 +138,7 @@ def _chain(head: list[str], cells: Iterable[list[str]]) -> Iterator[list[str]]:
 
 
 def write_xlsx(path: str, head: list[str], cells: Iterable[list[str]], info: list[tuple[str, str]], numeric: set[int] = frozenset()) -> dict:
-    """Two sheets, events and information, streamed into the archive. Returns rows, cut cells and rows left out."""
+    """Two sheets, events and information, streamed into the archive. Returns rows and cut cells; raises on more rows than a sheet holds."""
     counts: dict = {}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
@@ -152,19 +156,30 @@ def write_xlsx(path: str, head: list[str], cells: Iterable[list[str]], info: lis
 
 
 def export_xlsx(events: EventSet, df: DataFrame, path: str, fields: list[str] = [], zone: str = "UTC", sources: DataFrame | None = None, info: list[tuple[str, str]] = []) -> dict:
+    if (n := df.count()) > MOST_ROWS:
+        raise TooManyRows(f"{n} rows are more than the {MOST_ROWS} of a sheet: narrow the query, or export CSV or JSON Lines")
     cells = (r["cells"] for r in rows(events, df, fields, zone, sources).toLocalIterator(True))
     return write_xlsx(path, header(fields, zone), cells, info, {5, 6, 8})
 
 
-DETECTION_COLUMNS = ("title", "level", "state", "reason", "hits", "hosts", "first", "last", "rule_id", "source", "path", "author", "license", "tags", "references", "query", "absent")
+# Columns of the detections report, and rule sets under the Detection Rule License.
+DETECTION_COLUMNS = ("Level", "Rule", "Events", "Hosts", "First ({zone})", "Last ({zone})", "FirstUTC", "LastUTC", "Author", "RuleSet", "RulePath", "RuleID", "Status", "Tags", "References", "License", "DQL")
+LICENSED, LICENSE = ("SigmaHQ", "Hayabusa"), "Detection Rule License (DRL) 1.1"
+
+
+def detection_rows(run, zone: str = "UTC") -> DataFrame:
+    """rule, and cells in the order of DETECTION_COLUMNS, for each rule with hits."""
+    license = F.when(F.col("source").isin(*LICENSED), LICENSE).otherwise("")
+    times = [f(F.col(c)) for f in (lambda t: local_text(t, zone), iso_text) for c in ("first_ft", "last_ft")]
+    names = [F.col(c) for c in ("author", "source", "path", "rule_id", "status")]
+    cells = [F.col("level"), F.col("title"), F.col("hits"), F.col("hosts"), *times, *names, F.array_join("tags", " "), F.array_join("references", " "), license, F.col("query")]
+    return run.summary().where("hits > 0").select("rule", F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells]).alias("cells"))
 
 
-def export_detections(run, path: str, excel: bool = False) -> int:
-    """One row per rule, with author and licence."""
-    s = run.summary()
-    own = s.withColumns({"first": F.coalesce(iso_text(F.col("first_ft")), F.lit("")), "last": F.coalesce(iso_text(F.col("last_ft")), F.lit("")), **{c: F.array_join(c, " ") for c in ("tags", "references", "absent")}})
-    rows = own.orderBy("rule").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DETECTION_COLUMNS])
-    return write_csv(path, list(DETECTION_COLUMNS), (list(r) for r in rows.toLocalIterator()), excel)
+def export_detections(run, path: str, excel: bool = False, zone: str = "UTC") -> int:
+    """One row per rule with hits, with author and licence."""
+    head = [c.format(zone=zone_label(zone)) for c in DETECTION_COLUMNS]
+    return write_csv(path, head, (r["cells"] for r in detection_rows(run, zone).orderBy("rule").toLocalIterator()), excel)
 
 
 def export_info(pairs: list[tuple[str, str]], path: str) -> int:

@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EventSet
 from ..sources.rules import RuleSet
 
 
-def hits(events: EventSet, rules: RuleSet) -> DataFrame:
-    """Hits of a streaming EventSet: rule, id, computer, ts_ft. Rules that refer to entities, tags or rules need a stored case."""
+def screened(events: EventSet, rules: RuleSet) -> tuple[list[Column], dict[int, str]]:
+    """Conditions of the rules that a stream can run, each giving the rule's number, and why each other rule is left out."""
     from ..plans import ast
     from ..plans.compile import Compiler
     from ..plans.errors import QueryError
     from ..plans.sigma import Unsupported, compile_rule
 
-    tests = []
+    tests, left_out = [], {}
     for number, rule in enumerate(rules.rules):
         if rule.failure:
+            left_out[number] = rule.failure
             continue
         try:
             compiled = compile_rule(rule, set(events.keys), rules.aliases)
             compiler = Compiler(events)
             condition = compiler.expr(compiled.filter)
-        except (Unsupported, QueryError):
+        except (Unsupported, QueryError) as e:
+            left_out[number] = str(e)
             continue
-        if not compiler.flags and compiled.filter != ast.Const(False):
+        if compiler.flags:
+            left_out[number] = "refers to entities, tags or rules of a stored case"
+        elif compiled.filter == ast.Const(False):
+            left_out[number] = "no event has its fields"
+        else:
             tests.append(F.when(condition, F.lit(number)))
+    return tests, left_out
+
+
+def hits(events: EventSet, rules: RuleSet) -> DataFrame:
+    """Hits of a streaming EventSet: rule, id, computer, ts_ft. Warns of rules that are left out; screened() says why."""
+    tests, left_out = screened(events, rules)
+    if left_out:
+        warnings.warn(f"{len(left_out)} of {len(rules.rules)} rules are left out: " + "; ".join(f"{rules.rules[k].title or k}: {why}" for k, why in left_out.items()), stacklevel=2)
     found = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<int>")
     return events.df.select("id", events.raw("@Computer").alias("computer"), events.time.alias("ts_ft"), F.explode(found).alias("rule"))
 
