@@ -74,6 +74,12 @@ def test_pid_tree_equals_the_search(spark):
     assert proctree.search_paths(nodes, "P3.EXE").where("path like '%p3.exe'").count() > 0
 
 
+def test_trees_with_cycles(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, "a.exe", i + 1, i) for i in range(12)] + [("c0", "c1", "x.exe", 1, 900), ("c1", "c0", "y.exe", 2, 901), ("lost", "gone", "z.exe", 3, 902)]
+    got = {r["key"]: (r["depth"], r["root"]) for r in proctree.trees(spark.createDataFrame(rows, "key string, parent string, image string, start_ft long, id long")).collect()}
+    assert got == {f"n{i}": (i, "n0") for i in range(12)} | {k: (0, k) for k in ("c0", "c1", "lost")}
+
+
 def test_sysmon_tree(spark):
     rows = [(1, 1, {"ProcessGuid": "{a}", "Image": "c:\\a.exe"}, "H"), (2, 1, {"ProcessGuid": "{B}", "ParentProcessGuid": "{A}", "Image": "b.exe"}, "H"), (3, 1, {"ProcessGuid": "{b}", "ParentProcessGuid": "{A}"}, "H"), (4, 1, {"ProcessGuid": "{c}", "ParentProcessGuid": "{zz}", "ParentImage": "z\\z.exe"}, "H"), (5, 5, {"ProcessGuid": "{A}"}, "H"), (6, 5, {"ProcessGuid": "{A}"}, "H"), (7, 1, {"ProcessGuid": "{s}", "ParentProcessGuid": "{S}"}, "H")]
     nodes = proctree.sysmon_nodes(make(spark, rows, ["ProcessGuid", "ParentProcessGuid", "Image", "ParentImage", "CommandLine", "User", "ProcessId", "ParentProcessId", "ParentCommandLine"], proctree.SYSMON))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,9 +60,10 @@ def pid_nodes(events: EventSet, boots: DataFrame | None = None) -> DataFrame:
         events.value("ParentProcessName").alias("p_image"), events.value("CommandLine").alias("command_line"), events.value("SubjectUserName").alias("user"),
     )
     rows = with_boot(rows, boots)
-    ahead = Window.partitionBy("host", "boot", "pid").orderBy("ts_ft", F.when(F.col("kind") == "c", 0).otherwise(1), "id").rowsBetween(1, Window.unboundedFollowing)
+    # backwards in time, so that the next exit is the last one seen: a running value, not a search for each row
+    ahead = Window.partitionBy("host", "boot", "pid").orderBy(F.desc("ts_ft"), F.when(F.col("kind") == "c", 1).otherwise(0), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     # the first exit at or after a start: later creations of the id do not matter
-    rows = rows.withColumn("end_ft", F.when(F.col("kind") == "c", F.first(F.when(F.col("kind") == "x", F.col("ts_ft")), ignorenulls=True).over(ahead)))
+    rows = rows.withColumn("end_ft", F.when(F.col("kind") == "c", F.last(F.when(F.col("kind") == "x", F.col("ts_ft")), ignorenulls=True).over(ahead)))
     created = rows.where("kind = 'c'")
     marks = created.select("host", "boot", F.col("pid").alias("p"), "ts_ft", "id", F.struct(F.col("id").alias("id"), "end_ft").alias("made"), F.lit(None).cast("bigint").alias("child"))
     probes = created.where("ppid is not null").select("host", "boot", F.col("ppid").alias("p"), "ts_ft", "id", F.lit(None).cast("struct<id:bigint,end_ft:bigint>").alias("made"), F.col("id").alias("child"))
@@ -76,10 +79,11 @@ def pid_nodes(events: EventSet, boots: DataFrame | None = None) -> DataFrame:
     return real.unionByName(_nodes(lost, key=F.col("parent"), host=F.col("x.host"), pid=F.col("x.ppid"), image=F.col("x.p_image"), id=F.col("id"), synthetic=F.lit(True), linked_by_pid=F.lit(False), repeats=F.lit(0)))
 
 
-def trees(nodes: DataFrame, most_depth: int = 200) -> DataFrame:
+def trees(nodes: DataFrame) -> DataFrame:
     """Add depth, root, path (names from the root) and order (sort key of a tree in order of time) to nodes.
 
-    Levels are joined one after another until no node is left, at most most_depth of them.
+    Levels are joined one after another until no node is left, however deep. Nodes on a cycle or below one, and nodes whose
+    parent is no node, hang from no root: each is a root of its own.
     """
     rows = nodes.select("key", "parent", image_name(F.col("image")).alias("name"), F.coalesce("start_ft", F.lit(0)).alias("t"), "id")
     kids = rows.where("parent is not null").groupBy("parent").agg(F.min("t").alias("kid_t"))
@@ -88,17 +92,20 @@ def trees(nodes: DataFrame, most_depth: int = 200) -> DataFrame:
     rows = rows.withColumn("step", step)
     level = rows.where("parent is null").select("key", F.lit(0).alias("depth"), F.col("key").alias("root"), F.col("name").alias("path"), F.col("step").alias("order"))
     spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(most_depth, 100)))
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    rows.createOrReplaceTempView("_tree_rows")
-    level.createOrReplaceTempView("_tree_roots")
-    return spark.sql(f"""
+    own = uuid.uuid4().hex
+    rows.createOrReplaceTempView(f"_tree_rows_{own}")
+    level.createOrReplaceTempView(f"_tree_roots_{own}")
+    walked = spark.sql(f"""
         WITH RECURSIVE walk(key, depth, root, path, `order`) AS (
-          SELECT key, depth, root, path, `order` FROM _tree_roots
+          SELECT key, depth, root, path, `order` FROM _tree_roots_{own}
           UNION ALL
           SELECT r.key, w.depth + 1, w.root, concat(w.path, '{PATH}', r.name), concat(w.`order`, '/', r.step)
-          FROM walk w JOIN _tree_rows r ON r.parent = w.key WHERE w.depth < {most_depth})
+          FROM walk w JOIN _tree_rows_{own} r ON r.parent = w.key)
         SELECT * FROM walk""")
+    alone = {"depth": F.lit(0), "root": F.col("key"), "path": F.col("name"), "order": F.col("step")}
+    return rows.join(walked, "key", "left").select("key", *[F.coalesce(walked[c], own_value).alias(c) for c, own_value in alone.items()])
 
 
 def search_paths(nodes: DataFrame, text: str, limit: int = 5000) -> DataFrame:
