@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracequarry.llm import common, licenses, packing, quality, secrets, tiff
 
@@ -129,9 +130,20 @@ def test_novel_spans():
     assert scan.novelty("", run) > 20 and scan.novelty(run + " ", run) < 12
 
 
+def test_values_with_their_own_keyword():
+    scan, run = secrets.Scanner(), "Zx81kqPw93LmVb72TyQe"
+    for head in ("credential=", "private_key=", "auth/", "access_key_", "auth: "):
+        assert scan.novel(head + run) == [(len(head), len(head) + len(run), "novel")], head
+    assert scan.novel(f"{run} # the token") == [(0, len(run), "novel")]
+    for clean in ("value " + run, "auth/usr/local/bin/configuration", "private_key=create_initialize_application_settings", "token getConfigurationEnvironment"):
+        assert not scan.novel(clean), clean
+
+
 def test_secrets_of_rows(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "token = 'abcdefghijklmnop'"), (2, "token = 'abcdefghijklmnop'")], "doc_id long, text string")
     assert sorted(len(r["secrets"]) for r in secrets.find_secrets(df).collect()) == [0, 0, 1, 1]
+    clash = df.withColumn("Secrets", F.lit("x"))
+    assert secrets.find_secrets(clash, keep=("doc_id", "Secrets")).columns == ["doc_id", "Secrets_in", "secrets"] and not secrets.find_secrets(df.limit(0)).count()
 
 
 # licences

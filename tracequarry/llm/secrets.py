@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that zstandard cannot explain from the code around them.
 
-A candidate is a run of token characters in sensitive context. Its novelty is the number of compressed
-bytes it adds under a dictionary of common identifiers followed by the text before it. A run that
+A candidate is a run of token characters with a sensitive word before, after or inside it (as in name=value, where the
+value alone counts). Its novelty is the number of compressed bytes it adds under a dictionary of common identifiers and
+the text on both sides. A run that
 costs many bytes for its length is reported as a span of kind ``novel``.
 """
 
@@ -25,10 +26,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 KINDS = ("assign", "access", "hex", "novel")
 
-#: What makes the text before a run sensitive, within CONTEXT characters.
+#: What makes a run sensitive, within CONTEXT characters of it or inside.
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|credential|private|auth|bearer|access[_-]?key|login|signature|AKIA", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CONTEXT = 64
+#: What may stand between a sensitive word and the value in one run.
+JOINT = re.compile(r"(?:[=_/-]*(?:key|id))?[=_/-]+", re.I | re.A)
+LEAST_RUN = 16
 #: Marginal compressed bits per character from which a run is reported, and the least bytes it must add.
 BITS, LEAST = 4.3, 12
 
@@ -53,9 +57,9 @@ class Scanner:
     def __init__(self, bits: float = BITS, least: int = LEAST, identifiers: str = IDENTIFIERS) -> None:
         self.bits, self.least, self.identifiers = bits, least, identifiers.encode()
 
-    def novelty(self, before: str, run: str) -> int:
-        """Compressed bytes that the run adds, with the identifiers and the text before it as dictionary."""
-        known = zstandard.ZstdCompressionDict(self.identifiers + before.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def novelty(self, around: str, run: str) -> int:
+        """Compressed bytes that the run adds, with the identifiers and the text around it as dictionary."""
+        known = zstandard.ZstdCompressionDict(self.identifiers + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         compress = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress
         return len(compress(run.encode())) - len(compress(b""))
 
@@ -66,19 +70,29 @@ class Scanner:
         found += [(*m.span(), "hex") for m in HEX.finditer(text)]
         return found
 
+    def value(self, run: str) -> int | None:
+        """Where the value begins in a run that holds its own sensitive word, as in name=value; None without one."""
+        at = None
+        for word in SENSITIVE.finditer(run):
+            joint = JOINT.match(run, word.end())
+            if joint and len(run) - joint.end() >= LEAST_RUN:
+                at = joint.end()
+        return at
+
     def novel(self, text: str) -> list[Span]:
-        found, marks = [], None
+        if not SENSITIVE.search(text):
+            return []
+        found = []
         for m in CANDIDATE.finditer(text):
-            if marks is None:
-                marks = [x.end() for x in SENSITIVE.finditer(text)]
-                if not marks:
-                    return []
-            lo = max(0, m.start() - CONTEXT)
-            if not SENSITIVE.search(text, lo, m.start()):
+            lo, hi = m.span()
+            own = self.value(m[0])
+            if own is None and not SENSITIVE.search(text, max(0, lo - CONTEXT), lo) and not SENSITIVE.search(text, hi, hi + CONTEXT):
                 continue
-            added = self.novelty(text[max(0, m.start() - 4 * CONTEXT) : m.start()], m[0])
-            if added >= self.least and 8 * added >= self.bits * len(m[0]):
-                found.append((*m.span(), "novel"))
+            lo += own or 0
+            around = text[hi : hi + 4 * CONTEXT] + "\n" + text[max(0, lo - 4 * CONTEXT) : lo]
+            added = self.novelty(around, text[lo:hi])
+            if added >= self.least and 8 * added >= self.bits * (hi - lo):
+                found.append((lo, hi, "novel"))
         return found
 
     def spans(self, text: str) -> list[Span]:
@@ -97,7 +111,8 @@ def joined(spans: list[Span]) -> str:
 def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: float = BITS, least: int = LEAST, identifiers: str = IDENTIFIERS) -> DataFrame:
     """Add secrets, an array of (start, end, kind) in code points, to the kept columns of each row.
 
-    Whole texts are scanned; a null or empty text has no spans. Repeated rows give repeated results.
+    Whole texts are scanned; a null or empty text has no spans. Repeated rows give repeated results, and an empty table
+    an empty one.
     """
     common.small_batches(df.sparkSession)
     kept, head = common.kept_names(df, keep, ["secrets"])
