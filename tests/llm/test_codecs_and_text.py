@@ -230,3 +230,9 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_words int, labels int")
     assert licenses.scan_licenses(df, keep=("doc_id", "n_words", "labels")).columns[:3] == ["doc_id", "n_words_in", "labels_in"]
     assert quality.judge(df, spark.createDataFrame([], "doc_id long, quality int"), ("n_words",)).collect()[0]["n_words_in"] == 7
+
+
+def test_tables_without_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    media = tiff.text_to_tiff(none, "text", ("doc_id",))
+    assert not secrets.find_secrets(none).count() and not licenses.scan_licenses(none).count() and not tiff.tiff_pages(media, "media", ("doc_id",)).count()

@@ -277,7 +277,7 @@ def tiff_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (),
 
     page_bytes, page_sha256 and tail_crc32 (last 64 bytes) are of the decoded pixels, row by row; pixels adds them
     as a binary column. A null value gives no page. What cannot be read gives a row whose error says why.
-    Pages come from one value in one task, so there is no shuffle.
+    Pages come from one value in one task, so there is no shuffle. Repeated rows give repeated pages, and an empty table no rows.
     """
     common.small_batches(df.sparkSession)
     names = common.fields(PAGE_SCHEMA) + ["pixels"] * pixels
@@ -321,7 +321,7 @@ def store_text(text: bytes) -> bytes:
 
 
 def text_to_tiff(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each whole text as a TIFF in column media, with n_bytes, media_bytes and media_sha256; null is empty."""
+    """Each whole text as a TIFF in column media, with n_bytes, media_bytes and media_sha256; null is empty. An empty table gives an empty one."""
     common.small_batches(df.sparkSession)
     kept, head = common.kept_names(df, keep, ["n_bytes", "media_bytes", "media_sha256", "media"])
 
