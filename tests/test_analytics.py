@@ -160,3 +160,33 @@ def test_labels(spark):
     pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in (("a", "1"), ("b", "-"), ("c", "x" * 100), ("d", ""))])
     assert one.select(labels.summary(pairs)).first()[0] == "a: 1; c: " + "x" * 90 + "…"
     assert explore.logs(spark.createDataFrame([("a/Microsoft-Windows-Sysmon%4Operational.evtx",), ("Security.evtx",)], "source string")).orderBy("log").collect()[0]["group"] == "Sysmon"
+
+
+def test_numbering_slices_stay_even_with_far_times_and_one_hot_time(spark):
+    """A zero time, a far one, a third of all rows at one time and a third without a time: no slice holds them all."""
+    from pyspark.sql import functions as F
+
+    from tracequarry.model import numbered, sliced
+
+    n = 60_000
+    at = F.when(F.col("k") % 3 == 0, F.lit(5 * 10**15)).when(F.col("k") % 3 == 1, F.lit(None)).otherwise(10**15 + F.col("k") * 10**7)
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("k")).withColumn("ts_ft", F.when(F.col("k") == 2, 0).when(F.col("k") == 5, 2**62).otherwise(at).cast("bigint"))
+    sizes = [r["count"] for r in sliced(rows, ["ts_ft", "k"]).groupBy(F.shiftright("_row", 33).alias("p")).count().collect()]
+    assert sum(sizes) == n and max(sizes) < 3 * n / len(sizes)
+    got = [(r["ts_ft"], r["k"]) for r in numbered(rows, ["ts_ft", "k"]).orderBy("id").collect()]
+    assert got == sorted(got, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [r["id"] for r in numbered(rows, ["ts_ft", "k"]).select("id").orderBy("id").collect()] == list(range(n))
+    assert numbered(rows.limit(0), ["ts_ft", "k"]).count() == 0
+
+
+def test_histogram_range_is_exact_with_far_times(spark):
+    from tracequarry.operators import explore
+
+    times = sorted([0, 1, 2**61, 2**61 + 5] + [10**17 + i * i * 9_999_991 for i in range(3000)])
+    got = explore.histogram(spark.createDataFrame([(t,) for t in times] + [(None,)], "ts_ft bigint")).orderBy("start").collect()
+    lo, hi = times[len(times) // 1000], times[len(times) - 1 - len(times) // 1000]
+    width = got[0]["width"]
+    assert width == next(w * explore.SECOND for w in explore.WIDTHS if w * explore.SECOND * explore.BINS >= hi - lo)
+    assert [r["start"] for r in got] == list(range(lo // width * width, hi // width * width + 1, width))
+    assert [r["count"] for r in got] == [sum(r["start"] <= t < r["start"] + width for t in times) for r in got]
+    assert {(r["before"], r["after"]) for r in got} == {(sum(t < got[0]["start"] for t in times), sum(t >= got[-1]["start"] + width for t in times))}

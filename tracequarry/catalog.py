@@ -139,15 +139,15 @@ _add("a13_log_counts", lambda s, d: _t(s, d, "events").select(explore.short_chan
 
 
 def catalog_of(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).catalog().where("name in ('event_type', 'k')").select("name", F.col("n_events").cast("bigint"), F.col("n_values").cast("bigint"))
+    return events(spark, sf).catalog().select("name", F.col("n_events").cast("bigint"), F.col("n_values").cast("bigint"))
 
 
-_add("m01_catalog", catalog_of, "SELECT 'event_type' AS name, count(event_type) AS n_events, count(event_type) AS n_values FROM events UNION ALL SELECT 'k', count(json_extract_string(props, '$.k')), count(json_extract_string(props, '$.k')) FROM events")
+_FIELDS = {**{c: c for c in ("event_id", "user_id", "event_type", "value", "props")}, "k": "json_extract_string(props, '$.k')"}
+_add("m01_catalog", catalog_of, " UNION ALL ".join(f"SELECT '{n}' AS name, count({c}) AS n_events, count({c}) AS n_values FROM events" for n, c in _FIELDS.items()))
 
 # 2.9 and 2.10: sessions and processes over events with other labels
 
 
-
 def _host() -> Column:
     return F.concat(F.lit("H"), (F.col("user_id") % 3).cast("string"))
 

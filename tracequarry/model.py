@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from .functions import text as X
 from .functions.timeparse import ticks
+from .stages import stored
 
 #: Flag names by bit.
 FLAGS = ("beyondHeader", "stale", "headerCrcMismatch", "crcMismatch", "carved", "parseError", "sizeMismatch", "foreignTemplate", "missingTemplate", "timeSkew", "invalidText", "hasCopies", "afterGap")
@@ -93,8 +94,8 @@ class EventSet:
     def from_dataframe(df: DataFrame, id: Column | str | None = None, time: str | Column | None = None, system: dict[str, str | Column] | None = None, fields: list[str] | None = None, json_fields: dict[str, list[str]] | None = None) -> EventSet:
         """Any DataFrame as events.
 
-        id: a column that orders events in time, or None to number them by (time, all columns) slice by slice of
-        time. time: a timestamp column. system: system keys by canonical name. fields: columns to query (arrays hold many values).
+        id: a column that orders events in time, or None to number them by (time, all columns), slice by
+        slice. time: a timestamp column. system: system keys by canonical name. fields: columns to query (arrays hold many values).
         json_fields: column to the keys of its JSON objects. Numbers compare as numbers; their text is Spark's cast.
         """
         kinds = {f.name: f.dataType for f in df.schema}
@@ -172,26 +173,32 @@ def column_key(name: str, c: Column, kind: T.DataType) -> Key:
     return Key(name, c.cast("string"))
 
 
-#: Slices of time that rows are numbered in, at most.
-SLICES = 20_000
+#: Bits of a row's place within its slice, as Spark numbers rows.
+PLACE_BITS = 33
 
 
-def numbered(df: DataFrame, order: list[str], time: str = "ts_ft") -> DataFrame:
-    """Add id: 0, 1, ... in the order of columns, the first of which is the time in ticks, without moving all rows to one task.
+def sliced(df: DataFrame, order: list[str]) -> DataFrame:
+    """Add _row, which grows along the order of columns: slices of about as many rows each, sorted on their own and written once.
 
-    Time is cut into equal slices between its first and last value. A row's number is its place within its slice plus
-    the rows of all slices before, so it depends on nothing but the data. Rows without a time come first. Without
-    any two times there is one slice.
+    Slices are cut between rows by all columns of the order, so neither far times nor many rows of one time (or none)
+    make a slice large; only rows equal in every column stay together.
     """
-    usable = [c for c in order if not isinstance(df.schema[c].dataType, T.MapType)]
-    ends = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-    width = 1 if ends["lo"] is None else max(1, -(-(ends["hi"] - ends["lo"] + 1) // SLICES))
-    part = F.coalesce(F.floor((F.col(time) - F.lit(ends["lo"])) / width), F.lit(-1)) if ends["lo"] is not None else F.lit(-1).cast("bigint")
-    rows = df.withColumn("_part", part)
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))  # one row per slice
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(f"`{c}`") for c in usable])) - 1
-    return rows.withColumn("_at", place).join(F.broadcast(ahead), "_part").withColumn("id", F.col("_ahead") + F.col("_at")).drop("_part", "_at", "_ahead")
+    by = [F.col(f"`{c}`") for c in order if not isinstance(df.schema[c].dataType, T.MapType)]
+    return stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Add id: 0, 1, ... in the order of columns, nulls first, without moving all rows to one task.
+
+    A row's number is its place within its slice plus the rows of all slices before. What is broadcast has one row
+    for each slice, that is for each shuffle partition.
+    """
+    rows = sliced(df, order)
+    part = F.shiftright("_row", PLACE_BITS)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    place = F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return rows.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn("id", F.col("_ahead") + place).drop("_part", "_row", "_ahead")
 
 
 def mask_test(value: str):
