@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import labels
 from .functions.timeparse import SECOND, UNIX_EPOCH, parse_time
-from .model import EventSet
+from .model import BIT, EXPORTED_FLAGS, EventSet, flag_names
 from .operators import chips, detections, engine, entities, explore, proctree, sessions
+from .plans.compile import Compiler
 from .sources.rules import RuleSet, parse_rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,8 +257,6 @@ _add("en09_links", lambda s, d: entities.build(entity_events(s, d)).links.select
 
 
 def _any_host(spark: SparkSession, sf: str) -> DataFrame:
-    from dataclasses import replace
-
     e = entity_events(spark, sf)
     e = replace(e, entities=entities.build(e).for_queries())
     return engine.run(e, "anyhost in (nation_1, NATION_3) and not anyip = 10.0.0.1").events.select("id")
@@ -296,6 +297,148 @@ def _rule_query(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("f24_rule", _rule_query, f"SELECT event_id AS id FROM events WHERE ({RULES['plain'][1]}) OR ({RULES['regex'][1]})")
 
+# more of rules: every modifier, levels
+
+MODIFIERS = {
+    "cidr": ("IpAddress|cidr: 10.3.0.0/16", "n = 3"),
+    "cidr_list": ("IpAddress|cidr: [10.1.0.0/16, 10.2.0.0/20]", "n IN (1, 2)"),
+    "exists": ("Phone|exists: true", "phone IS NOT NULL"),
+    "exists_not": ("Phone|exists: false", "phone IS NULL"),
+    "gt": ("Balance|gt: 9000", "bal > 9000"),
+    "lte": ("Balance|lte: -900", "bal <= -900"),
+    "cased": ("Segment|cased: BUILDING", "seg = 'BUILDING'"),
+    "cased_miss": ("Segment|cased: building", "false"),
+    "contains_all": ("Segment|contains|all: [mach, ine]", "seg = 'MACHINERY'"),
+    "fieldref": ("Key|fieldref: Nation", "k = n"),
+    "base64": ("Coded|base64|contains: BUILDING", "seg = 'BUILDING'"),
+    "base64offset": ("Shifted|base64offset|contains: HOUSEHOLD", "seg = 'HOUSEHOLD'"),
+    "wide": ("Wide|wide|base64offset|contains: FURNITURE", "seg = 'FURNITURE'"),
+    "windash": ("Switch|windash|contains: ' -b'", "seg IN ('BUILDING', 'AUTOMOBILE')"),
+    "re_i": ("Segment|re|i: ^auto.*e$", "seg = 'AUTOMOBILE'"),
+    "single_mask": ("Segment: 'HOUSE?OLD'", "seg = 'HOUSEHOLD'"),
+}
+
+
+def modifier_events(spark: SparkSession, sf: str) -> EventSet:
+    seg = F.col("c_mktsegment")
+    df = _t(spark, sf, "customer").select(
+        "c_custkey", F.format_string("10.%d.0.1", "c_nationkey").alias("IpAddress"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("Phone"), F.col("c_acctbal").alias("Balance"), seg.alias("Segment"),
+        F.col("c_custkey").alias("Key"), F.col("c_nationkey").alias("Nation"), F.base64(F.encode(seg, "UTF-8")).alias("Coded"), F.base64(F.encode(F.concat(F.lit("x"), seg), "UTF-8")).alias("Shifted"),
+        F.base64(F.encode(seg, "UTF-16LE")).alias("Wide"), F.concat(F.lit("run"), F.when(seg == "BUILDING", " /b").when(seg == "AUTOMOBILE", " -b").otherwise(" +b")).alias("Switch"),
+    )
+    return EventSet.from_dataframe(df, id="c_custkey", fields=[c for c in df.columns if c != "c_custkey"])
+
+
+def modifiers(spark: SparkSession, sf: str) -> DataFrame:
+    made = tuple(parse_rule(f"title: {name}\nlevel: low\nlogsource:\n  product: windows\ndetection:\n  sel:\n    {body}\n  condition: sel\n", name) for name, (body, _) in MODIFIERS.items())
+    found = detections.run(modifier_events(spark, sf), RuleSet(made))
+    return found.hits.join(found.rules.select("rule", "title"), "rule").select("title", "id")
+
+
+_M = "WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS bal, c_mktsegment AS seg, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS phone FROM customer)"
+_add("sg07_modifiers", modifiers, f"{_M} " + " UNION ALL ".join(f"SELECT '{name}' AS title, k AS id FROM c WHERE {sql}" for name, (_, sql) in MODIFIERS.items()))
+_add("a07_rules_by_level", lambda s, d: detections.run(events(s, d), rule_set()).by_level(), "SELECT 'high' AS level, count(DISTINCT title) AS rules FROM (" + SQL["sg_run"] + ") HAVING count(*) > 0")
+_add("sg14_rule_hosts", lambda s, d: detections.run(logon_events(s, d), _logon_rules()).summary().select("title", "hits", "hosts", "first_ft", "last_ft"), f"SELECT 'type three' AS title, count(*) AS hits, count(DISTINCT user_id % 3) AS hosts, min({_FT}) AS first_ft, max({_FT}) AS last_ft FROM events WHERE event_type = 'view' AND user_id % 5 = 3")
+_add("sg15_hit_events", lambda s, d: detections.run(events(s, d), rule_set()).hit_events(), "SELECT count(DISTINCT id) AS n FROM (" + SQL["sg_run"] + ")")
+
+
+def _logon_rules() -> RuleSet:
+    return RuleSet((parse_rule("title: type three\nlevel: low\nlogsource:\n  product: windows\n  service: security\ndetection:\n  sel:\n    EventID: 4624\n    LogonType: 3\n  condition: sel\n", "t"),))
+
+
+# more of chips, text search, tags, flags and logs
+
+_add("ch01_matching", lambda s, d: (e := events(s, d)).df.where(chips.matching(Compiler(e), "event_type", "VIEW")).select("id"), f"SELECT event_id AS id {_E} WHERE lower(event_type) = 'view'")
+_add("ch01_exact", lambda s, d: (e := events(s, d)).df.where(chips.matching(Compiler(e), "event_type", "VIEW", exact=True)).select("id"), f"SELECT event_id AS id {_E} WHERE event_type = 'VIEW'")
+_add("ch02_with_field", lambda s, d: chips.with_field(events(s, d), "k").select("id"), f"SELECT event_id AS id {_E} WHERE json_extract_string(props, '$.k') IS NOT NULL")
+_add("ch04_log_view", lambda s, d: engine.run(levelled(s, d), chips.log_view(["warning", "info"], [], "event_type = view")).events.select("id"), f"SELECT event_id AS id {_E} WHERE user_id % 6 IN (0, 3, 4) AND event_type = 'view'")
+_dql("q05_search", events, "search \"purchase\" | where value > 20", ["id"], f"SELECT event_id AS id {_E} WHERE value > 20 AND (lower(event_type) LIKE '%purchase%' OR lower(props) LIKE '%purchase%')")
+_add("q13_filtered", lambda s, d: engine.run(events(s, d), "value > 60 | limit 5").filtered.select("id"), f"SELECT event_id AS id {_E} WHERE value > 60")
+_add("q18_group_text", lambda s, d: engine.run(e := events(s, d), engine.drill_text("value > 50 | group by event_type, user_id", {"event_type": "click", "user_id": "7"})).events.select("id"), f"SELECT event_id AS id {_E} WHERE value > 50 AND event_type = 'click' AND user_id = 7")
+
+
+def levelled(spark: SparkSession, sf: str) -> EventSet:
+    return EventSet.from_dataframe(_t(spark, sf, "events").withColumn("lv", F.col("user_id") % 6), id="event_id", time="ts", fields=["event_type"], system={"@Level": "lv"})
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    e = events(spark, sf)
+    marks = e.df.where("id % 7 = 0").select("id", F.when(F.col("id") % 2 == 0, "Red").otherwise("blue").alias("colour"), F.lit("").alias("note"))
+    return engine.run(replace(e, annotations=marks), "tag = red and not event_type = view").events.select("id")
+
+
+_add("f23_tag", _tagged, f"SELECT event_id AS id {_E} WHERE event_id % 14 = 0 AND event_type <> 'view'")
+
+
+def flagged(spark: SparkSession, sf: str) -> DataFrame:
+    bits = F.when(F.col("user_id") % 2 == 0, F.lit(BIT["carved"])).otherwise(0).bitwiseOR(F.when(F.col("user_id") % 3 == 0, F.lit(BIT["timeSkew"])).otherwise(0))
+    return _t(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("C:\\logs\\Microsoft-Windows-"), "event_type", F.lit("%4Operational.evtx")).alias("source"), bits.alias("flags"))
+
+
+_FILE = "'C:\\logs\\Microsoft-Windows-' || event_type || '%4Operational.evtx'"
+_add("a05_flag_counts", lambda s, d: explore.flag_counts(flagged(s, d)), f"SELECT {_FILE} AS source, flag, count(*) AS count FROM (SELECT event_type, 'carved' AS flag {_E} WHERE user_id % 2 = 0 UNION ALL SELECT event_type, 'timeSkew' {_E} WHERE user_id % 3 = 0) GROUP BY 1, 2")
+_add("fn04_flag_names", lambda s, d: flagged(s, d).select("id", F.array_join(flag_names(F.col("flags"), EXPORTED_FLAGS), ",").alias("flags")), f"SELECT event_id AS id, concat_ws(',', CASE WHEN user_id % 2 = 0 THEN 'carved' END, CASE WHEN user_id % 3 = 0 THEN 'timeSkew' END) AS flags {_E}")
+_add("fn15_logs", lambda s, d: explore.logs(flagged(s, d)), f"SELECT event_type AS \"group\", 'Microsoft-Windows-' || event_type || '/Operational' AS log, count(*) AS count {_E} GROUP BY ALL")
+_add("fn03_levels", lambda s, d: _t(s, d, "events").select("event_id", labels.level_label(F.col("user_id") % 6, F.when(F.col("user_id") % 4 == 1, F.lit(labels.AUDIT_FAILURE)).when(F.col("user_id") % 4 == 2, F.lit(labels.AUDIT_SUCCESS)).otherwise(F.lit(0))).alias("label")), f"SELECT event_id, CASE user_id % 4 WHEN 1 THEN 'audit failure' WHEN 2 THEN 'audit success' ELSE CASE user_id % 6 WHEN 1 THEN 'critical' WHEN 2 THEN 'error' WHEN 3 THEN 'warning' WHEN 5 THEN 'verbose' ELSE 'information' END END AS label {_E}")
+_add("fn07_params", lambda s, d: _t(s, d, "events").select("event_id", labels.parameters(F.concat(F.lit("a %%"), (F.col("user_id") % 3 + 1842).cast("string"), F.lit(" b"))).alias("text")), f"SELECT event_id, 'a ' || CASE user_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE '%%1844' END || ' b' AS text {_E}")
+_add("fn05_describe", lambda s, d: _described(s, d), f"SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'd\\u' || user_id || ' logged on (' || CASE user_id % 3 WHEN 0 THEN 'interactive' WHEN 1 THEN 'network' ELSE 'batch' END || ') from ? ?' WHEN 'error' THEN 'special rights for u' || user_id END AS line {_E} WHERE event_type IN ('view', 'error', 'click')")
+
+
+def _described(spark: SparkSession, sf: str) -> DataFrame:
+    who = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    e = relabelled(spark, sf, {"view": 4624, "error": 4672, "click": 9}, "Security", "Microsoft-Windows-Security-Auditing", {"TargetUserName": who, "SubjectUserName": who, "TargetDomainName": F.lit("d"), "LogonType": (F.col("user_id") % 3 + 2).cast("string")})
+    return e.df.select("id", labels.describe(e).alias("line"))
+
+
+# more of the registry, sessions and processes
+
+_add("en02_registry", lambda s, d: entities.build(entity_events(s, d)).entities.select("entity", "kind", "display", "events"), f"WITH x AS ({_CN}), m AS (SELECT id, u AS entity, 'user' AS kind FROM x UNION ALL SELECT id, h, 'host' FROM x UNION ALL SELECT id, i, 'ip' FROM x) SELECT entity, kind, CASE kind WHEN 'user' THEN (SELECT min(translate(c_name, '#', '')) FROM customer WHERE 'user|name:\\' || lower(translate(c_name, '#', '')) = entity) WHEN 'host' THEN substr(entity, 6) ELSE substr(entity, 4) END AS display, count(DISTINCT id) AS events FROM m GROUP BY 1, 2")
+_add("en05_listed", lambda s, d: entities.listed(entities.build(entity_events(s, d)), "host", "1").select("key", "events"), f"WITH x AS ({_CN}) SELECT substr(h, 6) AS key, count(*) AS events FROM x WHERE h LIKE '%1%' GROUP BY 1")
+_add("en06_events_of", lambda s, d: entities.events_of(entities.build(entity_events(s, d)), "host|NATION_1", "logging"), f"WITH x AS ({_CN}) SELECT id FROM x WHERE h = 'host|NATION_1'")
+_add("en10_links_of", lambda s, d: entities.links_of(entities.build(entity_events(s, d)), "host|NATION_1").select("other", "count"), f"WITH x AS ({_CN}) SELECT other, count(*) AS count FROM (SELECT u AS other FROM x WHERE h = 'host|NATION_1' UNION ALL SELECT i FROM x WHERE h = 'host|NATION_1') GROUP BY 1")
+_add("j10_common_events", lambda s, d: entities.common_events(entities.build(entity_events(s, d)), "host|NATION_1", "ip|10.1.0.7"), f"WITH x AS ({_CN}) SELECT id FROM x WHERE h = 'host|NATION_1' AND i = 'ip|10.1.0.7'")
+_add("en12_lookup", lambda s, d: entities.lookup(entities.build(entity_events(s, d)), "host", "nation_2").select("entity"), f"WITH x AS ({_CN}) SELECT DISTINCT h AS entity FROM x WHERE h = 'host|NATION_2'")
+
+
+def sid_events(spark: SparkSession, sf: str) -> EventSet:
+    """Customers as logons: every second event names the user without the SID that the others give."""
+    df = _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("TargetUserName"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("S-1-5-21-1-2-3-"), F.col("o_custkey").cast("string"))).alias("TargetUserSid"))
+    return EventSet.from_dataframe(df, id="o_orderkey", fields=["TargetUserName", "TargetUserSid"])
+
+
+_add("j11_name_to_sid", lambda s, d: entities.build(sid_events(s, d)).entities.select("entity", "display", "events"), "WITH s AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 2 = 0) SELECT CASE WHEN c IS NULL THEN 'user|name:\\u' || o_custkey ELSE 'user|sid:S-1-5-21-1-2-3-' || o_custkey END AS entity, 'u' || o_custkey AS display, count(*) AS events FROM orders LEFT JOIN s ON c = o_custkey GROUP BY o_custkey, c")
+_add("s05_search", lambda s, d: sessions.search(logons(s, d), "h1", ("host",)).select("id", "host"), f"{_LOGONS} SELECT id, host FROM full_s WHERE host = 'H1'")
+_add("s09_totals", lambda s, d: sessions.logon_totals(logon_events(s, d), logons(s, d), boots(s, d)).select("sessions", "closed", "open", "privileged", "unmatched_ends"), f"{_LOGONS} SELECT count(*) AS sessions, count(end_ft) AS closed, count(*) - count(end_ft) AS open, count(*) FILTER (privileged) AS privileged, (SELECT count(*) FROM events WHERE event_type = 'purchase') - count(end_ft) AS unmatched_ends FROM full_s")
+_add("s04_durations", lambda s, d: logons(s, d).select("id", "duration", "user", "privileged"), f"{_LOGONS} SELECT id, end_ft - start_ft AS duration, CAST(NULL AS VARCHAR) AS user, privileged FROM full_s")
+_add("s07_rdp_steps", lambda s, d: sessions.rdp_chains(rdp_events(s, d)).select("host", "session", "start_ft", F.array_join(F.transform("events", lambda x: x.cast("string")), ",").alias("ids")), f"""WITH e AS (SELECT event_id AS id, {_FT} AS t, 'H' || (user_id % 3) AS host, CAST(user_id % 5 AS VARCHAR) AS session, CASE event_type WHEN 'signup' THEN 21 WHEN 'purchase' THEN 23 ELSE 22 END AS n FROM events WHERE event_type IN ('signup', 'view', 'click', 'error', 'purchase')),
+    p AS (SELECT *, lag(n) OVER (PARTITION BY host, session ORDER BY t, id) AS b FROM e), c AS (SELECT *, sum(CASE WHEN n = 21 OR b IS NULL OR b = 23 THEN 1 ELSE 0 END) OVER (PARTITION BY host, session ORDER BY t, id) AS chain FROM p)
+    SELECT host, session, min(t) AS start_ft, string_agg(CAST(id AS VARCHAR), ',' ORDER BY t, id) AS ids FROM c GROUP BY host, session, chain""")
+_add("pt02_repeats", lambda s, d: proctree.sysmon_nodes(repeated_processes(s, d)).where("not synthetic").select("key", "id", "repeats"), "SELECT upper('g' || (o_custkey)) AS key, min(o_orderkey) AS id, count(*) - 1 AS repeats FROM orders GROUP BY o_custkey")
+_add("pt07_search", lambda s, d: proctree.search_paths(proctree.sysmon_nodes(sysmon_events(s, d)), "\\P12", None).select("key", "depth"), f"{_TREE} SELECT CAST(k AS VARCHAR) AS key, depth FROM w WHERE k IN (SELECT k FROM c) AND CAST(k AS VARCHAR) LIKE '12%'")
+
+
+def repeated_processes(spark: SparkSession, sf: str) -> EventSet:
+    """Orders as creations of one process per customer."""
+    df = _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("ProcessGuid"), F.lit(1).alias("n"), F.lit(proctree.SYSMON).alias("channel"), F.lit("H").alias("computer"), F.timestamp_seconds(F.col("o_orderkey") + 1_700_000_000).alias("at"))
+    return EventSet.from_dataframe(df, id="o_orderkey", time="at", fields=["ProcessGuid"], system={"@EventID": F.col("n"), "@Channel": "channel", "@Computer": "computer"})
+
+
+def copied(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as records: lines of one order are copies of one record from several sources."""
+    return _t(spark, sf, "lineitem").select(F.lit(5).cast("bigint").alias("ts_ft"), F.lit("Pc").alias("computer"), F.lit("Log").alias("channel"), F.col("l_orderkey").alias("record_id"), F.lit(1).alias("event_id"), F.when(F.col("l_linenumber") == 1, F.lit(BIT["carved"])).otherwise(0).alias("flags"), F.col("l_linenumber").alias("source_id"), F.lit(0).alias("chunk"), F.col("l_partkey").alias("off"))
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    from .sources.ingest import merge_copies
+
+    first, copies = merge_copies(copied(spark, sf))
+    cols = [F.col("record_id").cast("bigint").alias("record_id"), F.col("source_id").cast("int").alias("source_id")]
+    marked = F.col("flags").bitwiseAND(F.lit(BIT["hasCopies"])) != 0
+    return first.select(*cols, F.lit(True).alias("kept"), marked.alias("marked")).unionByName(copies.select(*cols, F.lit(False).alias("kept"), F.lit(False).alias("marked")))
+
+
+_add("ing03_merge", _merged, "WITH r AS (SELECT l_orderkey AS record_id, l_linenumber AS source_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber = 1, l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) SELECT record_id, source_id, i = 1 AS kept, i = 1 AND c > 1 AS marked FROM r")
+
 # SRC-19: ids by a distributed sort
 
 

@@ -108,10 +108,11 @@ def trees(nodes: DataFrame) -> DataFrame:
     return rows.join(walked, "key", "left").select("key", *[F.coalesce(walked[c], own_value).alias(c) for c, own_value in alone.items()])
 
 
-def search_paths(nodes: DataFrame, text: str, limit: int = 5000) -> DataFrame:
-    """Nodes whose image or command line holds the text, with their path from the root."""
+def search_paths(nodes: DataFrame, text: str, limit: int | None = 5000) -> DataFrame:
+    """Nodes whose image or command line holds the text, with their path from the root; all of them without a limit."""
     hit = F.contains(F.lower(F.coalesce("image", F.lit(""))), F.lower(F.lit(text))) | F.contains(F.lower(F.coalesce("command_line", F.lit(""))), F.lower(F.lit(text)))
-    return trees(nodes).join(nodes.where(hit), "key").orderBy("order").limit(limit)
+    found = trees(nodes).join(nodes.where(hit).drop("parent"), "key").orderBy("order")
+    return found if limit is None else found.limit(limit)
 
 
 def totals(walked: DataFrame) -> DataFrame:
