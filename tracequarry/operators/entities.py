@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import domain_key, host_key, is_builtin, split_user, valid_sid
 from ..functions.net import ip_key_of
 from ..model import EventSet
+from ..stages import stored
 
 # Fields that name entities, and the role they give.
 USERS = (
@@ -78,7 +79,8 @@ def renames(events: EventSet) -> dict[str, str]:
 
 
 def build(events: EventSet) -> Registry:
-    raw = raw_mentions(events)
+    """The registry of all events. Mentions are written once, as found and as resolved; everything else reads those narrow tables."""
+    raw = stored(raw_mentions(events), "mentions")
     moved = renames(events)
     host = host_key(F.col("raw"))
     if moved:
@@ -100,7 +102,7 @@ def build(events: EventSet) -> Registry:
     sid = F.coalesce("sid", "only")
     key = F.when(sid.isNotNull(), F.concat(F.lit("sid:"), sid)).otherwise(F.concat(F.lit("name:"), F.coalesce("domain", "only_domain", F.lit("")), F.lit("\\"), F.col("low")))
     users = users.select("id", "ts_ft", F.lit("user").alias("kind"), "role", key.alias("key"), "name", "domain", sid.alias("sid"))
-    rows = hosts.unionByName(ips).unionByName(users).withColumn("entity", F.concat("kind", F.lit("|"), "key"))
+    rows = stored(hosts.unionByName(ips).unionByName(users).withColumn("entity", F.concat("kind", F.lit("|"), "key")), "resolved")
     return Registry(_entities(rows), rows.select("entity", "kind", "role", "id", "ts_ft").distinct(), links(rows))
 
 
@@ -122,7 +124,8 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def roles(mentions: DataFrame) -> DataFrame:
-    return mentions.groupBy("entity", "role").agg(F.count_distinct("id").alias("events"), F.min("ts_ft").alias("first_ft"), F.max("ts_ft").alias("last_ft"))
+    """Events by entity and role; mentions name an event once for each."""
+    return mentions.groupBy("entity", "role").agg(F.count("*").alias("events"), F.min("ts_ft").alias("first_ft"), F.max("ts_ft").alias("last_ft"))
 
 
 def listed(registry: Registry, kind: str, text: str = "", hide_builtin: bool = False) -> DataFrame:
