@@ -3,7 +3,8 @@
 URLs that a rule allows or blocks train two variable-order Markov models over the characters of host and path.
 A model interpolates all orders by Witten-Bell: a context seen often trusts its own counts, one seen with many
 different successors trusts the shorter context. A URL's score is the log-likelihood difference per
-character; the threshold is where the shares of wrong verdicts on both kinds of rule-decided URLs meet.
+character; the threshold is where the shares of wrong verdicts on both kinds meet, over a fifth of the rule-decided
+URLs (by hash) that the models have not seen.
 Everything is DataFrame expressions: models are tables of n-grams, joined by n-gram.
 """
 
@@ -19,6 +20,8 @@ from . import common
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Characters of the longest n-gram, so contexts have up to ORDER - 1; symbols that an unseen character is one of.
 ORDER, SYMBOLS = 5, 256
+#: One of so many distinct URLs, by hash, calibrates the threshold and does not train the models.
+HELD_OUT = 5
 _PAD, _END = "\u0002", "\u0003"
 _ABC = "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,10 +63,15 @@ def model(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return below
 
 
+def held_out() -> Column:
+    """Whether a URL, by its host and path, is kept from the models."""
+    return F.pmod(F.xxhash64("host", "path"), F.lit(HELD_OUT)) == 0
+
+
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, order: int = ORDER, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The kept columns with host, path, rule, verdict, score and threshold of each url.
 
-    score is null where a rule decides. A URL at or above the threshold is allowed; if rules decide no URL of a
+    score is null where a rule decides. A URL at or above the threshold is allowed; if no URL held out is of a
     kind, the threshold is 0. Null urls and urls without ``://`` have an empty host and path and are scored as
     the empty string. Equal URLs are counted by their number but scored once, and repeated rows stay.
     """
@@ -75,12 +83,12 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     text = F.concat(F.lit(_PAD * (order - 1)), "host", "path", F.lit(_END))
     spots = each.withColumn("s", text).select("host", "path", "decided", "n", F.explode(F.sequence(F.lit(1), F.length("s") - (order - 1))).alias("i"), "s")
     spots = spots.select("host", "path", "decided", "n", F.substring("s", F.col("i"), F.lit(order)).alias("gram"))
-    counted = lambda v: F.sum(F.when(F.col("decided") == v, F.col("n")).otherwise(0))
+    counted = lambda v: F.sum(F.when((F.col("decided") == v) & ~held_out(), F.col("n")).otherwise(0))
     grams = common.stored(spots.groupBy("gram").agg(counted("allow").alias("na"), counted("block").alias("nb")), "grams")
     known = common.stored(model(grams, order).select("gram", (F.log("pa") - F.log("pb")).alias("gain")), "model")
     scores = spots.join(known, "gram").groupBy("host", "path", "decided").agg((F.sum("gain") / F.count("*")).alias("score"), F.first("n").alias("n"))
     scores = common.stored(scores, "scores")
-    cut = F.lit(threshold(scores).first()["threshold"])
+    cut = F.lit(threshold(scores.where(held_out())).first()["threshold"])
     left = scores.where("decided is null").select("host", "path", "score")
     out = rows.join(left, ["host", "path"], "left").withColumn("threshold", cut)
     method = F.when(F.col("score") >= cut, "allow").otherwise("block")
