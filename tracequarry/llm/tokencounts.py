@@ -7,6 +7,9 @@ those of the second from it on. Word begins close to a chunk's end are left out,
 overlap without a common word begin (a word longer than the overlap) is widened over the whole of the chunks that follow:
 one, then two, then four.
 
+Within a chunk, too, pieces are counted by themselves where a single blank or line end proves a word begin, so that a worker
+encodes a piece once; only pieces in an overlap are encoded with offsets.
+
 Texts of one chunk are counted where they are read. Chunks of longer ones are dealt out, so that tasks share a huge text, and
 a worker encodes no more than a chunk at a time.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +36,25 @@ LIMIT = 1024
 CHUNK, OVERLAP = 16_384, 256
 #: Characters after a word's end that the pattern may look at.
 LOOK_AHEAD = 4
+#: Pieces, and their characters, from which a worker's memory starts anew; it saves time only. Pieces of one call.
+MEMO_PIECES, MEMO_BYTES, CALL_PIECES = 600_000, 16 << 20, 500
+
+#: A blank or line end alone between other characters, and what pieces begin with, in texts and in byte-level tokens.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_FIRST, _BEGINS = " \n", "ĠĊ"
+_INSIDE = re.compile(r"[ \n]")
+_MARKS, _LETTERS = frozenset(".,;:!?"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _PIECES = "digest binary, cut int, next int, start long, piece string, spread long"
 _FACTS = "digest binary, cut int, side string, at array<long>, before array<long>, total long"
 
 
 class Counter:
-    """A tokenizer file's counts. ``margin`` is None where nothing proves a splice; then texts are encoded whole."""
+    """Tokens of pieces of texts by a tokenizer file, kept while the worker sees them again.
+
+    Pieces are cut before a single blank or line end that stands between other characters: there the pattern has a word begin,
+    whatever else is in the text. ``margin`` is None where nothing proves a splice; then texts are encoded whole.
+    """
 
     def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
@@ -46,18 +62,75 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.margin = margin(file)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] in _BEGINS]] = True
+        self.memo: dict[str, int] = {}
+        self.begun: dict[str, list[tuple[int, int]]] = {}  # of pieces in overlaps: where words begin, and the tokens before
+        self.bytes = 0
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Find the tokens of new pieces: many to a call, as their first characters tell them apart in the tokens."""
+        bare = {p: p[:-1] if len(p) > 2 and p[-1] in _MARKS and p[-2] in _LETTERS else p for p in pieces}
+        new = [p for p in {*bare.values(), *_MARKS} if p not in self.memo]
+        plain = [p for p in new if p and p[0] in _FIRST and not _INSIDE.search(p, 1)]
+        for lo in range(0, len(plain), CALL_PIECES):
+            part = plain[lo : lo + CALL_PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids)
+            starts = np.flatnonzero(self.begins[ids])
+            counts = np.diff(np.r_[starts, len(ids)]).tolist() if len(starts) == len(part) else self.encoded(part)
+            self.memo.update(zip(part, counts, strict=True))
+        rest = [p for p in new if p not in self.memo]
+        self.memo.update(zip(rest, self.encoded(rest), strict=True))
+        # a mark that ends a piece after a letter is a word of its own
+        self.memo.update({p: self.memo[b] + self.memo[p[-1]] for p, b in bare.items() if p is not b})
+        self.bytes += sum(map(len, pieces))
+
+    def cut(self, text: str) -> list[str]:
+        return _CUT.split(text)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Where words begin, the tokens before each, and the tokens of all."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        of = np.array(e.word_ids, np.int64)
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        starts = np.fromiter((s for s, _ in e.offsets), np.int64, count=len(of))
-        return starts[first], first, len(of)
+        if self.margin is None:
+            return self.encoded(texts)
+        parts = [self.cut(t) for t in texts]
+        self.know(parts)
+        return [sum(map(self.memo.__getitem__, p)) for p in parts]
+
+    def know(self, parts: list[list[str]]) -> None:
+        if len(self.memo) > MEMO_PIECES or self.bytes > MEMO_BYTES:
+            self.memo.clear()
+            self.begun.clear()
+            self.bytes = 0
+        new: set[str] = set()
+        for p in parts:
+            new.update(set(p).difference(self.memo))
+        self.learn(new)
+
+    def words(self, text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where words begin within spans of a text, the tokens before each, and the tokens of all. Only pieces in a span are encoded with offsets."""
+        parts = self.cut(text)
+        self.know([parts])
+        ends = np.cumsum([len(p) for p in parts])
+        tokens = np.cumsum([self.memo[p] for p in parts])
+        near = sorted({i for lo, hi in spans for i in range(np.searchsorted(ends, lo), min(len(parts), np.searchsorted(ends, hi) + 1))})
+        new = list({parts[i] for i in near} - self.begun.keys())
+        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            first, offsets, last = [], e.offsets, -1
+            for k, word in enumerate(e.word_ids):
+                if word != last:
+                    first.append((offsets[k][0], k))
+                last = word
+            self.begun[p] = first
+        at, before = [], []
+        for i in near:
+            start, ahead = int(ends[i]) - len(parts[i]), int(tokens[i]) - self.memo[parts[i]]
+            at += [start + x for x, _ in self.begun[parts[i]]]
+            before += [ahead + k for _, k in self.begun[parts[i]]]
+        return np.array(at, np.int64), np.array(before, np.int64), int(tokens[-1])
 
 
 def margin(file: str) -> int | None:
@@ -66,7 +139,7 @@ def margin(file: str) -> int | None:
         made = json.load(f)
     before = made.get("pre_tokenizer") or {}
     added = made.get("added_tokens") or []
-    plain = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    plain = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")) and not any(c.isspace() for t in added for c in t["content"])
     scans = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
     if not scans or not plain or made.get("normalizer") or made.get("post_processor") or made.get("truncation") or made.get("padding"):
         return None
@@ -122,12 +195,12 @@ def facts_of(pieces: DataFrame, file: str, chunk: int, overlap: int) -> DataFram
         for batch in it:
             rows = []
             for digest, a, b, start, piece in zip(*(batch[c].to_pylist() for c in ("digest", "cut", "next", "start", "piece")), strict=True):
-                at, before, total = counter.words(piece)
+                sides = [(k, side, k * chunk - overlap, k * chunk + overlap - less) for k, side, less in ((a, "right", 0), (b, "left", counter.margin)) if k > 0]
+                at, before, total = counter.words(piece, [(low - start, high - start) for _, _, low, high in sides])
                 at = at + start
-                for k, side, low, high in ((a, "right", a * chunk - overlap, a * chunk + overlap), (b, "left", b * chunk - overlap, b * chunk + overlap - (counter.margin or 0))):
-                    if k > 0:
-                        own = (at >= low) & (at <= high)
-                        rows.append((digest, k, side, at[own].tolist(), before[own].tolist(), None))
+                for k, side, low, high in sides:
+                    own = (at >= low) & (at <= high)
+                    rows.append((digest, k, side, at[own].tolist(), before[own].tolist(), None))
                 if b < 0:
                     rows.append((digest, 0, "total", None, None, total))
             kinds = (pa.binary(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
