@@ -3,24 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests_support import make
 from tracequarry.functions import labels, names
 from tracequarry.functions.net import ip_key
 from tracequarry.functions.timeparse import SECOND
-from tracequarry.model import EventSet
 from tracequarry.operators import chips, entities, explore, proctree, sessions
 
-COLUMNS = ["id", "t", "n", "channel", "provider", "computer", "sid"]
-
-
-def make(spark, rows, fields, channel="Security"):
-    """rows: (t, event id, {field: value}, computer); ids follow the order of the list."""
-    data = [(i, t, n, f.pop("@channel", channel), f.pop("@provider", "p"), c, f.pop("@sid", None), *[f.get(x) for x in fields]) for i, (t, n, f, c) in enumerate((t, n, dict(f), c) for t, n, f, c in rows)]
-    ddl = "id bigint, ts_ft bigint, n int, channel string, provider string, computer string, sid string" + "".join(f", {f} string" for f in fields)
-    df = spark.createDataFrame(data, ddl)
-    e = EventSet.from_dataframe(df, id="id", fields=fields, system={"@EventID": F.col("n"), "@Channel": "channel", "@Provider": "provider", "@Computer": "computer", "@UserID": "sid"})
-    return e.with_df(df)
-
-
 def test_boots_are_anchored(spark):
     rows = [(t * SECOND, 12, {"@provider": "Microsoft-Windows-Kernel-General", "@channel": "System"}, "h.x") for t in (0, 100, 250, 301, 500, 602)]
     e = make(spark, rows, [])

@@ -7,7 +7,7 @@ from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
-from test_analytics import make
+from tests_support import make
 
 from tracequarry.model import EVENTS, EventSet
 from tracequarry.operators import detections, engine

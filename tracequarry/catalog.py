@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import labels
 from .functions.timeparse import SECOND, UNIX_EPOCH, parse_time
 from .model import BIT, EXPORTED_FLAGS, EventSet, flag_names
-from .operators import chips, detections, engine, entities, explore, proctree, sessions
+from .operators import chips, detections, engine, entities, explore, proctree, rulepack, sessions
 from .plans.compile import Compiler
 from .sources.rules import RuleSet, parse_rule
 
@@ -223,7 +223,7 @@ _P = "SELECT p_partkey AS k, CASE WHEN p_partkey // 3 > 0 THEN p_partkey // 3 EN
 _add("pt03_tree_edges", lambda s, d: proctree.sysmon_nodes(sysmon_events(s, d)).select("key", "parent", "synthetic"), f"WITH c AS ({_P}) SELECT CAST(k AS VARCHAR) AS key, CAST(p AS VARCHAR) AS parent, false AS synthetic FROM c UNION ALL SELECT DISTINCT CAST(p AS VARCHAR), NULL, true FROM c WHERE p IS NOT NULL AND p NOT IN (SELECT k FROM c)")
 _TREE = f"WITH RECURSIVE c AS ({_P}), nodes AS (SELECT k, p, 'p' || k || '.exe' AS name FROM c UNION ALL SELECT DISTINCT p, NULL, '(unknown)' FROM c WHERE p IS NOT NULL AND p NOT IN (SELECT k FROM c)), w AS (SELECT k, 0 AS depth, k AS root, name AS path FROM nodes WHERE p IS NULL UNION ALL SELECT n.k, w.depth + 1, w.root, w.path || '{proctree.PATH}' || n.name FROM w JOIN nodes n ON n.p = w.k)"
 _add("pt09_paths", lambda s, d: proctree.trees(proctree.sysmon_nodes(sysmon_events(s, d))).select("key", "depth", "root", "path"), f"{_TREE} SELECT CAST(k AS VARCHAR) AS key, depth, CAST(root AS VARCHAR) AS root, path FROM w")
-_add("a12_tree_totals", lambda s, d: proctree.totals(proctree.trees(proctree.sysmon_nodes(sysmon_events(s, d)))), f"{_TREE} SELECT count(*) AS nodes, count(*) FILTER (depth = 0) AS roots, max(depth) AS depth FROM w")
+_add("a12_tree_totals", lambda s, d: proctree.totals(proctree.depths(proctree.sysmon_nodes(sysmon_events(s, d)))), f"{_TREE} SELECT count(*) AS nodes, count(*) FILTER (depth = 0) AS roots, max(depth) AS depth FROM w")
 
 
 def pid_events(spark: SparkSession, sf: str) -> EventSet:
@@ -297,6 +297,47 @@ def _rule_query(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("f24_rule", _rule_query, f"SELECT event_id AS id FROM events WHERE ({RULES['plain'][1]}) OR ({RULES['regex'][1]})")
 
+# SG-15: a pack of 2,700 rules, of six shapes
+
+PACK = 2700
+
+
+def pack_rule(r: int) -> str:
+    """Rule r of the pack, of shape r mod 6."""
+    n, body = r // 6, ""
+    match r % 6:
+        case 0:
+            body = f"sel:\n    event_type: purchase\n    user_id: {n % 97}\n  condition: sel"
+        case 1:
+            body = f"sel:\n    props|contains: '\"k\": {n % 100}}}'\n    event_type|startswith: [vi, pur]\n  condition: sel"
+        case 2:
+            body = f"sel:\n    value|endswith: '.{n % 100}'\n  flt:\n    user_id: [1, 2, 3, {n % 50}]\n  condition: sel and not flt"
+        case 3:
+            body = f"sel_a:\n    event_type: error\n    k: {n % 100}\n  sel_b:\n    props|contains|all: [k, '{n % 90 + 10}']\n  flt_a:\n    user_id|lt: 5\n  flt_b:\n    event_type: click\n    value|startswith: '1'\n  condition: 1 of sel_* and not 1 of flt_*"
+        case 4:
+            body = f"sel:\n    props|re: ': {n % 10}.}}$'\n    user_id: [{n % 60}, {n % 60 + 1}]\n  condition: sel"
+        case 5:
+            body = f"sel:\n    user_id|gte: {n % 50 + 10}\n    value|startswith: '{n % 90 + 10}.'\n    event_type: '*ew'\n  condition: sel"
+    return f"title: r{r}\nlevel: high\nlogsource:\n  product: windows\ndetection:\n  {body}\n"
+
+
+_PACK_SQL = f"""WITH e AS (SELECT event_id, event_type, user_id AS u, props, CAST(value AS VARCHAR) AS v, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events), r AS (SELECT r, r // 6 AS n FROM range({PACK}) AS t(r)),
+    h(r, id) AS (SELECT r, event_id FROM r JOIN e ON r % 6 = 0 AND event_type = 'purchase' AND u = n % 97
+    UNION ALL SELECT r, event_id FROM r JOIN e ON r % 6 = 1 AND contains(props, '"k": ' || (n % 100) || '}}') AND (event_type LIKE 'vi%' OR event_type LIKE 'pur%')
+    UNION ALL SELECT r, event_id FROM r JOIN e ON r % 6 = 2 AND suffix(v, '.' || (n % 100)) AND u NOT IN (1, 2, 3) AND u <> n % 50
+    UNION ALL SELECT r, event_id FROM r JOIN e ON r % 6 = 3 AND (event_type = 'error' AND k = n % 100 OR contains(props, 'k') AND contains(props, CAST(n % 90 + 10 AS VARCHAR))) AND u >= 5 AND NOT (event_type = 'click' AND v LIKE '1%')
+    UNION ALL SELECT r, event_id FROM r JOIN e ON r % 6 = 4 AND props LIKE '%: ' || (n % 10) || '_}}' AND u IN (n % 60, n % 60 + 1)
+    UNION ALL SELECT r, event_id FROM r JOIN e ON r % 6 = 5 AND u >= n % 50 + 10 AND v LIKE (n % 90 + 10) || '.%' AND event_type LIKE '%ew')
+    SELECT 'r' || r AS title, count(*) AS hits FROM h GROUP BY 1"""
+
+
+def rule_pack(spark: SparkSession, sf: str) -> DataFrame:
+    own = RuleSet(tuple(parse_rule(pack_rule(r), f"r{r}") for r in range(PACK)))
+    return rulepack.run(events(spark, sf), own).summary().where("hits > 0").select("title", "hits")
+
+
+_add("sg15_pack", rule_pack, _PACK_SQL)
+
 # more of rules: every modifier, levels
 
 MODIFIERS = {

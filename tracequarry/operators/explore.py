@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.timeparse import SECOND, UNIX_EPOCH, zone_name
 from ..model import EventSet, flag_names
+from .running import lag, running
 
 #: Widths of histogram bins, in seconds, and how many bins are aimed at.
 WIDTHS = (1, 5, 15, 30, 60, 300, 900, 1800, 3600, 10_800, 21_600, 43_200, 86_400, 604_800, 2_592_000, 31_536_000)
@@ -76,20 +77,17 @@ def _nth(df: DataFrame, ft: Column, ranks: list[int], lo: int, hi: int) -> list[
     return [lo for lo, _, _ in found]
 
 
-def timeline(df: DataFrame, zone: str = "UTC", parts: Column | None = None) -> DataFrame:
+def timeline(df: DataFrame, zone: str = "UTC") -> DataFrame:
     """Events with gap (an hour or more since the event before) and new_day (another day in the zone).
 
-    Neighbours are found per day first: only the last event of each day crosses into the next, so no task sees
-    all events.
+    The event before is a running value over all events, in slices, so that no task sees them all.
     """
-    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds(F.floor((F.col("ts_ft") - UNIX_EPOCH) / SECOND)), zone_name(zone)))
-    rows = df.withColumn("_day", day)
-    own = Window.partitionBy("_day").orderBy("id")
-    ends = rows.groupBy("_day").agg(F.max(F.struct("id", "ts_ft")).alias("x"))  # one row per day
-    ends = ends.select("_day", F.lag("x.ts_ft").over(Window.orderBy("_day")).alias("_carry"))
-    rows = rows.withColumn("_prev", F.lag("ts_ft").over(own)).join(ends, "_day", "left")
-    before = F.coalesce("_prev", "_carry")
-    return rows.withColumns({"gap": F.coalesce(F.col("ts_ft") - before >= GAP, F.lit(False)), "new_day": F.col("_prev").isNull() & F.col("_carry").isNotNull()}).drop("_day", "_prev", "_carry")
+    day = lambda ft: F.to_date(F.from_utc_timestamp(F.timestamp_seconds(F.floor((ft - UNIX_EPOCH) / SECOND)), zone_name(zone)))
+    ft = F.col("ts_ft")
+    rows = running(df, [], ["id"], [lag("_before", ft)])
+    before = F.col("_before.v")
+    marks = {"gap": ft - before >= GAP, "new_day": day(ft) != day(before)}
+    return rows.withColumns({name: F.coalesce(mark, F.lit(False)) for name, mark in marks.items()}).drop("_before")
 
 
 def page(df: DataFrame, after: int | None = None, size: int = 256) -> DataFrame:

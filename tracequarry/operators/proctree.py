@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.names import host_key
 from ..functions.text import number
 from ..model import EventSet
+from ..stages import stored
+from .running import Running, running
 from .sessions import boot_times, event_id, on_channel, with_boot
 
 SYSMON = "Microsoft-Windows-Sysmon/Operational"
@@ -60,15 +62,16 @@ def pid_nodes(events: EventSet, boots: DataFrame | None = None) -> DataFrame:
         events.value("ParentProcessName").alias("p_image"), events.value("CommandLine").alias("command_line"), events.value("SubjectUserName").alias("user"),
     )
     rows = with_boot(rows, boots)
-    # backwards in time, so that the next exit is the last one seen: a running value, not a search for each row
-    ahead = Window.partitionBy("host", "boot", "pid").orderBy(F.desc("ts_ft"), F.when(F.col("kind") == "c", 1).otherwise(0), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    # the first exit at or after a start: later creations of the id do not matter
-    rows = rows.withColumn("end_ft", F.when(F.col("kind") == "c", F.last(F.when(F.col("kind") == "x", F.col("ts_ft")), ignorenulls=True).over(ahead)))
+    # backwards in time, so that the next exit is the last one seen: a running value, not a search for each row. The first exit
+    # at or after a start: later creations of the id do not matter
+    ahead = [F.desc("ts_ft"), F.when(F.col("kind") == "c", 1).otherwise(0), F.desc("id")]
+    rows = running(rows, ["host", "boot", "pid"], ahead, [Running("exit_ft", "last", F.when(F.col("kind") == "x", F.col("ts_ft")), before=True)])
+    rows = rows.withColumn("end_ft", F.when(F.col("kind") == "c", F.col("exit_ft"))).drop("exit_ft")
     created = rows.where("kind = 'c'")
     marks = created.select("host", "boot", F.col("pid").alias("p"), "ts_ft", "id", F.struct(F.col("id").alias("id"), "end_ft").alias("made"), F.lit(None).cast("bigint").alias("child"))
     probes = created.where("ppid is not null").select("host", "boot", F.col("ppid").alias("p"), "ts_ft", "id", F.lit(None).cast("struct<id:bigint,end_ft:bigint>").alias("made"), F.col("id").alias("child"))
-    own = Window.partitionBy("host", "boot", "p").orderBy("ts_ft", "id", F.when(F.col("child").isNotNull(), 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, -1)
-    found = marks.unionByName(probes).withColumn("last", F.last("made", ignorenulls=True).over(own)).where("child is not null")
+    order = ["ts_ft", "id", F.when(F.col("child").isNotNull(), 0).otherwise(1)]
+    found = running(marks.unionByName(probes), ["host", "boot", "p"], order, [Running("last", "last", F.col("made"), before=True)]).where("child is not null")
     alive = F.when(F.col("last.end_ft").isNull() | (F.col("last.end_ft") >= F.col("ts_ft")), F.col("last.id"))
     nodes = created.join(found.select(F.col("child").alias("id"), alive.alias("parent_id")), "id", "left")
     synthetic = F.concat_ws("|", F.lit("synthetic"), "host", F.col("boot").cast("string"), F.coalesce(F.lower("p_image"), F.lit("")), F.col("ppid").cast("string"))
@@ -79,40 +82,101 @@ def pid_nodes(events: EventSet, boots: DataFrame | None = None) -> DataFrame:
     return real.unionByName(_nodes(lost, key=F.col("parent"), host=F.col("x.host"), pid=F.col("x.ppid"), image=F.col("x.p_image"), id=F.col("id"), synthetic=F.lit(True), linked_by_pid=F.lit(False), repeats=F.lit(0)))
 
 
+@dataclass(frozen=True)
+class Walk:
+    """What doubling found: ``tree`` (key, depth, root) of the nodes below a root, and ``jumps[k]`` (key, up), up the node 2^k above."""
+
+    tree: DataFrame
+    jumps: tuple[DataFrame, ...]
+
+
+def steps(nodes: DataFrame) -> DataFrame:
+    """(key, parent, name, step): step sorts a node among its siblings, by start, or its earliest child's where it has none, and id."""
+    rows = nodes.select("key", "parent", image_name(F.col("image")).alias("name"), "start_ft", "id")
+    kids = rows.where("parent is not null and start_ft is not null").groupBy(F.col("parent").alias("key")).agg(F.min("start_ft").alias("kid_ft"))
+    rows = rows.join(kids, "key", "left")
+    time = F.lpad(F.coalesce("start_ft", "kid_ft", F.lit(0)).cast("string"), 20, "0")
+    return rows.select("key", "parent", "name", F.concat(time, F.lit("."), F.lpad(F.col("id").cast("string"), 12, "0")).alias("step"))
+
+
+#: How the texts of a part of a path and of what is above it join: column and separator.
+_TEXTS = {"path": ("name", PATH), "order": ("step", "/")}
+
+
+def walk(rows: DataFrame, texts: bool = False) -> Walk:
+    """Depth and root of rows (key, parent, name, step) by doubling: a node that knows the node 2^k above takes over what that one knows.
+
+    Rounds are the logarithm of the greatest depth, and a round moves only the nodes that have not met their root. While any
+    of them is below a root, some are met in every round; so when a round meets none, all that are left are on cycles or below
+    one, and they are not in the tree. Nor is a node whose parent is no node, nor what hangs from it. With texts the tree has
+    path and order too, all their characters in memory of tasks and files; they grow with the sum of depths.
+    """
+    said = {out: F.col(c).alias(out) for out, (c, _) in _TEXTS.items()} if texts else {}
+    state = rows.select("key", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("key")).alias("root"), F.col("parent").isNotNull().cast("bigint").alias("depth"), *said.values())
+    state = stored(state, "tree")
+    met, open_ = [state.where("up is null")], state.where("up is not null")
+    left, jumps = open_.count(), []
+    while left:
+        jumps.append(open_.select("key", "up"))
+        above = reduce(DataFrame.union, [*met, open_])
+        above = above.select(F.col("key").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in said])
+        joined = [F.concat(f"_{c}", F.lit(_TEXTS[c][1]), c).alias(c) for c in said]
+        state = stored(open_.join(above, "up").select("key", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), *joined), "tree")
+        met.append(state.where("up is null"))
+        open_ = state.where("up is not null")
+        before, left = left, open_.count()
+        if left == before:
+            break
+    return Walk(reduce(DataFrame.union, met).drop("up"), tuple(jumps))
+
+
+def ancestors(walked: Walk, wanted: DataFrame) -> DataFrame:
+    """(key, at, above) of each wanted key in the tree: itself (above 0) and all nodes above it, as many rows as its depth and one."""
+    rows = wanted.select("key").join(walked.tree.select("key"), "key", "left_semi").distinct()
+    rows = rows.select("key", F.col("key").alias("at"), F.lit(0).cast("bigint").alias("above"))
+    for k, jump in enumerate(walked.jumps):
+        up = jump.select(F.col("key").alias("at"), F.col("up").alias("_up"))
+        rows = stored(rows.union(rows.join(up, "at").select("key", F.col("_up").alias("at"), F.col("above") + (1 << k))), "ancestors")
+    return rows
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """(key, depth, root) of all nodes, however deep: nodes that hang from no root are roots of their own."""
+    rows = stored(nodes.select("key", "parent"), "edges")
+    tree = walk(rows).tree
+    return rows.select("key").join(tree, "key", "left").select("key", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("root", "key").alias("root"))
+
+
 def trees(nodes: DataFrame) -> DataFrame:
     """Add depth, root, path (names from the root) and order (sort key of a tree in order of time) to nodes.
 
-    Levels are joined one after another until no node is left, however deep. Nodes on a cycle or below one, and nodes whose
-    parent is no node, hang from no root: each is a root of its own.
+    Nodes on a cycle or below one, and nodes whose parent is no node, hang from no root: each is a root of its own. The result
+    is as long as all paths together; ``depths`` says how deep nodes are without them.
     """
-    rows = nodes.select("key", "parent", image_name(F.col("image")).alias("name"), F.coalesce("start_ft", F.lit(0)).alias("t"), "id")
-    kids = rows.where("parent is not null").groupBy("parent").agg(F.min("t").alias("kid_t"))
-    rows = rows.join(kids.withColumnRenamed("parent", "key"), "key", "left").withColumn("t", F.when(F.col("t") == 0, F.coalesce("kid_t", F.lit(0))).otherwise(F.col("t")))
-    step = F.concat(F.lpad(F.col("t").cast("string"), 20, "0"), F.lit("."), F.lpad(F.col("id").cast("string"), 12, "0"))
-    rows = rows.withColumn("step", step)
-    level = rows.where("parent is null").select("key", F.lit(0).alias("depth"), F.col("key").alias("root"), F.col("name").alias("path"), F.col("step").alias("order"))
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    own = uuid.uuid4().hex
-    rows.createOrReplaceTempView(f"_tree_rows_{own}")
-    level.createOrReplaceTempView(f"_tree_roots_{own}")
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(key, depth, root, path, `order`) AS (
-          SELECT key, depth, root, path, `order` FROM _tree_roots_{own}
-          UNION ALL
-          SELECT r.key, w.depth + 1, w.root, concat(w.path, '{PATH}', r.name), concat(w.`order`, '/', r.step)
-          FROM walk w JOIN _tree_rows_{own} r ON r.parent = w.key)
-        SELECT * FROM walk""")
+    rows = stored(steps(nodes), "steps")
+    tree = walk(rows, texts=True).tree
     alone = {"depth": F.lit(0), "root": F.col("key"), "path": F.col("name"), "order": F.col("step")}
-    return rows.join(walked, "key", "left").select("key", *[F.coalesce(walked[c], own_value).alias(c) for c, own_value in alone.items()])
+    found = rows.select("key", "name", "step").join(tree, "key", "left")
+    return found.select("key", *[F.coalesce(tree[c], own).alias(c) for c, own in alone.items()])
 
 
 def search_paths(nodes: DataFrame, text: str, limit: int | None = 5000) -> DataFrame:
-    """Nodes whose image or command line holds the text, with their path from the root; all of them without a limit."""
+    """Nodes whose image or command line holds the text, with their path from the root; all of them without a limit.
+
+    Paths are made for these nodes alone, from the nodes above them.
+    """
     hit = F.contains(F.lower(F.coalesce("image", F.lit(""))), F.lower(F.lit(text))) | F.contains(F.lower(F.coalesce("command_line", F.lit(""))), F.lower(F.lit(text)))
-    found = trees(nodes).join(nodes.where(hit).drop("parent"), "key").orderBy("order")
-    return found if limit is None else found.limit(limit)
+    found = nodes.where(hit).drop("parent")
+    rows = stored(steps(nodes), "steps")
+    walked = walk(rows)
+    line = ancestors(walked, found).join(rows.select(F.col("key").alias("at"), "name", "step"), "at")
+    line = line.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("above")).alias("at"), "name", "step"))).alias("line"))
+    text_of = lambda c, by: F.array_join(F.transform("line", lambda x: x[c]), by)
+    line = line.join(walked.tree, "key").select("key", "depth", "root", *[text_of(c, by).alias(out) for out, (c, by) in _TEXTS.items()])
+    own = rows.select("key", "name", "step").join(found.select("key"), "key", "left_semi").join(line, "key", "left")
+    alone = {"depth": F.lit(0), "root": F.col("key"), "path": F.col("name"), "order": F.col("step")}
+    out = own.select("key", *[F.coalesce(line[c], other).alias(c) for c, other in alone.items()]).join(found, "key").orderBy("order")
+    return out if limit is None else out.limit(limit)
 
 
 def totals(walked: DataFrame) -> DataFrame:

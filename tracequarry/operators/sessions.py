@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.labels import parameters
 from ..functions.names import host_key
 from ..functions.timeparse import SECOND
 from ..model import EventSet
+from .running import Running, lag, running
 
 BOOT_GAP = 300 * SECOND
 RDP_CHANNEL = "Microsoft-Windows-TerminalServices-LocalSessionManager/Operational"
@@ -65,11 +65,11 @@ def logons(events: EventSet, boots: DataFrame | None = None) -> DataFrame:
     rows = rows.select("id", events.time.alias("ts_ft"), kind.alias("kind"), events.raw("@Computer").alias("computer"), F.coalesce(host_key(events.raw("@Computer")), F.upper(events.raw("@Computer"))).alias("host"), F.lower(logon).alias("logon"), *[events.value(f).alias(c) for c, f in details.items()])
     rows = with_boot(rows.where("logon is not null"), boots).withColumn("key", F.concat_ws("|", "host", F.col("boot").cast("string"), "logon"))
     # ends of one time as a start come after it, so that they can end it
-    order = Window.partitionBy("key").orderBy("ts_ft", F.when(F.col("kind") == "s", 0).otherwise(1), "id")
-    both = rows.where("kind <> 'p'").withColumn("lb", F.count_if(F.col("kind") == "e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    own = Window.partitionBy("key", "kind").orderBy("ts_ft", "id")
-    both = both.withColumn("i", F.row_number().over(own) - 1)
-    starts = both.where("kind = 's'").withColumn("k", F.col("i") + F.max(F.col("lb") - F.col("i")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["ts_ft", F.when(F.col("kind") == "s", 0).otherwise(1), "id"]
+    is_end = F.when(F.col("kind") == "e", 1).otherwise(0)
+    both = running(rows.where("kind <> 'p'"), ["key"], order, [Running("lb", "sum", is_end, before=True), Running("sb", "sum", 1 - is_end, before=True)])
+    both = both.withColumns({"lb": F.coalesce("lb", F.lit(0)), "i": F.coalesce(F.when(F.col("kind") == "s", F.col("sb")).otherwise(F.col("lb")), F.lit(0))})
+    starts = running(both.where("kind = 's'"), ["key"], ["ts_ft", "id"], [Running("k", "max", F.col("lb") - F.col("i"))]).withColumn("k", F.col("k") + F.col("i"))
     ends = both.where("kind = 'e'").select("key", F.col("i").alias("k"), F.col("ts_ft").alias("end_ft"), F.col("id").alias("end_id"))
     privileged = rows.where("kind = 'p'").select("key", F.lit(True).alias("privileged")).distinct()
     out = starts.join(ends, ["key", "k"], "left").join(privileged, "key", "left")
@@ -105,9 +105,10 @@ def rdp_chains(events: EventSet) -> DataFrame:
     for k, v in RDP_STEPS.items():
         step = step.when(n == k, v)
     rows = rows.select("id", events.time.alias("ts_ft"), n.alias("n"), events.raw("@Computer").alias("host"), session.alias("session"), events.value("User").alias("u"), events.value("Address").alias("a"), step.alias("step"))
-    own = Window.partitionBy("host", "session").orderBy("ts_ft", "id")
-    before = F.lag("n").over(own)
-    rows = rows.withColumn("begins", F.when((F.col("n") == 21) | before.isNull() | (before == 23), 1).otherwise(0)).withColumn("chain", F.sum("begins").over(own))
+    rows = running(rows, ["host", "session"], ["ts_ft", "id"], [lag("before", F.col("n"))])
+    before = F.col("before.v")
+    begins = F.when((F.col("n") == 21) | before.isNull() | (before == 23), 1).otherwise(0)
+    rows = running(rows, ["host", "session"], ["ts_ft", "id"], [Running("chain", "sum", begins)])
     event = F.struct("ts_ft", "id", "step", "u", "a", "n")
     chains = rows.groupBy("host", "session", "chain").agg(F.array_sort(F.collect_list(event)).alias("e"))
     first = lambda c: F.coalesce(F.get(F.filter(F.transform("e", lambda x: x[c]), lambda v: v.isNotNull()), F.lit(0)), F.lit("?"))
