@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests_support import make
 from tracequarry.functions import labels, names
-from tracequarry.functions.net import ip_key
+from tracequarry.functions.net import ip_key_of
 from tracequarry.functions.timeparse import SECOND
 from tracequarry.operators import chips, entities, explore, proctree, sessions
 
@@ -109,7 +109,8 @@ def test_names(spark):
     users = spark.createDataFrame([("A\\b", "c"), ("b@d.e", None), ("b", "-"), ("@x", None), ("nt\\", None)], "u string, d string")
     n, d = names.split_user(F.col("u"), F.col("d"))
     assert [tuple(r) for r in users.select(n, d).collect()] == [("b", "A"), ("b", "D"), ("b", None), ("@x", None), (None, None)]
-    assert ip_key("[::1]") is None and ip_key("0:0:0:0:0:FFFF:10.0.0.1") == "10.0.0.1" and ip_key("FE80::1") == "fe80::1" and ip_key("x") is None
+    own = spark.createDataFrame([(v,) for v in ("[::1]", "0:0:0:0:0:FFFF:10.0.0.1", "FE80::1", "x")], "v string").select(ip_key_of(F.col("v")))
+    assert [r[0] for r in own.collect()] == [None, "10.0.0.1", "fe80::1", None]
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 1500])
@@ -178,3 +179,14 @@ def test_histogram_range_is_exact_with_far_times(spark):
     assert [r["start"] for r in got] == list(range(lo // width * width, hi // width * width + 1, width))
     assert [r["count"] for r in got] == [sum(r["start"] <= t < r["start"] + width for t in times) for r in got]
     assert {(r["before"], r["after"]) for r in got} == {(sum(t < got[0]["start"] for t in times), sum(t >= got[-1]["start"] + width for t in times))}
+
+
+def test_histogram_runs_no_job_before_the_action(spark):
+    df = spark.range(5000).select((F.col("id") * 7 * SECOND).alias("ts_ft"))
+    spark.sparkContext.setJobGroup("histogram", "")
+    try:
+        plan = explore.histogram(df)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("histogram")) == []
+        assert plan.count() > 0 and list(spark.sparkContext.statusTracker().getJobIdsForGroup("histogram"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -61,21 +61,26 @@ def raw_mentions(events: EventSet) -> DataFrame:
     return rows.where("raw is not null or sid is not null")
 
 
-def renames(events: EventSet) -> dict[str, str]:
-    """Old host key to its last name, from rename events; a handful of rows."""
+def renames(events: EventSet) -> DataFrame | None:
+    """(old, final) of host keys that rename events gave another name; of several new names the last in time counts.
+
+    A host may be renamed many times: the names that follow one another are joined four times, each time twice as far, up to
+    MOST_RENAMES names. A circle of names ends there too.
+    """
     if "Data" not in events.keys or "@EventID" not in events.keys:
-        return {}
+        return None
     data = events.keys["Data"]
     own = events.df.where((events.keys["@EventID"].first == "6011") & (F.lower(events.raw("@Provider")) == "eventlog"))
-    pairs = {r["a"]: r["b"] for r in own.orderBy("id").select(host_key(F.get(data.text, F.lit(0))).alias("a"), host_key(F.get(data.text, F.lit(1))).alias("b")).distinct().collect() if r["a"] and r["b"] and r["a"] != r["b"]}
-    out = {}
-    for old, name in pairs.items():
-        for _ in range(MOST_RENAMES):
-            if name not in pairs or pairs[name] == old:
-                break
-            name = pairs[name]
-        out[old] = name
-    return out
+    pairs = own.select("id", host_key(F.get(data.text, F.lit(0))).alias("old"), host_key(F.get(data.text, F.lit(1))).alias("new")).where("old <> new")
+    table = stored(pairs.groupBy("old").agg(F.max_by("new", "id").alias("final")), "renames")
+    if table.isEmpty():
+        return None
+    hops = 1
+    while hops < MOST_RENAMES:
+        ahead = table.select(F.col("old").alias("final"), F.col("final").alias("_next"))
+        table = stored(table.join(ahead, "final", "left").select("old", F.coalesce("_next", "final").alias("final")), "renames")
+        hops *= 2
+    return table
 
 
 def build(events: EventSet) -> Registry:
@@ -83,13 +88,10 @@ def build(events: EventSet) -> Registry:
     raw = stored(raw_mentions(events), "mentions")
     moved = renames(events)
     host = host_key(F.col("raw"))
-    if moved:
-        table = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])
-        final = F.coalesce(table[host], host)
-    else:
-        final = host
     machine = (F.col("kind") == "user") & F.col("raw").endswith("$")
-    hosts = raw.where((F.col("kind") == "host") | machine).select("id", "ts_ft", F.lit("host").alias("kind"), F.when(machine, F.lit("account")).otherwise(F.col("role")).alias("role"), final.alias("key"), host.alias("name"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("sid")).where("key is not null")
+    hosts = raw.where((F.col("kind") == "host") | machine).select("id", "ts_ft", F.lit("host").alias("kind"), F.when(machine, F.lit("account")).otherwise(F.col("role")).alias("role"), host.alias("key"), host.alias("name"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("sid")).where("key is not null")
+    if moved is not None:
+        hosts = hosts.join(moved, hosts["key"] == moved["old"], "left").withColumn("key", F.coalesce("final", "key")).drop("old", "final")
     ips = raw.where("kind = 'ip'").withColumn("key", ip_key_of(F.col("raw"))).where("key is not null").select("id", "ts_ft", "kind", "role", "key", F.col("key").alias("name"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("sid"))
     inner = F.nullif(F.regexp_extract("raw", r"^%\{(S-1-[0-9-]+)\}$", 1), F.lit(""))
     name, domain = split_user(F.when(inner.isNull(), F.col("raw")), F.col("domain"))
@@ -153,13 +155,11 @@ def lookup(registry: Registry, kind: str, text: str) -> DataFrame:
     """Entities that a user's text names: by key, SID, display, alias, or domain and name."""
     low, spark = text.strip().lower(), registry.entities.sparkSession
     keys = [low]
-    one = spark.range(1).select(host_key(F.lit(text)).alias("h"), domain_key(F.lit(text.split("\\")[0])).alias("d")).first()
+    one = spark.range(1).select(host_key(F.lit(text)).alias("h"), domain_key(F.lit(text.split("\\")[0])).alias("d"), ip_key_of(F.lit(text)).alias("i")).first()
     if kind == "host" and one["h"]:
         keys.append(one["h"].lower())
     if kind == "ip":
-        from ..functions.net import ip_key
-
-        keys.append(ip_key(text) or low)
+        keys.append(one["i"] or low)
     hit = F.lower("key").isin(*keys) | (F.lower("sid") == low) | (F.lower("display") == low) | F.exists("aliases", lambda a: F.lower(a) == low)
     if kind == "user" and "\\" in text:
         hit = F.coalesce(hit, F.lit(False)) | (F.exists("aliases", lambda a: F.lower(a) == low.split("\\", 1)[1]) & (F.col("domain") == (one["d"] or "")))

@@ -30,51 +30,59 @@ def distinct_values(events: EventSet, name: str) -> DataFrame:
     return events.df.select(value.alias("v")).agg(F.count_distinct("v").alias("n"))
 
 
+#: Ticks of the steps in which the events at the ends of the trimmed range are found: a day, a second, a tick.
+_STEPS = (86_400 * SECOND, SECOND, 1)
+
+
+def _floored(ft: Column, width: Column | int) -> Column:
+    width = F.lit(width) if isinstance(width, int) else width
+    return F.call_function("div", ft - F.pmod(ft, width), width)
+
+
+def _ends(times: DataFrame) -> DataFrame:
+    """(lo, hi) of times ``ft``: their first and last, or, from more than TRIM_FROM on, those at n / 1000 from either end.
+
+    Days are counted, then the seconds of the two days where the ends lie, then the ticks of two seconds. What is ordered at
+    once is one row for each day, each second of a day, or each tick of a second.
+    """
+    found = None
+    for step in _STEPS:
+        rows = times.withColumn("cell", _floored(F.col("ft"), step))
+        if found is None:
+            counts = rows.groupBy("cell").agg(F.count("*").alias("c"))
+            n = F.sum("c").over(Window.partitionBy())
+            cut = F.when(n > TRIM_FROM, F.floor(n / 1000)).otherwise(0)
+            below = F.sum("c").over(Window.orderBy("cell")) - F.col("c")
+            counts = counts.withColumns({"below": below, "ranks": F.array(cut, n - 1 - cut)}).select("*", F.posexplode("ranks").alias("side", "k"))
+        else:
+            counts = rows.withColumn("up", _floored(F.col("ft"), above)).join(F.broadcast(found), "up").groupBy("side", "k", "cell").agg(F.count("*").alias("c"))
+            counts = counts.withColumn("below", F.sum("c").over(Window.partitionBy("side").orderBy("cell")) - F.col("c"))
+        found = counts.where((F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("c"))).select("side", F.col("cell").alias("up"), (F.col("k") - F.col("below")).alias("k"))  # two rows
+        above = step
+    return found.agg(F.min("up").alias("lo"), F.max("up").alias("hi"))
+
+
 def histogram(df: DataFrame, time: str = "ts_ft") -> DataFrame:
     """Bins (start, width, count) with before and after, the events outside the binned range.
 
     The width is the first of WIDTHS not below the span over BINS, and bins start at its multiples since 1601. From
-    more than TRIM_FROM events on, the range runs between the events at n / 1000 from either end.
+    more than TRIM_FROM events on, the range runs between the events at n / 1000 from either end. One plan, and no job before
+    it runs: the bounds are a subquery of one row.
     """
-    ft = F.col(time)
-    all_ = df.agg(F.count(ft).alias("n"), F.min(ft).alias("lo"), F.max(ft).alias("hi")).first()
-    n = all_["n"]
-    if not n:
-        return df.sparkSession.createDataFrame([], "start bigint, width bigint, count bigint, before bigint, after bigint")
-    lo, hi = all_["lo"], all_["hi"]
-    if n > TRIM_FROM:
-        lo, hi = _nth(df, ft, [n // 1000, n - 1 - n // 1000], lo, hi)
-    width = next((w * SECOND for w in WIDTHS if w * SECOND * BINS >= hi - lo), WIDTHS[-1] * SECOND)
-    first, last = lo // width, hi // width
+    times = df.select(F.col(time).alias("ft")).where("ft is not null")
+    width = F.lit(WIDTHS[-1] * SECOND)
+    for w in reversed(WIDTHS):
+        width = F.when(F.lit(w * SECOND * BINS) >= F.col("hi") - F.col("lo"), F.lit(w * SECOND)).otherwise(width)
+    bounds = _ends(times).withColumn("width", width).select("width", _floored(F.col("lo"), F.col("width")).alias("first"), _floored(F.col("hi"), F.col("width")).alias("last"))
+    one = bounds.select(F.struct("width", "first", "last")).scalar()
     # all that lies outside falls into one bin on either side
-    at = F.greatest(F.least(F.call_function("div", ft - F.pmod(ft, F.lit(width)), F.lit(width)), F.lit(last + 1)), F.lit(first - 1))
-    counts = df.where(ft.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("count"))
-    every = df.sparkSession.range(first - 1, last + 2).select(F.col("id").alias("bin"))
-    rows = every.join(F.broadcast(counts), "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    side = lambda bin: F.max(F.when(F.col("bin") == bin, F.col("count"))).over(Window.partitionBy(F.lit(0)))  # noqa: E731  # a row for each bin
-    rows = rows.withColumns({"before": side(first - 1), "after": side(last + 1)}).where(F.col("bin").between(first, last))
-    return rows.select((F.col("bin") * width).alias("start"), F.lit(width).alias("width"), "count", "before", "after")
-
-
-#: Parts that a range of times is narrowed by in one scan.
-NARROW = 50_000
-
-
-def _nth(df: DataFrame, ft: Column, ranks: list[int], lo: int, hi: int) -> list[int]:
-    """The times at some ranks, exactly: counted ranges are narrowed for all ranks in one scan, three for half a year."""
-    found = [(lo, hi, k) for k in ranks]
-    while any(lo < hi for lo, hi, _ in found):
-        steps = [max(1, -(-(hi - lo + 1) // NARROW)) for lo, hi, _ in found]
-        cells = [F.when(ft.between(lo, hi), F.struct(F.lit(i).alias("i"), F.call_function("div", ft - F.lit(lo), F.lit(step)).alias("b"))) for i, ((lo, hi, _), step) in enumerate(zip(found, steps, strict=True))]
-        counts = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).groupBy("i", "b").agg(F.count("*").alias("c"))
-        below = F.sum("c").over(Window.partitionBy("i").orderBy("b")) - F.col("c")  # NARROW rows at most for each rank
-        wanted = F.element_at(F.array(*[F.lit(k) for _, _, k in found]), F.col("i") + 1)
-        hits = counts.withColumn("below", below).where((F.col("below") <= wanted) & (wanted < F.col("below") + F.col("c"))).collect()  # one row a rank
-        for r in hits:
-            lo, hi, k = found[r["i"]]
-            start = lo + r["b"] * steps[r["i"]]
-            found[r["i"]] = (start, min(hi, start + steps[r["i"]] - 1), k - r["below"])
-    return [lo for lo, _, _ in found]
+    at = F.greatest(F.least(_floored(F.col("ft"), one["width"]), one["last"] + 1), one["first"] - 1)
+    counts = times.groupBy(at.alias("bin")).agg(F.count("*").alias("count"))
+    every = bounds.select("*", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("bin"))
+    rows = every.join(counts, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    side = lambda bin: F.max(F.when(F.col("bin") == bin, F.col("count"))).over(Window.partitionBy())  # noqa: E731  # a row for each bin
+    rows = rows.withColumns({"before": side(F.col("first") - 1), "after": side(F.col("last") + 1)}).where(F.col("bin").between(F.col("first"), F.col("last")))
+    return rows.select((F.col("bin") * F.col("width")).alias("start"), "width", "count", "before", "after")
 
 
 def timeline(df: DataFrame, zone: str = "UTC") -> DataFrame:

@@ -21,6 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import net
 from ..functions import text as X
 from ..model import EventSet, Key
 from ..plans import ast, printer
@@ -92,6 +93,9 @@ class Pack:
             if not value:
                 return []
             return [(name, op, value) if grams(literal_of(op, value)) else (name, ast.Cond(name, op, value))]
+        if op == "cidr":
+            net.network(value)  # says what is wrong with it
+            return [(name, "cidr", value)]
         if op in ("<", "<=", ">", ">=") and key.number is not None:
             return None
         return [(name, ast.Cond(name, op, value))]
@@ -199,7 +203,12 @@ def matches(pack: Pack, values: DataFrame) -> DataFrame:
     if plain:
         wanted = spark.createDataFrame(plain, "pattern int, key string, kind string, text string").withColumn("low", F.lower("text"))
         found.append(values.join(wanted, ["key", "low"]).where("kind = 'equal' or value = text").select("key", "value", "pattern"))
-    parts = [(p, i, literal_of(*p[1:])) for p, i in pack.patterns.items() if p[1] not in ("equal", "exact")]
+    subnets = [(i, k, text) for (k, kind, text), i in pack.patterns.items() if kind == "cidr"]
+    if subnets:
+        of_key = spark.createDataFrame([(i, k) for i, k, _ in subnets], "net int, key string")
+        within = net.in_networks(values.where(F.col("key").isin(*{k for _, k, _ in subnets})), "value", [(i, text) for i, _, text in subnets])
+        found.append(within.join(of_key, ["net", "key"]).select("key", "value", F.col("net").alias("pattern")))
+    parts = [(p, i, literal_of(*p[1:])) for p, i in pack.patterns.items() if p[1] not in ("equal", "exact", "cidr")]
     if parts:
         often = Counter(g for _, _, run in parts for g in grams(run))
         rows = [(min(grams(run), key=lambda g: (often[g], g)), i, k, kind, X.like_pattern(t.lower()) if kind == "like" else t) for (k, kind, t), i, run in parts]

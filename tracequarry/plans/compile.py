@@ -176,8 +176,6 @@ class Compiler:
                 return self.in_time(target, value)
             return target.any(lambda v: matches(v, value))
         if op == "cidr":
-            if target.many and net.network(value).version == 6:
-                return F.coalesce(net.any_in_subnet(target.text, value), F.lit(False))
             return target.any(lambda v: net.in_subnet(v, value))
         raise QueryError("operator-expected", f"unknown operator {op}")
 
