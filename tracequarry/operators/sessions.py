@@ -47,23 +47,30 @@ def with_boot(rows: DataFrame, boots: DataFrame, time: str = "ts_ft", host: str
     return joined.withColumn("boot", F.coalesce(F.size(F.filter("boots", lambda b: b <= F.col(time))), F.lit(0))).drop("boots")
 
 
+#: Details of a logon and the fields that hold them.
+DETAILS = {
+    "sid": "TargetUserSid", "type": "LogonType", "workstation": "WorkstationName", "ip": "IpAddress", "package": "AuthenticationPackageName",
+    "process": "LogonProcessName", "elevated": "ElevatedToken", "linked": "TargetLinkedLogonId", "name": "TargetUserName", "domain": "TargetDomainName",
+}
+
+
+def logon_rows(events: EventSet, boots: DataFrame) -> DataFrame:
+    """Starts (kind s), ends (e) and privileges (p) of logons, with key: host, boot and logon id. It holds no state, so a stream may be read too."""
+    n = event_id(events)
+    kind = F.when(n == 4624, "s").when(n.isin(4634, 4647), "e").when(n == 4672, "p")
+    logon = F.when(n == 4672, events.value("SubjectLogonId")).otherwise(events.value("TargetLogonId"))
+    rows = events.df.where(on_channel(events, "Security") & kind.isNotNull())
+    rows = rows.select("id", events.time.alias("ts_ft"), kind.alias("kind"), F.coalesce(host_key(events.raw("@Computer")), F.upper(events.raw("@Computer"))).alias("host"), F.lower(logon).alias("logon"), *[events.value(f).alias(c) for c, f in DETAILS.items()])
+    return with_boot(rows.where("logon is not null"), boots).withColumn("key", F.concat_ws("|", "host", F.col("boot").cast("string"), "logon"))
+
+
 def logons(events: EventSet, boots: DataFrame | None = None) -> DataFrame:
     """Logon sessions with their end: each start takes the earliest unused end at or after it, in order of start.
 
     With the starts of a key numbered i and its ends k, and lb the ends before start i, start i takes end
     i + max(lb(j) - j, j <= i): a running maximum instead of a loop.
     """
-    boots = boot_times(events) if boots is None else boots
-    n = event_id(events)
-    kind = F.when(n == 4624, "s").when(n.isin(4634, 4647), "e").when(n == 4672, "p")
-    logon = F.when(n == 4672, events.value("SubjectLogonId")).otherwise(events.value("TargetLogonId"))
-    rows = events.df.where(on_channel(events, "Security") & kind.isNotNull())
-    details = {
-        "sid": "TargetUserSid", "type": "LogonType", "workstation": "WorkstationName", "ip": "IpAddress", "package": "AuthenticationPackageName",
-        "process": "LogonProcessName", "elevated": "ElevatedToken", "linked": "TargetLinkedLogonId", "name": "TargetUserName", "domain": "TargetDomainName",
-    }
-    rows = rows.select("id", events.time.alias("ts_ft"), kind.alias("kind"), events.raw("@Computer").alias("computer"), F.coalesce(host_key(events.raw("@Computer")), F.upper(events.raw("@Computer"))).alias("host"), F.lower(logon).alias("logon"), *[events.value(f).alias(c) for c, f in details.items()])
-    rows = with_boot(rows.where("logon is not null"), boots).withColumn("key", F.concat_ws("|", "host", F.col("boot").cast("string"), "logon"))
+    rows = logon_rows(events, boot_times(events) if boots is None else boots)
     # ends of one time as a start come after it, so that they can end it
     order = ["ts_ft", F.when(F.col("kind") == "s", 0).otherwise(1), "id"]
     is_end = F.when(F.col("kind") == "e", 1).otherwise(0)
