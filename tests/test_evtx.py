@@ -5,7 +5,7 @@ from evtx_maker import EVENT, ChunkMaker, log, values
 
 from tracequarry.functions.timeparse import parse_time
 from tracequarry.model import BIT, flag_names
-from tracequarry.sources import binxml, evtx, ingest
+from tracequarry.sources import binxml, evtx, files, ingest
 from tracequarry.sources.case import Case
 
 T = parse_time("2024-03-01 10:00:00.1234567Z")
@@ -115,7 +115,7 @@ def test_case(spark, tmp_path):
     case.annotate(3, "blue")
     case.annotate(3, None)
     assert [r["id"] for r in run(case.events(), "tag = red").events.collect()] == [2] and run(case.events(), "tag exists").events.count() == 1
-    assert case.source_record(2)[0] == "loaded" and evtx.reread(str(logs / "gone"), 0, 512, 1)[0] == "missing"
+    assert case.source_record(2)[0] == "loaded" and files.reread(spark, str(logs / "gone"), 0, 512, 1)[0] == "missing"
     with pytest.raises(FileExistsError):
         Case.create(spark, [str(logs)], str(tmp_path / "case"))
     stats = {r["source"]: r for r in case.table("sources").collect()}
@@ -134,3 +134,57 @@ def test_data_source(spark, tmp_path):
 
 def test_labels():
     assert ingest.unique_labels(["/a/x/s.evtx", "/b/x/s.evtx", "/c/t.evtx"]) == {"/a/x/s.evtx": "a/x/s.evtx", "/b/x/s.evtx": "b/x/s.evtx", "/c/t.evtx": "t.evtx"}
+
+
+def test_files_through_the_shared_store(spark, tmp_path):
+    """The same list by path and by URI; hidden files, links and other files are left out; states of records read again."""
+    (tmp_path / "a" / ".hidden").mkdir(parents=True)
+    data = log([chunk(3).done()])
+    for name in ("a/S.EVTX", "a/noext", "a/.x.evtx", "a/.hidden/y.evtx", "top.evtx"):
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "a" / "other").write_bytes(b"not a log")
+    (tmp_path / "a" / "empty").write_bytes(b"")
+    (tmp_path / "a" / "z.txt").write_bytes(data)
+    want = [f"file:{tmp_path}/{n}" for n in ("a/S.EVTX", "a/noext", "top.evtx")]
+    assert files.discover(spark, [str(tmp_path)]) == want == files.discover(spark, [f"file:{tmp_path}"])
+    assert files.discover(spark, [f"{tmp_path}/a/z.txt"]) == [f"file:{tmp_path}/a/z.txt"]
+    state, raw = files.reread(spark, want[0], 0, 512, 1)
+    assert state == "loaded" and raw[:4] == b"**\0\0" and len(raw) == int.from_bytes(raw[4:8], "little")
+    again = lambda *a: files.reread(spark, *a)[0]
+    assert [again(want[0], 0, 512, 99), again(want[0], 0, 513, 1), again(want[0], 7, 512, 1), again(want[0], None, 1, 1), again(f"{tmp_path}/a/other", 0, 512, 1)] == ["mismatch", "unreadable", "unreadable", "no-location", "unreadable"]
+
+
+def test_progress_by_phases(spark, tmp_path):
+    """An import shows its phases; another thread stops one that would not end."""
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tracequarry.operators.progress import Progress
+
+    (tmp_path / "S.evtx").write_bytes(log([chunk(3).done()]))
+    progress = Progress(spark)
+    Case.create(spark, [str(tmp_path)], str(tmp_path / "case"), progress=progress)
+    states = {s.phase: s for s in progress.states()}
+    assert list(states) == ["scanning", "parsing", "sorting", "writing", "finishing"] and all(s.ended and s.running == 0 for s in states.values())
+    assert states["parsing"].jobs > 0 and states["writing"].done > 0 and states["writing"].failed == 0
+    seen, failed = Progress(spark), []
+
+    def work():
+        try:
+            with seen.phase("endless"):
+                spark.range(0, 10**15, 1, 8).agg(F.sum(F.sin("id"))).collect()
+        except Exception as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    for _ in range(200):
+        if any(s.running for s in seen.states()):
+            break
+        time.sleep(0.1)
+    assert [(s.phase, s.running, s.ended) for s in seen.states()] == [("endless", 1, False)]
+    seen.cancel("endless")
+    thread.join(60)
+    assert not thread.is_alive() and failed and seen.states()[0].ended

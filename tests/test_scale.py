@@ -133,3 +133,25 @@ def test_analytics_of_hot_keys_equal_the_plain_ones(spark, monkeypatch):
     plain = all_of()
     monkeypatch.setattr(R.running, "__defaults__", (20,))
     assert all_of() == plain and all(plain)
+
+
+def test_pages_and_places_read_few_files(spark):
+    ids = sorted(random.Random(3).sample(range(100_000), 20_000))
+    rows = spark.createDataFrame([(i, i * 2) for i in ids], "id long, v long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        own = explore.Ranked.of(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert own.ranges.count() == 4
+    for after, size in ((None, 256), (-1, 10), (ids[9_990], 300), (ids[-3], 256), (ids[-1], 5), (ids[100], 20_000)):
+        got = own.page(after, size)
+        at = 0 if after is None else sum(i <= after for i in ids)
+        assert [r["id"] for r in got.collect()] == ids[at : at + size]
+        if size <= 300:
+            assert len(got.inputFiles()) <= 2
+    for id in (0, ids[0], ids[777], ids[777] + 1, ids[-1], 10**9):
+        assert own.position(id).first()["n"] == sum(i < id for i in ids)
+    scanned = own.page(ids[100], 5)
+    assert len(scanned.inputFiles()) == 2 and spark.read.parquet(*scanned.inputFiles()).count() < 10_200
+    assert explore.Ranked.of(rows.limit(0)).page().count() == 0 == explore.Ranked.of(rows.limit(0)).position(5).first()["n"]

@@ -136,8 +136,8 @@ _add("so03_except", lambda s, d: explore.subtract(*_two(s, d)).select("id"), f"{
 _add("so04_complement", lambda s, d: explore.complement(events(s, d).df, _two(s, d)[0]).select("id"), f"SELECT event_id AS id FROM events EXCEPT {_A}")
 _add("so05_range", lambda s, d: explore.clamp(_two(s, d)[0], 100, 400).select("id"), f"{_A} AND event_id BETWEEN 100 AND 400")
 _add("so05_common", lambda s, d: explore.common_count(*_two(s, d)), f"SELECT count(*) AS n FROM ({_A} INTERSECT {_B})")
-_add("o04_page", lambda s, d: explore.page(_two(s, d)[0], 200).select("id"), f"{_A} AND event_id > 200 ORDER BY event_id LIMIT 256")
-_add("o05_position", lambda s, d: explore.position(_two(s, d)[0], 500), f"SELECT count(*) AS n FROM ({_A}) WHERE id < 500")
+_add("o04_page", lambda s, d: explore.Ranked.of(_two(s, d)[0].select("id")).page(200), f"{_A} AND event_id > 200 ORDER BY event_id LIMIT 256")
+_add("o05_position", lambda s, d: explore.Ranked.of(_two(s, d)[0].select("id")).position(500), f"SELECT count(*) AS n FROM ({_A}) WHERE id < 500")
 _add("a13_log_counts", lambda s, d: _t(s, d, "events").select(explore.short_channel(F.concat(F.lit("Microsoft-Windows-"), "event_type")).alias("log")).groupBy("log").agg(F.count("*").alias("count")), "SELECT event_type AS log, count(*) AS count FROM events GROUP BY 1")
 
 
@@ -380,7 +380,7 @@ _M = "WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS bal, c_mk
 _add("sg07_modifiers", modifiers, f"{_M} " + " UNION ALL ".join(f"SELECT '{name}' AS title, k AS id FROM c WHERE {sql}" for name, (_, sql) in MODIFIERS.items()))
 _add("a07_rules_by_level", lambda s, d: detections.run(events(s, d), rule_set()).by_level(), "SELECT 'high' AS level, count(DISTINCT title) AS rules FROM (" + SQL["sg_run"] + ") HAVING count(*) > 0")
 _add("sg14_rule_hosts", lambda s, d: detections.run(logon_events(s, d), _logon_rules()).summary().select("title", "hits", "hosts", "first_ft", "last_ft"), f"SELECT 'type three' AS title, count(*) AS hits, count(DISTINCT user_id % 3) AS hosts, min({_FT}) AS first_ft, max({_FT}) AS last_ft FROM events WHERE event_type = 'view' AND user_id % 5 = 3")
-_add("sg15_hit_events", lambda s, d: detections.run(events(s, d), rule_set()).hit_events(), "SELECT count(DISTINCT id) AS n FROM (" + SQL["sg_run"] + ")")
+_add("a06_hit_events", lambda s, d: detections.run(events(s, d), rule_set()).hit_events(), "SELECT count(DISTINCT id) AS n FROM (" + SQL["sg_run"] + ")")
 
 
 def _logon_rules() -> RuleSet:
@@ -434,11 +434,11 @@ def _described(spark: SparkSession, sf: str) -> DataFrame:
 # more of the registry, sessions and processes
 
 _add("en02_registry", lambda s, d: entities.build(entity_events(s, d)).entities.select("entity", "kind", "display", "events"), f"WITH x AS ({_CN}), m AS (SELECT id, u AS entity, 'user' AS kind FROM x UNION ALL SELECT id, h, 'host' FROM x UNION ALL SELECT id, i, 'ip' FROM x) SELECT entity, kind, CASE kind WHEN 'user' THEN (SELECT min(translate(c_name, '#', '')) FROM customer WHERE 'user|name:\\' || lower(translate(c_name, '#', '')) = entity) WHEN 'host' THEN substr(entity, 6) ELSE substr(entity, 4) END AS display, count(DISTINCT id) AS events FROM m GROUP BY 1, 2")
-_add("en05_listed", lambda s, d: entities.listed(entities.build(entity_events(s, d)), "host", "1").select("key", "events"), f"WITH x AS ({_CN}) SELECT substr(h, 6) AS key, count(*) AS events FROM x WHERE h LIKE '%1%' GROUP BY 1")
-_add("en06_events_of", lambda s, d: entities.events_of(entities.build(entity_events(s, d)), "host|NATION_1", "logging"), f"WITH x AS ({_CN}) SELECT id FROM x WHERE h = 'host|NATION_1'")
-_add("en10_links_of", lambda s, d: entities.links_of(entities.build(entity_events(s, d)), "host|NATION_1").select("other", "count"), f"WITH x AS ({_CN}) SELECT other, count(*) AS count FROM (SELECT u AS other FROM x WHERE h = 'host|NATION_1' UNION ALL SELECT i FROM x WHERE h = 'host|NATION_1') GROUP BY 1")
+_add("en10_listed", lambda s, d: entities.listed(entities.build(entity_events(s, d)), "host", "1").select("key", "events"), f"WITH x AS ({_CN}) SELECT substr(h, 6) AS key, count(*) AS events FROM x WHERE h LIKE '%1%' GROUP BY 1")
+_add("en11_events_of", lambda s, d: entities.events_of(entities.build(entity_events(s, d)), "host|NATION_1", "logging"), f"WITH x AS ({_CN}) SELECT id FROM x WHERE h = 'host|NATION_1'")
+_add("en12_links_of", lambda s, d: entities.links_of(entities.build(entity_events(s, d)), "host|NATION_1").select("other", "count"), f"WITH x AS ({_CN}) SELECT other, count(*) AS count FROM (SELECT u AS other FROM x WHERE h = 'host|NATION_1' UNION ALL SELECT i FROM x WHERE h = 'host|NATION_1') GROUP BY 1")
 _add("j10_common_events", lambda s, d: entities.common_events(entities.build(entity_events(s, d)), "host|NATION_1", "ip|10.1.0.7"), f"WITH x AS ({_CN}) SELECT id FROM x WHERE h = 'host|NATION_1' AND i = 'ip|10.1.0.7'")
-_add("en12_lookup", lambda s, d: entities.lookup(entities.build(entity_events(s, d)), "host", "nation_2").select("entity"), f"WITH x AS ({_CN}) SELECT DISTINCT h AS entity FROM x WHERE h = 'host|NATION_2'")
+_add("en13_lookup", lambda s, d: entities.lookup(entities.build(entity_events(s, d)), "host", "nation_2").select("entity"), f"WITH x AS ({_CN}) SELECT DISTINCT h AS entity FROM x WHERE h = 'host|NATION_2'")
 
 
 def sid_events(spark: SparkSession, sf: str) -> EventSet:
@@ -448,14 +448,14 @@ def sid_events(spark: SparkSession, sf: str) -> EventSet:
 
 
 _add("j11_name_to_sid", lambda s, d: entities.build(sid_events(s, d)).entities.select("entity", "display", "events"), "WITH s AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 2 = 0) SELECT CASE WHEN c IS NULL THEN 'user|name:\\u' || o_custkey ELSE 'user|sid:S-1-5-21-1-2-3-' || o_custkey END AS entity, 'u' || o_custkey AS display, count(*) AS events FROM orders LEFT JOIN s ON c = o_custkey GROUP BY o_custkey, c")
-_add("s05_search", lambda s, d: sessions.search(logons(s, d), "h1", ("host",)).select("id", "host"), f"{_LOGONS} SELECT id, host FROM full_s WHERE host = 'H1'")
-_add("s09_totals", lambda s, d: sessions.logon_totals(logon_events(s, d), logons(s, d), boots(s, d)).select("sessions", "closed", "open", "privileged", "unmatched_ends"), f"{_LOGONS} SELECT count(*) AS sessions, count(end_ft) AS closed, count(*) - count(end_ft) AS open, count(*) FILTER (privileged) AS privileged, (SELECT count(*) FROM events WHERE event_type = 'purchase') - count(end_ft) AS unmatched_ends FROM full_s")
+_add("s09_search", lambda s, d: sessions.search(logons(s, d), "h1", ("host",)).select("id", "host"), f"{_LOGONS} SELECT id, host FROM full_s WHERE host = 'H1'")
+_add("s05_totals", lambda s, d: sessions.logon_totals(logon_events(s, d), logons(s, d), boots(s, d)).select("sessions", "closed", "open", "privileged", "unmatched_ends"), f"{_LOGONS} SELECT count(*) AS sessions, count(end_ft) AS closed, count(*) - count(end_ft) AS open, count(*) FILTER (privileged) AS privileged, (SELECT count(*) FROM events WHERE event_type = 'purchase') - count(end_ft) AS unmatched_ends FROM full_s")
 _add("s04_durations", lambda s, d: logons(s, d).select("id", "duration", "user", "privileged"), f"{_LOGONS} SELECT id, end_ft - start_ft AS duration, CAST(NULL AS VARCHAR) AS user, privileged FROM full_s")
-_add("s07_rdp_steps", lambda s, d: sessions.rdp_chains(rdp_events(s, d)).select("host", "session", "start_ft", F.array_join(F.transform("events", lambda x: x.cast("string")), ",").alias("ids")), f"""WITH e AS (SELECT event_id AS id, {_FT} AS t, 'H' || (user_id % 3) AS host, CAST(user_id % 5 AS VARCHAR) AS session, CASE event_type WHEN 'signup' THEN 21 WHEN 'purchase' THEN 23 ELSE 22 END AS n FROM events WHERE event_type IN ('signup', 'view', 'click', 'error', 'purchase')),
+_add("s06_rdp_steps", lambda s, d: sessions.rdp_chains(rdp_events(s, d)).select("host", "session", "start_ft", F.array_join(F.transform("events", lambda x: x.cast("string")), ",").alias("ids")), f"""WITH e AS (SELECT event_id AS id, {_FT} AS t, 'H' || (user_id % 3) AS host, CAST(user_id % 5 AS VARCHAR) AS session, CASE event_type WHEN 'signup' THEN 21 WHEN 'purchase' THEN 23 ELSE 22 END AS n FROM events WHERE event_type IN ('signup', 'view', 'click', 'error', 'purchase')),
     p AS (SELECT *, lag(n) OVER (PARTITION BY host, session ORDER BY t, id) AS b FROM e), c AS (SELECT *, sum(CASE WHEN n = 21 OR b IS NULL OR b = 23 THEN 1 ELSE 0 END) OVER (PARTITION BY host, session ORDER BY t, id) AS chain FROM p)
     SELECT host, session, min(t) AS start_ft, string_agg(CAST(id AS VARCHAR), ',' ORDER BY t, id) AS ids FROM c GROUP BY host, session, chain""")
-_add("pt02_repeats", lambda s, d: proctree.sysmon_nodes(repeated_processes(s, d)).where("not synthetic").select("key", "id", "repeats"), "SELECT upper('g' || (o_custkey)) AS key, min(o_orderkey) AS id, count(*) - 1 AS repeats FROM orders GROUP BY o_custkey")
-_add("pt07_search", lambda s, d: proctree.search_paths(proctree.sysmon_nodes(sysmon_events(s, d)), "\\P12", None).select("key", "depth"), f"{_TREE} SELECT CAST(k AS VARCHAR) AS key, depth FROM w WHERE k IN (SELECT k FROM c) AND CAST(k AS VARCHAR) LIKE '12%'")
+_add("pt01_repeats", lambda s, d: proctree.sysmon_nodes(repeated_processes(s, d)).where("not synthetic").select("key", "id", "repeats"), "SELECT upper('g' || (o_custkey)) AS key, min(o_orderkey) AS id, count(*) - 1 AS repeats FROM orders GROUP BY o_custkey")
+_add("pt09_search", lambda s, d: proctree.search_paths(proctree.sysmon_nodes(sysmon_events(s, d)), "\\P12", None).select("key", "depth"), f"{_TREE} SELECT CAST(k AS VARCHAR) AS key, depth FROM w WHERE k IN (SELECT k FROM c) AND CAST(k AS VARCHAR) LIKE '12%'")
 
 
 def repeated_processes(spark: SparkSession, sf: str) -> EventSet:
@@ -490,9 +490,15 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
 _add("src19_numbered", _numbered, "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey, o_custkey) - 1 AS id, o_orderkey FROM orders")
 
 
+def _more() -> None:
+    from . import catalog_more  # registers its queries with _add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.timeparse import SECOND, UNIX_EPOCH, zone_name
 from ..model import EventSet, flag_names
+from ..stages import stored
 from .running import lag, running
 
 #: Widths of histogram bins, in seconds, and how many bins are aimed at.
@@ -108,6 +111,40 @@ def position(df: DataFrame, id: int) -> DataFrame:
     return df.where(F.col("id") < id).agg(F.count("*").alias("n"))
 
 
+@dataclass(frozen=True)
+class Ranked:
+    """Events written in ranges of their id, with ranges(file, first, last, n): a page reads the files it needs, a place is a sum and one file."""
+
+    ranges: DataFrame
+
+    @staticmethod
+    def of(df: DataFrame) -> Ranked:
+        rows = stored(df.repartitionByRange("id").sortWithinPartitions("id"), "ranked")
+        each = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+        return Ranked(stored(each.coalesce(1), "ranges"))
+
+    def _read(self, files: list[str]) -> DataFrame:
+        spark = self.ranges.sparkSession
+        return spark.read.parquet(*files) if files else spark.read.parquet(self.ranges.select("file").first()[0]).limit(0)
+
+    def page(self, after: int | None = None, size: int = 256) -> DataFrame:
+        """The next events after an id; each file that has any gives one at least, so that few rows of ranges tell the files."""
+        own = self.ranges if after is None else self.ranges.where(F.col("last") > after)
+        files, whole = [], 0
+        for r in own.orderBy("first").limit(size + 1).collect():
+            if whole >= size:
+                break
+            files.append(r["file"])
+            whole += r["n"] if after is None or r["first"] > after else 0
+        return page(self._read(files), after, size)
+
+    def position(self, id: int) -> DataFrame:
+        """How many events come before an id: those of the ranges before it, and the part of the one range around it."""
+        own = self.ranges.agg(F.sum(F.when(F.col("last") < id, F.col("n"))).alias("n"), F.max(F.when((F.col("first") < id) & (F.col("last") >= id), F.col("file"))).alias("file")).first()
+        part = position(self._read([own["file"]] if own["file"] else []), id)
+        return part.select((F.col("n") + F.lit(own["n"] or 0)).alias("n"))
+
+
 def flag_counts(events: DataFrame) -> DataFrame:
     return events.select("source", F.explode(flag_names(F.col("flags"))).alias("flag")).groupBy("source", "flag").agg(F.count("*").alias("count"))
 

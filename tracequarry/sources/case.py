@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EVENTS, EventSet
-from . import evtx, ingest
+from ..operators.progress import Progress
+from . import files, ingest
 
 ANNOTATIONS = "sha256 string, chunk int, off int, colour string, note string, changed double"
 
@@ -21,8 +22,8 @@ class Case:
     path: str
 
     @staticmethod
-    def create(spark: SparkSession, inputs: list[str], path: str, options: ingest.Options = ingest.Options()) -> Case:
-        ingest.build(spark, inputs, path, options)
+    def create(spark: SparkSession, inputs: list[str], path: str, options: ingest.Options = ingest.Options(), progress: Progress | None = None) -> Case:
+        ingest.build(spark, inputs, path, options, progress)
         return Case.open(spark, path)
 
     @staticmethod
@@ -57,11 +58,11 @@ class Case:
     # versions: each change writes a new folder, so readers never see half of one
 
     def _versions(self, name: str) -> list[str]:
-        fs, p = ingest._fs(self.spark, f"{self.path}/{name}")
+        fs, p = files.opened(self.spark, f"{self.path}/{name}")
         if not fs.exists(p):
             return []
         done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(v for v in done if fs.exists(ingest._fs(self.spark, f"{self.path}/{name}/{v}/_SUCCESS")[1]))
+        return sorted(v for v in done if fs.exists(files.opened(self.spark, f"{self.path}/{name}/{v}/_SUCCESS")[1]))
 
     def _latest(self, name: str) -> DataFrame | None:
         versions = self._versions(name)
@@ -121,7 +122,7 @@ class Case:
         row = self.table("events").where(F.col("id") == id).join(self.table("sources").select("source_id", "path"), "source_id").select("path", "chunk", "off", "record_id").first()
         if row is None:
             return "no-location", None
-        return evtx.reread(row["path"].removeprefix("file:"), row["chunk"], row["off"], row["record_id"])
+        return files.reread(self.spark, row["path"], row["chunk"], row["off"], row["record_id"])
 
     def info(self) -> list[tuple[str, str]]:
         """What a report says about the case: pairs for a table."""

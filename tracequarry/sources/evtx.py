@@ -35,6 +35,10 @@ class FileHeader:
     crc_ok: bool
 
 
+#: What a log file begins with.
+MAGIC = b"ElfFile\0"
+
+
 class NotALog(ValueError):
     pass
 
@@ -43,7 +47,7 @@ def file_header(data: bytes) -> FileHeader:
     """The header of a file; other files and the old .evt format are refused."""
     if data[4:8] == b"LfLe":
         raise NotALog("an old .evt log")
-    if len(data) < 128 or data[:8] != b"ElfFile\0":
+    if len(data) < 128 or data[:8] != MAGIC:
         raise NotALog("not an event log")
     first, last, record = struct.unpack_from("<QQQ", data, 8)
     _, minor, major, block, chunks = struct.unpack_from("<IHHHH", data, 32)
@@ -72,7 +76,7 @@ def discover(paths: list[str]) -> list[str]:
 def _starts_as_log(file: str) -> bool:
     try:
         with open(file, "rb") as f:
-            return f.read(8) == b"ElfFile\0"
+            return f.read(8) == MAGIC
     except OSError:
         return False
 
@@ -305,26 +309,11 @@ def hex_dump(data: bytes, width: int = 16) -> str:
     return "\n".join(lines)
 
 
-def reread(path: str, chunk: int, off: int, record_id: int | None) -> tuple[str, bytes | None]:
-    """A record from its source file again: (state, bytes). States: loaded, missing, no-access, unreadable, mismatch, no-location."""
-    if chunk is None or off is None:
-        return "no-location", None
-    try:
-        with open(path, "rb") as f:
-            head = file_header(f.read(128))
-            f.seek(head.header_size + chunk * CHUNK)
-            data = f.read(CHUNK)
-    except FileNotFoundError:
-        return "missing", None
-    except PermissionError:
-        return "no-access", None
-    except (OSError, NotALog):
-        return "unreadable", None
+def record_again(data: bytes, off: int, record_id: int | None) -> tuple[str, bytes | None]:
+    """A record of a chunk read again: loaded with its bytes, unreadable, or mismatch where it has another number."""
     r = Chunk.read(data).record(off, False, len(data))
     if r is None:
         return "unreadable", None
     if record_id is not None and _int(str(r.number)) != record_id:
         return "mismatch", None
     return "loaded", raw_bytes(data, r)
-
-

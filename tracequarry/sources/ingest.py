@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import pickle
 import struct
 from collections.abc import Iterator
@@ -17,7 +16,9 @@ from pyspark.sql.window import Window
 
 from ..functions.timeparse import timestamp
 from ..model import BIT, EVENTS, flag_names, numbered
+from ..operators.progress import Progress
 from . import evtx
+from . import files as files_of
 
 
 @dataclass(frozen=True)
@@ -160,73 +161,60 @@ def merge_copies(events: DataFrame, merge: bool = True) -> tuple[DataFrame, Data
     return first.drop("_n", "_many"), rows.where("_n > 1").drop("_n", "_many")
 
 
-def build(spark: SparkSession, inputs: list[str], case: str, options: Options = Options()) -> dict:
-    """Write a new case folder and return its manifest. A case that exists is refused; one that fails is removed."""
+def build(spark: SparkSession, inputs: list[str], case: str, options: Options = Options(), progress: Progress | None = None) -> dict:
+    """Write a new case folder and return its manifest. A case that exists is refused; one that fails or is cancelled is removed."""
     if _exists(spark, case):
         raise FileExistsError(case)
     try:
-        return _build(spark, inputs, case, options)
+        return _build(spark, inputs, case, options, progress or Progress(spark))
     except BaseException:
         _remove(spark, case)
         raise
 
 
-def _build(spark: SparkSession, inputs: list[str], case: str, options: Options) -> dict:
-    paths = discover(inputs)
-    labels = unique_labels(paths)
-    own = spark.createDataFrame([(_uri(p), i, labels[p]) for i, p in enumerate(paths)], "path string, source_id int, source string")
-    found = chunks(spark, paths, options.hash_sources)
-    heads = found.drop("data", "chunk").distinct()
-    heads.write.parquet(f"{case}/_files")
-    files = spark.read.parquet(f"{case}/_files")
-    parse(found, options.carve).write.parquet(f"{case}/_parsed")
-    parsed = spark.read.parquet(f"{case}/_parsed")
-    events = position_flags(parsed, files).join(own, "path")
-    first, copies = merge_copies(events, options.merge_copies)
-    dense = numbered(first, list(ORDER))
-    dense = dense.withColumn("ts", timestamp(F.col("ts_ft"))).withColumn("event_date", F.to_date("ts"))
-    keep = list(EVENTS)
-    dense.select(*keep).sortWithinPartitions("event_date", "id").write.partitionBy("event_date").parquet(f"{case}/events")
-    stored = spark.read.parquet(f"{case}/events")
-    same = ["ts_ft", "record_id", "event_id"]
-    keyed = stored.withColumns({"_computer": F.coalesce(F.lower("computer"), F.lit("")), "_channel": F.coalesce(F.lower("channel"), F.lit(""))})
-    dups = copies.alias("c").join(keyed.select(F.col("id").alias("ev"), "_computer", "_channel", *same).alias("e"), [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in [*same, "_computer", "_channel"]])
-    dups.select("ev", F.col("c.source_id").alias("src"), "c.chunk", "c.off", "c.flags").write.parquet(f"{case}/dups")
-    source_stats(parsed, files, own, copies).write.parquet(f"{case}/sources")
-    events.where("xml is not null").select("source_id", "chunk", "off", "xml").write.parquet(f"{case}/xml")
-    catalog(stored).write.parquet(f"{case}/field_catalog")
-    stats = stored.agg(F.count("*").alias("events"), F.min("ts_ft").alias("first_ft"), F.max("ts_ft").alias("last_ft")).first()
-    failed = [r.asDict() for r in files.where("failure is not null").select("path", "failure").collect()]
-    manifest = {"format": 1, "events": stats["events"], "first_ft": stats["first_ft"], "last_ft": stats["last_ft"], "files": len(paths), "failed": failed, "options": vars(options)}
-    for part in ("_files", "_parsed"):
-        _remove(spark, f"{case}/{part}")
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{case}/manifest")
+def _build(spark: SparkSession, inputs: list[str], case: str, options: Options, progress: Progress) -> dict:
+    with progress.phase("scanning"):
+        paths = files_of.discover(spark, inputs)
+        labels = unique_labels(paths)
+        own = spark.createDataFrame([(p, i, labels[p]) for i, p in enumerate(paths)], "path string, source_id int, source string")
+        found = chunks(spark, paths, options.hash_sources)
+        found.drop("data", "chunk").distinct().write.parquet(f"{case}/_files")
+        files = spark.read.parquet(f"{case}/_files")
+    with progress.phase("parsing"):
+        parse(found, options.carve).write.parquet(f"{case}/_parsed")
+        parsed = spark.read.parquet(f"{case}/_parsed")
+    with progress.phase("sorting"):
+        events = position_flags(parsed, files).join(own, "path")
+        first, copies = merge_copies(events, options.merge_copies)
+        dense = numbered(first, list(ORDER))
+        dense = dense.withColumn("ts", timestamp(F.col("ts_ft"))).withColumn("event_date", F.to_date("ts"))
+    with progress.phase("writing"):
+        dense.select(*EVENTS).sortWithinPartitions("event_date", "id").write.partitionBy("event_date").parquet(f"{case}/events")
+        stored = spark.read.parquet(f"{case}/events")
+    with progress.phase("finishing"):
+        same = ["ts_ft", "record_id", "event_id"]
+        keyed = stored.withColumns({"_computer": F.coalesce(F.lower("computer"), F.lit("")), "_channel": F.coalesce(F.lower("channel"), F.lit(""))})
+        dups = copies.alias("c").join(keyed.select(F.col("id").alias("ev"), "_computer", "_channel", *same).alias("e"), [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in [*same, "_computer", "_channel"]])
+        dups.select("ev", F.col("c.source_id").alias("src"), "c.chunk", "c.off", "c.flags").write.parquet(f"{case}/dups")
+        source_stats(parsed, files, own, copies).write.parquet(f"{case}/sources")
+        events.where("xml is not null").select("source_id", "chunk", "off", "xml").write.parquet(f"{case}/xml")
+        catalog(stored).write.parquet(f"{case}/field_catalog")
+        stats = stored.agg(F.count("*").alias("events"), F.min("ts_ft").alias("first_ft"), F.max("ts_ft").alias("last_ft")).first()
+        failed = [r.asDict() for r in files.where("failure is not null").select("path", "failure").collect()]
+        manifest = {"format": 1, "events": stats["events"], "first_ft": stats["first_ft"], "last_ft": stats["last_ft"], "files": len(paths), "failed": failed, "options": vars(options)}
+        for part in ("_files", "_parsed"):
+            _remove(spark, f"{case}/{part}")
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{case}/manifest")
     return manifest
 
 
-def discover(inputs: list[str]) -> list[str]:
-    """Local inputs are looked through; remote ones are taken as given."""
-    local, remote = [p for p in inputs if "://" not in p], [p for p in inputs if "://" in p]
-    return evtx.discover(local) + remote
-
-
-def _uri(path: str) -> str:
-    return path if "://" in path else f"file:{os.path.abspath(path)}"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = files_of.opened(spark, path)
     return fs.exists(p)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = files_of.opened(spark, path)
     fs.delete(p, True)
 
 
