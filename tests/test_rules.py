@@ -211,3 +211,30 @@ def test_cli(spark, tmp_path, capsys):
     assert "<EventID>4624</EventID>" in run("xml", str(tmp_path / "Security.evtx"), "--limit", "1") and run("json", str(tmp_path / "Security.evtx")).count("\n") == 3 and run("carve", str(tmp_path / "Security.evtx")) == ""
 
 
+
+
+def test_a_pack_at_once_equals_rule_by_rule(spark):
+    """Random rules of every kind of search and condition, over events with repeated, missing and odd values."""
+    from tracequarry.operators import rulepack
+
+    rng = random.Random(12)
+    texts = ["c:\\cmd.exe", "C:\\CMD.EXE", "a -f x", "10.1.2.3", "fe80::1", "17", "0x20", "x*y", "İx", "straße", "ab", "z", "", None, "powershell -enc aGk="]
+    rows = [(k, rng.choice((1, 3, 5)), {"Image": rng.choice(texts), "CommandLine": rng.choice(texts)}, f"H{k % 3}") for k in range(200)]
+    e = make(spark, rows, ["Image", "CommandLine"], "Microsoft-Windows-Sysmon/Operational")
+    df = e.df.withColumns({"Many": F.array_distinct(F.array("Image", "CommandLine")), "Num": F.col("id") % 7})
+    e = EventSet.from_dataframe(df, id="id", fields=["Image", "CommandLine", "Many", "Num"], system={"@EventID": F.col("n"), "@Channel": "channel", "@Computer": "computer"}).with_df(df)
+    pieces = ["Image: '*cmd*'", "Image|contains: MD.", "Image|cased|contains: MD.", "CommandLine|startswith: a", "CommandLine|endswith: [x, e, '3']", "Many: [ab, z, 'x\\*y']", "Many|contains|all: [c, m]", "Num: [1, 3]", "Num|gte: 4", "Image: null", "Image|exists: true", "CommandLine: ''", "Image|cidr: [10.0.0.0/8, 'fe80::/10']", "CommandLine|re: '^[a-c]'", "Image|fieldref: CommandLine", "CommandLine|gt: 16", "Image: '?b'", "Image|contains: ß", "Many|contains: i", "Image|windash|contains: ' -f'", "CommandLine|base64offset|contains: hi", "Gone: x", "EventID: 3", "Image: '*'"]
+    conditions = ["a", "not a", "a and b", "a or b", "a and not b", "not a and not b", "not (a and b) or c", "1 of them", "all of them", "(a or b) and not c", "not 1 of them", "a or not b", "kw or a", "not kw and b"]
+    own = []
+    for k in range(120):
+        searches = "".join(f"  {n}:\n" + "".join(f"    {p}\n" for p in {p.split(":")[0]: p for p in rng.sample(pieces, rng.choice((1, 1, 2)))}.values()) for n in "abc")
+        source = rng.choice(("product: windows", "category: process_creation", "service: sysmon"))
+        own.append(rules.parse_rule(f"title: t{k}\nlogsource:\n  {source}\ndetection:\n{searches}  kw:\n    - 'cmd'\n    - z\n  condition: {rng.choice(conditions)}"))
+    own += [rules.parse_rule("title: ["), rules.parse_rule("title: u\nlogsource:\n  product: windows\ndetection:\n  a:\n    Image|re: '('\n  condition: a")]
+    pack = rules.RuleSet(tuple(own))
+    one, other = detections.run(e, pack), rulepack.run(e, pack)
+    assert {k: v for k, v in one.meta.items() if k != "compile_seconds"} == {k: v for k, v in other.meta.items() if k != "compile_seconds"}
+    hits = lambda r: sorted(map(tuple, r.hits.select("rule", "id", "computer", "ts_ft").collect()))
+    want = hits(one)
+    assert hits(other) == want and len({r for r, *_ in want}) > 60
+    assert rulepack.run(e, rules.RuleSet()).hits.count() == 0 and rulepack.run(e.with_df(df.limit(0)), pack).hits.count() == 0

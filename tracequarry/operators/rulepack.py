@@ -3,17 +3,19 @@
 1. Every rule becomes a sparse expression: atoms (a value of the event has one of some patterns), tests (on the event itself)
    and nodes (all of some parts hold and none of others). Negation is pushed to places beside something that holds, so that
    only what is true needs rows.
-2. Distinct values of the fields meet the patterns: equal ones by their lower case, others by a trigram of the pattern that few
-   patterns have, and then the pattern itself is tried.
+2. Distinct values of the fields, counted, meet the patterns: equal ones by their lower case, others by a run of up to three
+   characters that few patterns have, and then the pattern itself is tried. So it is known how many events an atom has, and
+   parts that need an atom without any are dropped with their rules.
 3. The atoms of values are joined back to the events, one row of true parts for each event, and nodes follow level by level:
-   a node is tried where the part that should be rarest holds. Levels need no further shuffle.
+   a node is tried where its rarest part holds, within the row.
 
 The events are read twice, whatever the number of rules: for their values, and for the join. Tables made of the rules are as
-large as the pack and do not grow with the events.
+large as the pack and do not grow with the events; nor do the counts of atoms, which come to the driver.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections import Counter
@@ -34,15 +36,22 @@ from .detections import RULE_SCHEMA, Run
 
 #: Key of patterns that any field may have.
 ANY = ""
-GRAM = 3
+#: Lengths of the runs that patterns and values meet on, best first.
+GRAMS = (3, 2, 1)
 _MASK = {"contains": "contains", "startswith": "startswith", "endswith": "endswith"}
 
+#: More events than any atom has: what is not counted is tried last.
+MANY = 1 << 62
+
 Pattern = tuple[str, str, str]  # key, kind, text
 
 
 def grams(text: str) -> set[str]:
-    """Trigrams of ASCII characters alone: those look alike in any way of making lower case."""
-    return {g for i in range(len(text) - GRAM + 1) if (g := text[i : i + GRAM]).isascii()}
+    """Runs of the best length that the text has, of ASCII characters alone: those look alike in any way of making lower case."""
+    for n in GRAMS:
+        if found := {g for i in range(len(text) - n + 1) if (g := text[i : i + n]).isascii()}:
+            return found
+    return set()
 
 
 def literal_of(kind: str, text: str) -> str:
@@ -52,21 +61,22 @@ def literal_of(kind: str, text: str) -> str:
 
 
 class Pack:
-    """The parts of all rules, numbered; ``levels`` has the nodes by how many levels are below them."""
+    """The parts of all rules, numbered; ``levels`` has the nodes (node, needed parts, others) by how many levels are below them."""
 
     def __init__(self, events: EventSet) -> None:
         self.events, self.compiler, self.ids = events, Compiler(events), {}
         self.patterns: dict[Pattern, int] = {}
-        self.scans: dict[tuple[str, ast.Expr], int] = {}  # on a value of a key, without a trigram
+        self.scans: dict[tuple[str, ast.Expr], tuple[int, Column]] = {}  # on ``value`` of a key
+        self.on_key: dict[str, Compiler] = {}
         self.members: set[tuple[int, int]] = set()  # pattern, atom
         self.tests: dict[int, Column] = {}
         self.levels: dict[int, list[tuple]] = {}
-        self.about: dict[int, tuple[int, int]] = {}  # level and weight of a part
+        self.level: dict[int, int] = {}
 
-    def number(self, what, level: int, weight: int) -> tuple[int, bool]:
+    def number(self, what, level: int) -> tuple[int, bool]:
         new = what not in self.ids
         at = self.ids.setdefault(what, len(self.ids))
-        self.about[at] = level, weight
+        self.level[at] = level
         return at, new
 
     # leaves
@@ -107,21 +117,24 @@ class Pack:
 
     def atom(self, wanted: list) -> int:
         own = frozenset(self.pattern(w) for w in wanted)
-        at, new = self.number(("atom", own), 0, min((len(w[2]) if len(w) == 3 else 1 for w in wanted), default=99))
+        at, new = self.number(("atom", own), 0)
         if new:
             self.members |= {(p, at) for p in own}
         return at
 
     def pattern(self, wanted) -> int:
-        table = self.patterns if len(wanted) == 3 else self.scans
-        if wanted not in table:
-            if table is self.scans:
-                self.compiler.expr(wanted[1])  # says what is wrong with it
-            table[wanted] = len(self.patterns) + len(self.scans)
-        return table[wanted]
+        count = len(self.patterns) + len(self.scans)
+        if len(wanted) == 3:
+            return self.patterns.setdefault(wanted, count)
+        if wanted not in self.scans:
+            key = wanted[0]
+            if key not in self.on_key:
+                self.on_key[key] = Compiler(EventSet(self.events.df, {key: Key(key, F.col("value"))}))
+            self.scans[wanted] = count, self.on_key[key].expr(wanted[1])
+        return self.scans[wanted][0]
 
     def test(self, e: ast.Expr) -> int:
-        at, new = self.number(("test", e), 0, 0)
+        at, new = self.number(("test", e), 0)
         if new:
             self.tests[at] = self.compiler.expr(e)
         return at
@@ -160,30 +173,51 @@ class Pack:
 
     def node(self, need: frozenset[int], other: frozenset[int]) -> int:
         """All needed parts and none of the others; without needed ones, one of the others."""
-        level = 1 + max(self.about[a][0] for a in need | other)
-        weigh = lambda a: (self.about[a][1], a)
-        driver = max(need, key=weigh) if need else None
-        at, new = self.number(("node", need, other), level, self.about[driver][1] if need else min(self.about[a][1] for a in other))
+        level = 1 + max(self.level[a] for a in need | other)
+        at, new = self.number(("node", need, other), level)
         if new:
-            rows = self.levels.setdefault(level, [])
-            if need:
-                rows.append((driver, at, sorted(need - {driver}), sorted(other)))
-            else:
-                rows += [(a, at, [], []) for a in sorted(other)]
+            self.levels.setdefault(level, []).append((at, need, other))
         return at
 
+    def drivers(self, often: dict[int, int]) -> dict[int, list[tuple]]:
+        """Rows (part, node, need, ban) by level: a node is tried where its rarest part holds. ``often`` has the events of atoms.
+
+        Nodes that cannot hold are left out.
+        """
+        known = {at: often.get(at, 0) for what, at in self.ids.items() if what[0] == "atom"}
+        known |= dict.fromkeys(self.tests, MANY)
+        out = {}
+        for level, nodes in sorted(self.levels.items()):
+            rows = []
+            for at, need, other in nodes:
+                if need:
+                    driver = min(need, key=lambda a: (known[a], a))
+                    known[at] = known[driver]
+                    if known[at]:
+                        rows.append((driver, at, sorted(need - {driver}), sorted(a for a in other if known[a])))
+                else:
+                    known[at] = sum(known[a] for a in other)
+                    rows += [(a, at, [], []) for a in sorted(other) if known[a]]
+            if rows:
+                out[level] = rows
+        return out
+
     def keys(self) -> list[Key]:
         """Fields whose values are read."""
         names = {p[0] for p in self.patterns} | {k for k, _ in self.scans}
         return [k for n, k in sorted(self.events.keys.items()) if ANY in names or n in names]
 
 
-def _grams(low: Column) -> Column:
-    """Distinct trigrams of a text."""
+def _grams(low: Column, lengths: list[int]) -> Column:
+    """Distinct runs of these lengths of a text."""
     letters = F.split(low, "")
-    count = F.char_length(low) - GRAM
-    places = F.when(count >= 0, F.sequence(F.lit(0), count))
-    return F.array_distinct(F.transform(places, lambda i: F.concat(*[F.get(letters, i + k) for k in range(GRAM)])))
+
+    def runs(n: int) -> Column:
+        count = F.char_length(low) - n
+        places = F.when(count >= 0, F.sequence(F.lit(0), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
+
+    return F.array_distinct(F.concat(*map(runs, lengths)))
 
 
 def _pairs(pack: Pack) -> Column:
@@ -215,15 +249,14 @@ def matches(pack: Pack, values: DataFrame) -> DataFrame:
         wanted = spark.createDataFrame(rows, "gram string, pattern int, own string, kind string, text string").withColumn("text", F.when(F.col("kind") == "like", F.col("text")).otherwise(F.lower("text")))
         low, text, kind = F.col("low"), F.col("text"), F.col("kind")
         holds = F.when(kind == "contains", F.contains(low, text)).when(kind == "startswith", F.startswith(low, text)).when(kind == "endswith", F.endswith(low, text)).otherwise(F.expr("low LIKE text"))
-        each = values.select("key", "value", "low", F.explode(_grams(F.col("low"))).alias("gram")).join(wanted, "gram")
+        each = values.select("key", "value", "low", F.explode(_grams(F.col("low"), sorted({len(r[0]) for r in rows}))).alias("gram")).join(wanted, "gram")
         found.append(each.where(F.col("own").isin(ANY) | (F.col("own") == F.col("key"))).where(holds).select("key", "value", "pattern"))
-    of_key: dict[str, list] = {}
-    for (k, e), i in pack.scans.items():
-        of_key.setdefault(k, []).append((e, i))
-    for k, own in of_key.items():
-        one = Compiler(EventSet(values, {k: Key(k, F.col("value"))}))
+    tests_of: dict[str, list] = {}
+    for (k, _), test in pack.scans.items():
+        tests_of.setdefault(k, []).append(test)
+    for k, own in tests_of.items():
         for lo in range(0, len(own), 64):
-            tests = F.array(*[F.when(one.expr(e), F.lit(i)) for e, i in own[lo : lo + 64]])
+            tests = F.array(*[F.when(holds, F.lit(i)) for i, holds in own[lo : lo + 64]])
             found.append(values.where(F.col("key") == k).select("key", "value", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("pattern")))
     members = spark.createDataFrame(sorted(pack.members), "pattern int, atom int")
     if not found:
@@ -234,12 +267,26 @@ def matches(pack: Pack, values: DataFrame) -> DataFrame:
     return every.join(members, "pattern").groupBy("key", "value").agg(F.collect_set("atom").alias("atoms"))
 
 
+def _looked_up(parts: str, count: int, rows: list[tuple], kind: str) -> Column:
+    """What a table of the pack, rows (part, ...), says of the parts of an event, one after another: a constant looked up by number."""
+    of: list[list] = [[] for _ in range(count)]
+    names = [x.split()[0] for x in kind.split(", ")]
+    for part, *rest in rows:
+        of[part].append(dict(zip(names, rest, strict=True)))
+    shape = ", ".join(x.replace(" ", ":", 1) for x in kind.split(", "))
+    table = F.from_json(F.lit(json.dumps(of)), f"array<array<struct<{shape}>>>")
+    return F.flatten(F.transform(parts, lambda p: F.get(table, p)))
+
+
 def true_parts(pack: Pack, all_events: bool) -> DataFrame:
     """(id, computer, ts_ft, parts) of the events, or of those where any holds: numbers of the atoms, tests and nodes that hold."""
     events, spark = pack.events, pack.events.df.sparkSession
     tests = F.filter(F.array(*[F.when(holds, F.lit(i)) for i, holds in pack.tests.items()]).cast("array<int>"), lambda x: x.isNotNull())
     base = pack.compiler.base()
-    found = stored(matches(pack, events.df.select(F.inline(_pairs(pack))).distinct()), "matches")
+    values = stored(events.df.select(F.inline(_pairs(pack))).groupBy("key", "value").agg(F.count("*").alias("n")), "values")
+    found = stored(matches(pack, values.drop("n")), "matches")
+    counts = found.join(values, ["key", "value"]).select(F.explode("atoms").alias("atom"), "n").groupBy("atom").agg(F.sum("n").alias("n"))
+    drivers_of = pack.drivers({r["atom"]: r["n"] for r in counts.collect()})
     none = F.lit(None).cast("array<int>").alias("own")
     # the event's own row bears its id as value, so that these rows spread like all others
     own = F.array(F.struct(F.lit("\0").alias("key"), F.col("id").cast("string").alias("value"), tests.alias("own")))
@@ -247,12 +294,11 @@ def true_parts(pack: Pack, all_events: bool) -> DataFrame:
     rows = base.select("id", events.raw("@Computer").alias("computer"), events.time.alias("ts_ft"), F.inline(each)).join(found, ["key", "value"], "left")
     rows = rows.where("atoms is not null or " + ("own is not null" if all_events else "size(own) > 0"))
     state = rows.groupBy("id").agg(F.max("computer").alias("computer"), F.max("ts_ft").alias("ts_ft"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("atoms", "own")))).alias("parts"))
-    for _, nodes in sorted(pack.levels.items()):
-        drivers = spark.createDataFrame(nodes, "part int, node int, need array<int>, ban array<int>")
-        holds = (F.size(F.array_except("need", "parts")) == 0) & ~F.arrays_overlap("ban", "parts")
-        tried = state.select("*", F.explode_outer("parts").alias("part")).join(F.broadcast(drivers), "part", "left")
-        new = F.collect_set(F.when(holds, F.col("node")))
-        state = tried.groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("computer", "ts_ft")], F.concat(F.any_value("parts"), new).alias("parts"))
+    for _, nodes in sorted(drivers_of.items()):
+        tried = _looked_up("parts", len(pack.ids), nodes, "node int, need array<int>, ban array<int>")
+        holds = lambda n: F.forall(n["need"], lambda p: F.array_contains("parts", p)) & ~F.exists(n["ban"], lambda p: F.array_contains("parts", p))
+        new = F.transform(F.filter(tried, holds), lambda n: n["node"])
+        state = state.withColumn("parts", F.concat("parts", F.array_distinct(new)))
     return state
 
 
@@ -284,8 +330,8 @@ def run(events: EventSet, rules: RuleSet) -> Run:
     states = [r[10] for r in rows]
     meta = {"rules": len(rows), "evaluated": states.count("evaluated"), "unsupported": states.count("unsupported"), "failed": states.count("failed"), "compile_seconds": round(time.time() - began, 3)}
     parts = true_parts(pack, bool(never))
-    of = lambda pairs: spark.createDataFrame(pairs, "rule int, part int")
-    hits = parts.select("id", "computer", "ts_ft", F.explode("parts").alias("part")).join(F.broadcast(of(tops)), "part").select("rule", "id", "computer", "ts_ft")
+    own = _looked_up("parts", len(pack.ids), [(part, number) for number, part in tops], "rule int")
+    hits = parts.select("id", "computer", "ts_ft", F.explode(F.transform(own, lambda r: r["rule"])).alias("rule")).select("rule", "id", "computer", "ts_ft")
     if never:  # rules that hold where a part does not
         wanted = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("part")) for r, p in never])
         rest = parts.select("id", "computer", "ts_ft", "parts", F.inline(wanted)).where(~F.array_contains("parts", F.col("part")))
