@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that zstandard cannot explain from the code around them.
 
 A candidate is a run of token characters with a sensitive word before, after or inside it (as in name=value, where the
-value alone counts). Its novelty is the number of compressed bytes it adds under a dictionary of common identifiers and
+value alone counts), or a run that follows or precedes such a run with nothing but line ends, blanks, quotes or joining marks
+between: the lines of a key are one block, however many they are. Its novelty is the number of compressed bytes it adds under a dictionary of common identifiers and
 the text on both sides. A run that
 costs many bytes for its length is reported as a span of kind ``novel``.
 """
@@ -33,6 +34,8 @@ CONTEXT = 64
 #: What may stand between a sensitive word and the value in one run.
 JOINT = re.compile(r"(?:[=_/-]*(?:key|id))?[=_/-]+", re.I | re.A)
 LEAST_RUN = 16
+#: What may stand between two runs of one block.
+BLOCK_GAP = re.compile(r"""[\s"'`,;+\\]*""")
 #: Marginal compressed bits per character from which a run is reported, and the least bytes it must add.
 BITS, LEAST = 4.3, 12
 
@@ -82,11 +85,17 @@ class Scanner:
     def novel(self, text: str) -> list[Span]:
         if not SENSITIVE.search(text):
             return []
+        runs = [(*m.span(), self.value(m[0])) for m in CANDIDATE.finditer(text)]
+        near = [own is not None or bool(SENSITIVE.search(text, max(0, lo - CONTEXT), lo) or SENSITIVE.search(text, hi, hi + CONTEXT)) for lo, hi, own in runs]
+        # what is said of one run of a block holds for the next, and for the one before
+        same = [BLOCK_GAP.fullmatch(text, a[1], b[0]) is not None for a, b in zip(runs, runs[1:], strict=False)]
+        for k, joined_on in enumerate(same):
+            near[k + 1] |= joined_on and near[k]
+        for k in range(len(same) - 1, -1, -1):
+            near[k] |= same[k] and near[k + 1]
         found = []
-        for m in CANDIDATE.finditer(text):
-            lo, hi = m.span()
-            own = self.value(m[0])
-            if own is None and not SENSITIVE.search(text, max(0, lo - CONTEXT), lo) and not SENSITIVE.search(text, hi, hi + CONTEXT):
+        for (lo, hi, own), sensitive in zip(runs, near, strict=True):
+            if not sensitive:
                 continue
             lo += own or 0
             around = text[hi : hi + 4 * CONTEXT] + "\n" + text[max(0, lo - 4 * CONTEXT) : lo]

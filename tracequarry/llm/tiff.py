@@ -24,10 +24,12 @@ NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH = 64
 #: Rows of one strip, and edge of a tile, in what the writer makes.
 STRIP_ROWS, TILE = 256, 64
-#: Payloads up to these bytes are stored as PackBits strips and LZW strips; larger ones as deflate strips with differences.
-PACKBITS_BYTES, LZW_BYTES = 256, 768
-#: More than these bytes of pixels are not decoded from one page: the row carries an error instead.
-PAGE_BYTES = 1 << 30
+#: Of 16 texts, by a hash of their bytes, so many are stored as LZW strips and as PackBits strips; the rest as deflate strips with
+#: differences. Texts of every length meet every codec.
+LZW_SHARE, PACKBITS_SHARE = 2, 4
+#: More than these bytes of pixels are not decoded from one page: the row carries an error instead. No value that Spark can hold
+#: is as long, so a text always fits.
+PAGE_BYTES = (1 << 31) + WIDTH
 
 _TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
@@ -308,15 +310,15 @@ def tiff_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (),
 def store_text(text: bytes) -> bytes:
     """A text as one grey page 64 samples wide, padded with zeros to whole rows, at least one.
 
-    Short payloads use PackBits, then LZW, and longer ones deflated strips with horizontal differences, so
-    equal texts are stored alike.
+    The codec goes by a hash of the text, so that equal texts are stored alike and each codec has texts of any length.
     """
     payload = text.ljust(max(1, -(-len(text) // WIDTH)) * WIDTH, b"\0")
     page = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    if len(payload) <= PACKBITS_BYTES:
-        return encode([page], PACKBITS)
-    if len(payload) <= LZW_BYTES:
+    draw = zlib.crc32(text) % 16
+    if draw < LZW_SHARE:
         return encode([page], LZW, predictor=1)
+    if draw < LZW_SHARE + PACKBITS_SHARE:
+        return encode([page], PACKBITS)
     return encode([page], DEFLATE, predictor=2, strip_rows=4096)
 
 
