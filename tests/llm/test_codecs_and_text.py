@@ -41,7 +41,7 @@ def test_pages():
 def test_stored_texts(spark):
     rng = random.Random(3)
     texts = ["", "a", "x" * 64, "é" * 40, "word " * 100, "longer text, " * 900, None]
-    texts += ["".join(rng.choice(("word ", "other, ", "é", "\n", "a" * 150)) for _ in range(n)) for n in (3, 30, 300, 3000) for _ in range(12)]
+    texts += ["".join(rng.choice(("word ", "other, ", "é", "\n", "a" * 150)) for _ in range(n)) for n in (3, 30, 300, 3000) for _ in range(45)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in tiff.tiff_pages(tiff.text_to_tiff(df, "text", ("doc_id",)), "media", ("doc_id", "n_bytes"), pixels=True).collect()}
     for i, t in enumerate(texts):

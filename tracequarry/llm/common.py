@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold; 1,000 texts of 120 kB stay below 130 MB in a Python worker.
+#: Rows that one Arrow batch may hold; Spark bounds its bytes itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
 BATCH_ROWS = 1000
 #: Entries of a worker's word cache before it starts anew; it saves time only.
 CACHE_WORDS = 400_000

@@ -252,7 +252,8 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     """Documents without their near-duplicates: each component keeps the row with its smallest doc_id.
 
     Rows that repeat that doc_id and text are one document, and of different texts with one doc_id in one component
-    the one with the smallest hash stays. Documents without words all stay. Columns stay as they are.
+    the one with the smallest hash stays. Documents without words all stay, null texts too. Texts are read whole, however long.
+    Columns stay as they are. An empty table gives an empty one.
     """
     groups = similar_groups(docs, n, percent).select("h", "root", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"))
     linked = groups.where("root is not null").groupBy("root").agg(F.min(F.struct("doc", "h")).alias("x")).select("x.h")

@@ -179,8 +179,8 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), notices: dict[str, tuple[str, ...]] = NOTICES) -> DataFrame:
     """Licence findings of each whole text: base phrases, labels, the best coverage and the covered spans in words.
 
-    A null or empty text has no words, empty labels and score 0. Repeated rows give repeated results,
-    and an empty table an empty one.
+    A null or empty text has no words, empty labels and score 0. Texts are read whole, however long. Repeated rows give repeated
+    results, and an empty table an empty one.
     """
     common.small_batches(df.sparkSession)
     own_names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

@@ -158,7 +158,8 @@ def token_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """Tokenize whole texts, end each with END_ID, and cut those longer than capacity.
 
     One row per piece: the kept columns, piece (from 0), start, length, ids_crc32, and ids on request. A
-    null or empty text is one piece that holds END_ID alone. Repeated rows give repeated pieces.
+    null or empty text is one piece that holds END_ID alone. Texts of any length are cut whole. Repeated rows give repeated
+    pieces, and an empty table none.
     """
     if file is None:
         import public_tokenizers
@@ -257,7 +258,8 @@ def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("do
     """Add sequence_id and offset to items by best-two-fit within shards of hashed items.
 
     Items are dealt by a hash of the order columns and their length, and sorted by them before packing, so
-    a repeated task packs alike; equal items are interchangeable. An item whose length is null, below 1 or
+    a repeated task packs alike; equal items are interchangeable, of equal lengths the
+    first in that order is taken, and of pairs of one total the one with the longest item. An item whose length is null, below 1 or
     above capacity gets null sequence_id and offset. An empty table stays empty.
     """
     common.small_batches(items.sparkSession)
@@ -300,7 +302,8 @@ def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("do
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Pieces of all documents with their sequence and place; the shards follow the number of documents."""
+    """Pieces of all documents with their sequence and place; the shards follow the number of documents. Nulls, long texts and
+    repeated rows are as in token_pieces; an empty table gives no pieces."""
     shards = -(-docs.count() // shard_items)
     return pack(token_pieces(docs, capacity=capacity), order=("doc_id", "piece", "ids_crc32"), capacity=capacity, shards=shards)
 

@@ -147,7 +147,10 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 
 
 def document_stats(df: DataFrame, text: str, keep: tuple[str, ...], model: Trees | None = None) -> DataFrame:
-    """The kept columns, the five counts, the features as an array, and the model's probability (null without one)."""
+    """The kept columns, the five counts, the features as an array, and the model's probability (null without one).
+
+    Texts are read whole, however long; a null or empty one has no words. Repeated rows give repeated results, and an empty table an empty one.
+    """
     common.small_batches(df.sparkSession)
     kept, head = common.kept_names(df, keep, [*common.fields(STATS), "features", "quality", "base_failed", "kept"])
 
@@ -184,8 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
 def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = KEEP, sample: int = SAMPLE, text: str = "text") -> DataFrame:
     """Counts, base_failed, quality and kept of each document, with the columns in keep.
 
-    A null text has no words, so it fails. Without labels there is no model and the base rules decide.
-    Repeated rows give repeated results.
+    A null text has no words, so it fails. Without labels there is no model and the base rules decide. Texts are read whole,
+    however long. A probability equal to the threshold is kept. Repeated rows give repeated results, and an empty table an
+    empty one. Kept columns named as the operator's own come back with ``_in``.
     """
     rows = document_stats(docs, text, keep, train(docs, labels, sample))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
@@ -193,7 +197,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns."""
+    """The documents that are kept, with their columns under their own names; null and empty texts go. An empty table gives an empty one."""
     judged = judge(docs, labels, tuple(docs.columns))
     names = judged.columns[: len(docs.columns)]
     return judged.where("kept").select(*[F.col(f"`{a}`").alias(c) for a, c in zip(names, docs.columns, strict=True)])

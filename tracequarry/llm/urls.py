@@ -73,7 +73,8 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
 
     score is null where a rule decides. A URL at or above the threshold is allowed; if no URL held out is of a
     kind, the threshold is 0. Null urls and urls without ``://`` have an empty host and path and are scored as
-    the empty string. Equal URLs are counted by their number but scored once, and repeated rows stay.
+    the empty string. Equal URLs are counted by their number but scored once, and repeated rows stay. URLs are scored whole,
+    however long; a score equal to the threshold is allowed. An empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), path.alias("path"))
