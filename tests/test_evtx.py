@@ -119,7 +119,7 @@ def test_case(spark, tmp_path):
     with pytest.raises(FileExistsError):
         Case.create(spark, [str(logs)], str(tmp_path / "case"))
     stats = {r["source"]: r for r in case.table("sources").collect()}
-    assert stats["Security.evtx"]["tail"] == 99 and stats["Security.evtx"]["beyond_chunks"] == 2 and stats["Copy.evtx"]["records"] == 3
+    assert stats["Security.evtx"]["tail"] == 99 and stats["Security.evtx"]["beyond_new"] + stats["Security.evtx"]["beyond_stale"] == 2 and stats["Security.evtx"]["version"] == "3.1" and stats["Copy.evtx"]["records"] == 3
     assert spark.range(1).select(flag_names(__import__("pyspark.sql.functions", fromlist=["lit"]).lit(3)).alias("f")).first()["f"] == ["beyondHeader", "stale"]
 
 

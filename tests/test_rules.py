@@ -169,7 +169,23 @@ def test_exports(spark, tmp_path):
         assert len(sheet.findall(".//m:row", ns)) == 4 and [c.find("m:v", ns).text for c in sheet.findall(".//m:c", ns) if c.find("m:v", ns) is not None][:2] == ["4624", "4"]
         assert max(len(t.text) for t in sheet.iter("{%s}t" % ns["m"])) == export.MOST_CHARS and b"case" in z.read("xl/worksheets/sheet2.xml")
     assert export.column_letters(0) == "A" and export.column_letters(701) == "ZZ" and export.column_letters(702) == "AAA"
-    assert export.export_info([("a\tb", "c\nd")], str(tmp_path / "i.tsv")) == 1 and (tmp_path / "i.tsv").read_text() == "a b\tc d\n"
+    one = "0 as source_id, 'a\tb' as source, 65536L as size, 'ff' as sha256, '3.1' as version, 3 as header, 2 as chunks, 3L as physical_chunks, 1L as empty_chunks, 1L as beyond_new, 0L as beyond_stale, 0L as header_crc_chunks, 2L as data_crc_chunks, 9L as tail, 5L as records, 1L as carved, 0L as copies, 132000000000000000L as first_ft, cast(null as bigint) as last_ft, '/x/a' as path"
+    health = spark.range(1).selectExpr(*one.split(", "))
+    marks = spark.createDataFrame([("a\tb", "stale", 2), ("a\tb", "carved", 1)], "source string, flag string, count long")
+    assert export.export_info(health, marks, str(tmp_path / "i.tsv")) == 1
+    report = [x.split("\t") for x in (tmp_path / "i.tsv").read_text().splitlines()]
+    assert report[0] == list(export.INFO_COLUMNS) and report[1][:13] == ["a b", "65536", "ff", "3.1", "yes", "2 / 3", "1", "1 / 0", "0 / 2", "9", "5", "1", "0"] and report[1][14:] == ["—", "carved 1, stale 2", "/x/a"]
+    many = spark.range(500).select("id", (F.col("id") * 7).alias("ts_ft"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("record_id"), F.lit(0).alias("flags"), *[F.lit(None).cast("string").alias(c) for c in ("computer", "channel", "provider", "user_sid")], F.lit(1).alias("event_id"), F.lit(4).alias("level"), F.lit(None).cast("array<struct<name:string,value:string>>").alias("fields"), F.create_map(F.lit("n"), F.array(F.col("id").cast("string"))).alias("f"))
+    many = EventSet.from_events(many.repartition(5), ["n"], frozenset(["n"]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert export.export_csv(many, many.df, str(tmp_path / "parts"), ["n"], one_file=False) == 500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert parts[0].name == "part-00000" and len(parts) > 2
+    assert [r[12] for r in csv.reader(io.StringIO("".join(f.read_bytes().decode() for f in parts)))] == ["n", *map(str, range(500))]
+    assert export.export_csv(many, many.df, str(tmp_path / "whole.csv"), ["n"]) == 500 and (tmp_path / "whole.csv").read_bytes() == b"".join(f.read_bytes() for f in parts) and not list(tmp_path.glob("*.parts-*")) and not list(tmp_path.glob(".whole*"))
 
 
 def test_streaming(spark, tmp_path):

@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     add("export", case, arg("output"), arg("--query", default=""), arg("--format", choices=["csv", "excel", "jsonl", "xlsx"], default="csv"), arg("--fields", default=""), zone)
     add("sessions", case, arg("--rdp", action="store_true"), limit)
     add("processes", case, arg("--find", default=""), limit)
-    add("stats", case)
+    add("stats", case, arg("--export", default=""))
     for name in ("carve", "xml", "json"):
         add(name, arg("file"), limit)
     return p
@@ -112,6 +112,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "stats":
         for k, v in case.info():
             print(f"{k}\t{v}")
+        if a.export:
+            from .sinks import export
+
+            export.export_info(case.table("sources"), ingest.flag_counts(case.table("events")), a.export)
         _show(ingest.flag_counts(case.table("events")).orderBy("source", F.desc("count")), 1000)
     return 0
 

@@ -1,14 +1,18 @@
-"""Export events in order: CSV, CSV for spreadsheets, JSON Lines and XLSX; detections and case information."""
+"""Export events in order: CSV, CSV for spreadsheets, JSON Lines and XLSX; detections and case information.
+
+Tasks make the lines and write them, range by range of the order; where one file is wanted, the parts are joined as bytes. A
+sheet alone is made in one place, as its archive is one stream of at most MOST_ROWS rows.
+"""
 
 from __future__ import annotations
 
-import json
 import re
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.timeparse import iso_text, local_text, zone_label
@@ -21,9 +25,13 @@ SYSTEM = ("TimeUTC", "Computer", "Channel", "Provider", "EventID", "Level", "Use
 _BAD_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]")
 
 
+#: What a spreadsheet takes for the start of a formula.
+_FORMULA = ("=", "+", "-", "@", "\t", "\r")
+
+
 def excel_safe(text: str) -> str:
     """A leading quote before what a spreadsheet would take for a formula."""
-    return "'" + text if text[:1] in ("=", "+", "-", "@", "\t", "\r") and text else text
+    return "'" + text if text[:1] in _FORMULA and text else text
 
 
 def csv_cell(text: str, separator: str = ",") -> str:
@@ -35,7 +43,7 @@ def rows(events: EventSet, df: DataFrame, fields: list[str], zone: str = "UTC",
     out = df
     sha = F.lit("")
     if sources is not None:
-        out = out.join(F.broadcast(sources.select("source_id", F.coalesce("sha256", F.lit("")).alias("_sha"), F.col("path").alias("_path"))), "source_id", "left")  # one row per file of the case
+        out = out.join(sources.select("source_id", F.coalesce("sha256", F.lit("")).alias("_sha")), "source_id", "left")
         sha = F.coalesce("_sha", F.lit(""))
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     unsigned = F.conv(F.hex("record_id"), 16, 10)
@@ -49,44 +57,82 @@ def header(fields: list[str], zone: str) -> list[str]:
     return [f"Time ({zone_label(zone)})", *SYSTEM, *fields, "EventData"]
 
 
-def write_csv(path: str, head: list[str], cells: Iterable[list[str]], excel: bool = False) -> int:
-    """One ordered file; rows stream through the driver one partition at a time."""
-    separator, n = ";" if excel else ",", 0
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        if excel:
-            f.write("﻿")
-        line = lambda xs: separator.join(csv_cell(excel_safe(x) if excel else x, separator) for x in xs) + "\r\n"
-        f.write(line(head))
-        for row in cells:
-            f.write(line(row))
-            n += 1
-    return n
-
-
-def export_csv(events: EventSet, df: DataFrame, path: str, fields: list[str] = [], zone: str = "UTC", excel: bool = False, sources: DataFrame | None = None) -> int:
-    return write_csv(path, header(fields, zone), (r["cells"] for r in rows(events, df, fields, zone, sources).toLocalIterator(True)), excel)
+def cell_text(v: Column, separator: str, excel: bool) -> Column:
+    """A cell as it stands in a file."""
+    if excel:
+        v = F.when(F.substring(v, 1, 1).isin(*_FORMULA), F.concat(F.lit("'"), v)).otherwise(v)
+    quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(v.rlike(f'[{separator}"\\n\\r]'), quoted).otherwise(v)
+
+
+def csv_line(head: list[str], excel: bool = False) -> str:
+    """The first line of a file, with the mark of the encoding for spreadsheets."""
+    separator = ";" if excel else ","
+    return "\ufeff" * excel + separator.join(csv_cell(excel_safe(x) if excel else x, separator) for x in head)
+
+
+def write_lines(lines: DataFrame, path: str, head: str | None = None, end: str = "\n", one_file: bool = True) -> int:
+    """Write the ordered column ``line`` and return the number of rows.
+
+    Tasks write part files, in order of their names. ``one_file`` then joins them, bytes by bytes, behind the head; without it
+    the folder of parts is left at the path, with the head as a part before all others.
+    """
+    spark, seen = lines.sparkSession, Observation()
+    parts = f"{path}.parts-{uuid.uuid4().hex}" if one_file else path
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).select("line").write.option("lineSep", end).text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(conf)
+    if fs.getClass().getSimpleName() == "LocalFileSystem":
+        fs = fs.getRawFileSystem()  # no file of checksums beside it
+    first = jvm.org.apache.hadoop.fs.Path(path) if one_file else jvm.org.apache.hadoop.fs.Path(folder, "part-00000")
+    out = fs.create(first, True)
+    try:
+        if head is not None:
+            out.write((head + end).encode())
+        if one_file:
+            names = sorted(str(f.getPath()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+            for name in names:
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+    if one_file:
+        fs.delete(folder, True)
+    return seen.get["n"]
+
+
+def export_csv(events: EventSet, df: DataFrame, path: str, fields: list[str] = [], zone: str = "UTC", excel: bool = False, sources: DataFrame | None = None, one_file: bool = True) -> int:
+    separator = ";" if excel else ","
+    own = rows(events, df, fields, zone, sources)
+    lines = own.select(F.array_join(F.transform("cells", lambda v: cell_text(v, separator, excel)), separator).alias("line"))
+    return write_lines(lines, path, csv_line(header(fields, zone), excel), "\r\n", one_file)
 
 
 def json_rows(events: EventSet, df: DataFrame, zone: str = "UTC", sources: DataFrame | None = None) -> DataFrame:
+    """line: each event as a JSON object, in order. A field with one value is a text, one with several a list."""
     out = df
     if sources is not None:
-        out = out.join(F.broadcast(sources.select("source_id", F.col("sha256").alias("_sha"), F.col("path").alias("_path"))), "source_id", "left")
-    sha, file = ("_sha", "_path") if sources is not None else (F.lit("").alias("_sha"), F.col("source").alias("_path"))
-    return out.select(local_text(F.col("ts_ft"), zone).alias("_local"), iso_text(F.col("ts_ft")).alias("_utc"), sha, file, "id", "computer", "channel", "provider", "event_id", "level", "user_sid", F.conv(F.hex("record_id"), 16, 10).alias("record_id"), flag_names(F.col("flags"), EXPORTED_FLAGS).alias("flags"), "f").orderBy("id")
+        out = out.join(sources.select("source_id", F.col("sha256").alias("_sha"), F.col("path").alias("_path")), "source_id", "left")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    sha, file = (text(F.col("_sha")), text(F.col("_path"))) if sources is not None else (F.lit(""), text(F.col("source")))
+    record = F.struct(
+        local_text(F.col("ts_ft"), zone).alias("time"), iso_text(F.col("ts_ft")).alias("time_utc"), "computer", "channel", "provider", "event_id", "level", "user_sid",
+        F.conv(F.hex("record_id"), 16, 10).cast("decimal(20,0)").alias("record_id"), file.alias("source_file"), sha.alias("source_sha256"), flag_names(F.col("flags"), EXPORTED_FLAGS).alias("flags"),
+    )
+    listed = lambda xs: F.to_json(xs, {"ignoreNullFields": "false"})
+    bare = lambda xs: F.substring(xs, F.lit(2), F.length(xs) - 2)
+    pair = lambda e: F.concat(bare(listed(F.array(e["key"]))), F.lit(":"), F.when(F.size(e["value"]) == 1, bare(listed(e["value"]))).otherwise(listed(e["value"])))
+    data = F.array_join(F.transform(F.map_entries(F.coalesce("f", F.create_map().cast("map<string,array<string>>"))), pair), ",")
+    whole = listed(record)
+    return out.orderBy("id").select(F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(',"data":{'), data, F.lit("}}")).alias("line"))
 
 
-def export_jsonl(events: EventSet, df: DataFrame, path: str, zone: str = "UTC", sources: DataFrame | None = None) -> int:
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        for r in json_rows(events, df, zone, sources).toLocalIterator(True):
-            data = {k: v[0] if len(v) == 1 else v for k, v in (r["f"] or {}).items()}
-            record = {
-                "time": r["_local"], "time_utc": r["_utc"], "computer": r["computer"], "channel": r["channel"], "provider": r["provider"], "event_id": r["event_id"], "level": r["level"], "user_sid": r["user_sid"],
-                "record_id": int(r["record_id"]) if r["record_id"] is not None else None, "source_file": r["_path"] or "", "source_sha256": r["_sha"] or "", "flags": r["flags"], "data": data,
-            }
-            f.write(json.dumps(record, ensure_ascii=False) + "\n")
-            n += 1
-    return n
+def export_jsonl(events: EventSet, df: DataFrame, path: str, zone: str = "UTC", sources: DataFrame | None = None, one_file: bool = True) -> int:
+    return write_lines(json_rows(events, df, zone, sources), path, one_file=one_file)
 
 
 def column_letters(n: int) -> str:
@@ -178,12 +224,30 @@ def detection_rows(run, zone: str = "UTC") -> DataFrame:
 
 def export_detections(run, path: str, excel: bool = False, zone: str = "UTC") -> int:
     """One row per rule with hits, with author and licence."""
+    separator = ";" if excel else ","
     head = [c.format(zone=zone_label(zone)) for c in DETECTION_COLUMNS]
-    return write_csv(path, head, (r["cells"] for r in detection_rows(run, zone).orderBy("rule").toLocalIterator()), excel)
+    lines = detection_rows(run, zone).orderBy("rule").select(F.array_join(F.transform("cells", lambda v: cell_text(v, separator, excel)), separator).alias("line"))
+    return write_lines(lines, path, csv_line(head, excel), "\r\n")
+
+
+# What the report says of each source file.
+INFO_COLUMNS = ("File", "Size", "SHA-256", "Version", "Dirty", "Chunks (header / physical)", "Empty", "Beyond header: new / stale", "CRC header / data", "Tail, bytes", "Events", "Carved", "Copies merged", "First", "Last", "Record flags", "Path")
+
+
+def info_rows(sources: DataFrame, flags: DataFrame, zone: str = "UTC") -> DataFrame:
+    """source_id, and cells in the order of INFO_COLUMNS; flags: (source, flag, count)."""
+    named = flags.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flag", "count"))), lambda x: F.concat_ws(" ", x["flag"], x["count"].cast("string"))), ", ").alias("_flags"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("—"))
+    two = lambda a, b: F.concat(text(F.col(a)), F.lit(" / "), text(F.col(b)))
+    cells = [
+        F.col("source"), F.col("size"), F.nullif(F.coalesce("sha256", F.lit("")), F.lit("")), F.col("version"), F.when(F.col("header").bitwiseAND(2) != 0, "yes").otherwise("no"), two("chunks", "physical_chunks"), F.col("empty_chunks"), two("beyond_new", "beyond_stale"),
+        two("header_crc_chunks", "data_crc_chunks"), F.col("tail"), F.col("records"), F.col("carved"), F.col("copies"), local_text(F.col("first_ft"), zone), local_text(F.col("last_ft"), zone), F.nullif("_flags", F.lit("")), F.col("path"),
+    ]
+    return sources.join(named, "source", "left").select("source_id", F.array(*map(text, cells)).alias("cells"))
 
 
-def export_info(pairs: list[tuple[str, str]], path: str) -> int:
-    with open(path, "w", encoding="utf-8") as f:
-        for k, v in pairs:
-            f.write("\t".join(re.sub(r"[\t\r\n]+", " ", x) for x in (k, v)) + "\n")
-    return len(pairs)
+def export_info(sources: DataFrame, flags: DataFrame, path: str, zone: str = "UTC") -> int:
+    """A table of the source files, separated by tabs."""
+    own = info_rows(sources, flags, zone).orderBy("source_id")
+    lines = own.select(F.array_join(F.transform("cells", lambda v: F.regexp_replace(v, r"[\t\r\n]+", " ")), "\t").alias("line"))
+    return write_lines(lines, path, "\t".join(INFO_COLUMNS))

@@ -40,7 +40,7 @@ def unique_labels(paths: list[str]) -> dict[str, str]:
     return out
 
 
-_CHUNKS = "path string, size bigint, sha256 string, header int, chunks int, failure string, tail bigint, chunk int, data binary"
+_CHUNKS = "path string, size bigint, sha256 string, header int, version string, chunks int, failure string, tail bigint, chunk int, data binary"
 
 
 def chunks(spark: SparkSession, paths: list[str], hash_sources: bool = True) -> DataFrame:
@@ -58,14 +58,14 @@ def chunks(spark: SparkSession, paths: list[str], hash_sources: bool = True) ->
                     yield _batch([head | {"failure": str(e)}])
                     continue
                 body = len(data) - header.header_size
-                head |= {"header": header.crc_ok | header.dirty << 1 | header.full << 2, "chunks": header.chunks, "tail": max(0, body) % evtx.CHUNK}
+                head |= {"header": header.crc_ok | header.dirty << 1 | header.full << 2, "version": f"{header.major}.{header.minor}", "chunks": header.chunks, "tail": max(0, body) % evtx.CHUNK}
                 if body < evtx.CHUNK:
                     yield _batch([head])
                 for k in range(max(0, body) // evtx.CHUNK):
                     at = header.header_size + k * evtx.CHUNK
                     yield _batch([head | {"chunk": k, "data": bytes(data[at : at + evtx.CHUNK])}])
 
-    schema = [("path", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("header", pa.int32()), ("chunks", pa.int32()), ("failure", pa.string()), ("tail", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())]
+    schema = [("path", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("header", pa.int32()), ("version", pa.string()), ("chunks", pa.int32()), ("failure", pa.string()), ("tail", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())]
 
     def _batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in schema], names=[n for n, _ in schema])
@@ -229,11 +229,17 @@ def source_stats(parsed: DataFrame, files: DataFrame, own: DataFrame, copies: Da
     flags = F.col("flags")
     bit = lambda n: flags.bitwiseAND(F.lit(BIT[n])) != 0
     events = parsed.where("kind = 'event'").groupBy("path").agg(F.count("*").alias("records"), F.count_if(bit("carved")).alias("carved"), F.min("ts_ft").alias("first_ft"), F.max("ts_ft").alias("last_ft"))
-    spots = parsed.where("kind = 'chunk'").groupBy("path").agg(F.count("*").alias("physical_chunks"), F.count_if("empty").alias("empty_chunks"), F.count_if(bit("headerCrcMismatch") | bit("crcMismatch")).alias("crc_chunks"))
+    chunk = parsed.where("kind = 'chunk'").join(files.select("path", "chunks").distinct(), "path").withColumn("beyond", F.col("chunk") >= F.col("chunks"))
+    live = chunk.where("not beyond").groupBy("path").agg(F.max("last_id").alias("live_id"))
+    chunk = chunk.join(live, "path", "left").withColumns({"beyond": F.col("beyond") & F.col("valid") & (F.col("live") > 0), "stale": F.col("last_id") <= F.coalesce("live_id", F.lit(-1))})
+    spots = chunk.groupBy("path").agg(
+        F.count("*").alias("physical_chunks"), F.count_if(~F.col("valid")).alias("empty_chunks"), F.count_if(F.col("beyond") & ~F.col("stale")).alias("beyond_new"), F.count_if(F.col("beyond") & F.col("stale")).alias("beyond_stale"),
+        F.count_if(F.col("valid") & bit("headerCrcMismatch")).alias("header_crc_chunks"), F.count_if(F.col("valid") & bit("crcMismatch")).alias("data_crc_chunks"),
+    )
     merged = copies.groupBy("path").agg(F.count("*").alias("copies"))
     out = own.join(files, "path", "left").join(events, "path", "left").join(spots, "path", "left").join(merged, "path", "left")
-    counts = ("records", "carved", "physical_chunks", "empty_chunks", "crc_chunks", "copies")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumn("beyond_chunks", F.greatest(F.lit(0), F.col("physical_chunks") - F.coalesce("chunks", F.lit(0))))
+    counts = ("records", "carved", "physical_chunks", "empty_chunks", "beyond_new", "beyond_stale", "header_crc_chunks", "data_crc_chunks", "copies")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
 
 
 def flag_counts(events: DataFrame) -> DataFrame:
