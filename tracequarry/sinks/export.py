@@ -83,8 +83,6 @@ def write_lines(lines: DataFrame, path: str, head: str | None = None, end: str =
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(parts)
     fs = folder.getFileSystem(conf)
-    if fs.getClass().getSimpleName() == "LocalFileSystem":
-        fs = fs.getRawFileSystem()  # no file of checksums beside it
     first = jvm.org.apache.hadoop.fs.Path(path) if one_file else jvm.org.apache.hadoop.fs.Path(folder, "part-00000")
     out = fs.create(first, True)
     try:
