@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracequarry import presets
-from tracequarry.functions import net, text
+from tests_support import inside
+from tracequarry.functions import text
 from tracequarry.functions.timeparse import UNIX_EPOCH, iso, parse_time, zone_label
 from tracequarry.model import EVENTS, EventSet
 from tracequarry.operators import engine
@@ -123,7 +124,7 @@ def holds(e, row):
             lx = x.lower()
             test = {
                 "=": lambda v: eq(v, x), "==": lambda v: mask(v, x) if "*" in x or "?" in x else v == x, "contains": lambda v: lx != "" and lx in v.lower(), "startswith": lambda v: lx != "" and v.lower().startswith(lx),
-                "endswith": lambda v: lx != "" and v.lower().endswith(lx), "like": lambda v: lx != "" and mask(v, x), "matches": lambda v: re.search(x, v, re.I) is not None, "cidr": lambda v: net.inside(v, net.network(x)),
+                "endswith": lambda v: lx != "" and v.lower().endswith(lx), "like": lambda v: lx != "" and mask(v, x), "matches": lambda v: re.search(x, v, re.I) is not None, "cidr": lambda v: inside(v, x),
                 "<": lambda v: (n := number(v)) is not None and n < number(x), ">=": lambda v: (n := number(v)) is not None and n >= number(x),
             }
             if op in ("!=", "not contains"):

@@ -115,17 +115,17 @@ def position(df: DataFrame, id: int) -> DataFrame:
 class Ranked:
     """Events written in ranges of their id, with ranges(file, first, last, n): a page reads the files it needs, a place is a sum and one file."""
 
+    rows: DataFrame
     ranges: DataFrame
 
     @staticmethod
     def of(df: DataFrame) -> Ranked:
         rows = stored(df.repartitionByRange("id").sortWithinPartitions("id"), "ranked")
         each = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-        return Ranked(stored(each.coalesce(1), "ranges"))
+        return Ranked(rows, stored(each.coalesce(1), "ranges"))
 
     def _read(self, files: list[str]) -> DataFrame:
-        spark = self.ranges.sparkSession
-        return spark.read.parquet(*files) if files else spark.read.parquet(self.ranges.select("file").first()[0]).limit(0)
+        return self.rows.sparkSession.read.schema(self.rows.schema).parquet(*files) if files else self.rows.limit(0)
 
     def page(self, after: int | None = None, size: int = 256) -> DataFrame:
         """The next events after an id; each file that has any gives one at least, so that few rows of ranges tell the files."""
