@@ -222,6 +222,73 @@ def test_near_copies_of_a_long_line(spark):
     assert removed(spark, rows) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_families_of_near_copies(spark):
+    """Of variants of one line, those that brute force links with an earlier one go, nearly all; no other line goes."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 10))) for _ in range(2000)]
+    for n, many in ((10, 150), (20, 150), (40, 120)):
+        base = rng.choices(vocabulary, k=n)
+        family = []
+        for _ in range(many):
+            line = list(base)
+            for p in rng.sample(range(n), rng.randrange(1, n // 5 + 2)):
+                line[p] = rng.choice(vocabulary)
+            family.append(line)
+        find, join = union_find(many)
+        for i in range(many):
+            for j in range(i):
+                if edit_distance(family[i], family[j]) <= n // 5:
+                    join(i, j)
+        should = many - len({find(i) for i in range(many)})
+        went = sum(removed(spark, [(i, " ".join(w), "s") for i, w in enumerate(family)]).values())
+        assert 0.95 * should <= went <= should, (n, went, should)
+
+
+def test_pairs_among_many_lines(spark):
+    """Planted pairs of 20 words out of 2,000 beside 200,000 lines of the same words, up to the least similarity."""
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 10))) for _ in range(2000)]
+    rows, planted = [(i, " ".join(rng.choices(vocabulary, k=20)), "s") for i in range(200_000)], defaultdict(list)
+    for edits in (1, 2, 4):
+        for _ in range(200):
+            line = rng.choices(vocabulary, k=20)
+            near = list(line)
+            for p in rng.sample(range(20), edits):
+                near[p] = rng.choice(vocabulary)
+            planted[edits].append(len(rows) + 1)
+            rows += [(len(rows), " ".join(line), "s"), (len(rows) + 1, " ".join(near), "s")]
+    rng.shuffle(rows)
+    gone = {d for d, n in removed(spark, rows).items() if n}
+    shares = {edits: sum(d in gone for d in ids) / len(ids) for edits, ids in planted.items()}
+    assert min(shares.values()) >= 0.95, shares
+    assert len(gone) <= 600
+
+
+def test_large_groups_are_parted(spark, monkeypatch):
+    """The steps for groups of more than GROUP units, with a small GROUP: planted pairs beside many lines with the same long pair of words."""
+    monkeypatch.setattr(lines, "GROUP", 8)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 10))) for _ in range(300)]
+
+    def own():
+        line = rng.choices(vocabulary, k=20)
+        at = rng.randrange(18)
+        line[at : at + 2] = "internationalisation", "responsibilities"
+        return line
+
+    rows, planted = [(i, " ".join(own()), "s") for i in range(3000)], []
+    for _ in range(200):
+        line = own()
+        near = list(line)
+        for p in rng.sample([p for p in range(20) if len(line[p]) < 12], rng.randrange(1, 4)):
+            near[p] = rng.choice(vocabulary)
+        planted.append(len(rows) + 1)
+        rows += [(len(rows), " ".join(line), "s"), (len(rows) + 1, " ".join(near), "s")]
+    gone = {d for d, n in removed(spark, rows).items() if n}
+    print(sum(d in gone for d in planted))
+    assert gone <= set(planted) and sum(d in gone for d in planted) >= 0.95 * len(planted)
+
+
 def test_planted_edits_are_found(spark):
     rng = random.Random(6)
     fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
