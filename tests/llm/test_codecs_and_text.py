@@ -168,7 +168,7 @@ def test_secrets_of_rows(spark):
 
 
 def test_license_words_and_phrases():
-    scan = licenses.Scanner()
+    scan = licenses.Scanner(licenses.templates())
     text = "Under the GNU general-public LICENSE; apache\nlicense ÀB mit license cc by, CC-BY mitlicense"
     own = licenses.words(text.encode())
     assert own == [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))]
@@ -183,8 +183,8 @@ def test_matching_statistics(notices, text):
     ends = {}
     for end, n, state in a.matches(text, 1):
         ends[end] = n
-        for number, at in a.ends[state].items():
-            assert notices[number][at - n : at] == text[end - n : end]
+        same = {(k, at) for k, own in enumerate(notices) for at in range(n, len(own) + 1) if own[at - n : at] == text[end - n : end]}
+        assert a.ends[state] == same
     for end in range(1, len(text) + 1):
         best = max((n for n in range(end + 1) if n == 0 or inside(text[end - n : end])), default=0)
         longer = end < len(text) and best and any(inside(text[end - best : end + 1]) for _ in (0,))
@@ -202,6 +202,54 @@ def test_license_spans(spark):
     assert got[6]["base_labels"] == "apache" and (got[6]["n_base"], got[6]["first_word"], got[6]["last_word"]) == (3, 3, 19)
 
 
+def test_whole_licence_texts(spark):
+    """A body without any base phrase gets its label, edited or within other words; prose that shares its phrases gets none."""
+    known = licenses.templates()
+    body = {label: known[label][-1] for label in ("mit", "isc", "zlib", "bsd", "unlicense", "boost", "mpl")}
+    noise = " ".join(f"word{i}" for i in range(400))
+
+    def edited(text):
+        words = text.split()
+        for i in range(20, len(words), 40):
+            words[i] = "changed"
+        return " ".join(words)
+
+    # the text of mpl names the GNU General Public License itself
+    rows = [(k, "gpl,mpl" if label == "mpl" else label, f"{noise} {edited(text)} {noise}") for k, (label, text) in enumerate(sorted(body.items()))]
+    rows += [(90, "", "The software is provided as is, and any person may obtain a copy of this software. " * 30), (91, "apache", known["apache"][-1]), (92, "gpl", known["gpl"][-2])]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, want string, text string")).collect()}
+    for k, want, text in rows:
+        assert got[k]["labels"] == want, (want, got[k]["labels"])
+        if k < 90 and want != "gpl,mpl":
+            assert got[k]["base_labels"] == "" and got[k]["score"] > 0.8 and 390 <= min(s["start"] for s in got[k]["spans"]) <= 460
+    assert got[91]["score"] == got[92]["score"] == 1.0
+
+
+def plain_chain(ids, template, least, skip):
+    """Most words covered by a chain of matches that no word on the right or left extends, over all ordered choices."""
+    parts = []
+    for i in range(len(ids)):
+        for j in range(len(template)):
+            n = 0
+            while i + n < len(ids) and j + n < len(template) and ids[i + n] == template[j + n]:
+                n += 1
+            if n >= least and (i == 0 or j == 0 or ids[i - 1] != template[j - 1]):
+                parts.append((i, i + n, j, j + n))
+    return max((hi - lo for lo, hi, _, _ in parts), default=0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=6, max_size=30), st.lists(st.integers(0, 6), max_size=60))
+def test_chains_cover_no_less_than_one_match(template, text):
+    scan = licenses.Scanner({"x": (" ".join(f"w{i}" for i in template),)}, least=3)
+    ids = scan.numbers([f"w{i}".encode() for i in text])
+    spans = scan.spans(ids)
+    longest = plain_chain([f"w{i}" for i in text], [f"w{i}" for i in template], 3, 6)
+    assert (not spans) == (longest < 3)
+    for label, share, lo, hi in spans:
+        assert label == "x" and round(share * len(template)) >= longest and 0 <= lo < hi <= len(text) and share <= 1
+
+
 # quality
 
 

@@ -1,13 +1,15 @@
-"""License scans: matching statistics against a generalised suffix automaton of licence notices.
+"""License scans: matching statistics against a generalised suffix automaton of licence texts and notices.
 
-The automaton holds every run of words of every notice. A document's words stream through it; matches that
-cannot be made longer are chained, per notice, in order of both texts, and a chain's share of the
-notice's words is its coverage. A document carries a notice's label from COVERED on.
+The automaton holds every run of words of every template: whole public licence texts, and the notices that point to one.
+A document's words stream through it where LEAST words in a row also stand in a template; matches that cannot be made
+longer are chained, per template and with every place where it has them, in order of both texts, and a chain's share of the
+template's words is its coverage. A document carries a template's label from COVERED on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ NOTICES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
 }
+#: Files of whole licence texts, beside this module: label, two hyphens and a name.
+TEXTS = "licence_texts"
 #: Least words of a match, most words skipped between two matches of a chain, and coverage that gives a label.
 LEAST, SKIP, COVERED = 4, 6, 0.6
 
@@ -52,28 +56,37 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_SPACE).split()
 
 
+def templates() -> dict[str, tuple[str, ...]]:
+    """Notices and whole licence texts by label."""
+    out = dict(NOTICES)
+    for file in sorted(files(__package__).joinpath(TEXTS).iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            label = file.name.split("--")[0]
+            out[label] = (*out.get(label, ()), file.read_text("utf-8"))
+    return out
+
+
 class Automaton:
-    """Generalised suffix automaton of word-number sequences; each state knows the sequences that end in it."""
+    """Generalised suffix automaton of word-number sequences; each state knows all places (sequence, end) where its words end."""
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length, self.ends = [-1], [0], [set()]
         for number, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, at + 1)
+                self.ends[last].add((number, at + 1))
         for state in sorted(range(len(self.link)), key=self.length.__getitem__, reverse=True):
             if state:
-                for number, at in self.ends[state].items():
-                    own = self.ends[self.link[state]]
-                    own[number] = min(own.get(number, at), at)
+                self.ends[self.link[state]] |= self.ends[state]
+        self.ends[0] = set()
 
     def _copy(self, state: int, length: int) -> int:
         self.next.append(dict(self.next[state]))
         self.link.append(self.link[state])
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.link) - 1
 
     def _extend(self, last: int, word: int) -> int:
@@ -87,7 +100,7 @@ class Automaton:
         self.next.append({})
         self.link.append(0)
         self.length.append(self.length[last] + 1)
-        self.ends.append({})
+        self.ends.append(set())
         new, p = len(self.link) - 1, last
         while p >= 0 and word not in self.next[p]:
             self.next[p][word] = new
@@ -123,7 +136,7 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, notices: dict[str, tuple[str, ...]] = NOTICES, least: int = LEAST, skip: int = SKIP, covered: float = COVERED) -> None:
+    def __init__(self, notices: dict[str, tuple[str, ...]], least: int = LEAST, skip: int = SKIP, covered: float = COVERED) -> None:
         self.least, self.skip, self.covered = least, skip, covered
         self.number: dict[bytes, int] = {}
         number = lambda text: [self.number.setdefault(w, len(self.number)) for w in words(text.encode())]
@@ -132,6 +145,11 @@ class Scanner:
         self.phrases = [(number(p), label) for p, label in PHRASES]
         self.sizes = [len(s) for s in sequences]
         self.automaton = Automaton(sequences)
+        self.runs = np.unique(np.concatenate([self._runs(np.array(s, np.int64)) for s in sequences]))
+
+    def _runs(self, ids: np.ndarray) -> np.ndarray:
+        """A hash of each run of least words."""
+        return common.rolling(common.mixed(ids.astype(np.uint64)), self.least, common.odd_weights(self.least))
 
     def numbers(self, own: list[bytes]) -> np.ndarray:
         get = self.number.get
@@ -149,13 +167,12 @@ class Scanner:
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(label, coverage, first word, end) of the best chain of each notice."""
-        known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False].astype(np.int8)))
+        known = np.flatnonzero(np.diff(np.r_[False, np.isin(self._runs(ids), self.runs), False].astype(np.int8)))
         parts: dict[int, list[tuple[int, int, int, int]]] = {}
         for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
-            if b - a >= self.least:
-                for end, n, state in self.automaton.matches(ids[a:b].tolist(), self.least):
-                    for number, at in self.automaton.ends[state].items():
-                        parts.setdefault(number, []).append((a + end - n, a + end, at - n, at))
+            for end, n, state in self.automaton.matches(ids[a : b + self.least - 1].tolist(), self.least):
+                for number, at in self.automaton.ends[state]:
+                    parts.setdefault(number, []).append((a + end - n, a + end, at - n, at))
         out = []
         for number, own in parts.items():
             best = (0, 0, 0)
@@ -176,20 +193,23 @@ class Scanner:
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, coverage: double, start: long, end: long>>"
 
 
-def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), notices: dict[str, tuple[str, ...]] = NOTICES) -> DataFrame:
+def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Licence findings of each whole text: base phrases, labels, the best coverage and the covered spans in words.
 
+    notices: templates by label; templates() where none are given.
+
     A null or empty text has no words, empty labels and score 0. Texts are read whole, however long. Repeated rows give repeated
     results, and an empty table an empty one.
     """
     common.small_batches(df.sparkSession)
+    given = templates() if notices is None else notices
     own_names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     kept, head = common.kept_names(df, keep, own_names)
     span = pa.list_(pa.struct([("label", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span]
 
     def start():
-        scan = Scanner(notices)
+        scan = Scanner(given)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = []
