@@ -225,8 +225,8 @@ def test_whole_licence_texts(spark):
     assert got[91]["score"] == got[92]["score"] == 1.0
 
 
-def plain_chain(ids, template, least, skip):
-    """Most words covered by a chain of matches that no word on the right or left extends, over all ordered choices."""
+def longest_match(ids, template, least):
+    """Words of the longest match by trying all pairs of places."""
     parts = []
     for i in range(len(ids)):
         for j in range(len(template)):
@@ -244,7 +244,7 @@ def test_chains_cover_no_less_than_one_match(template, text):
     scan = licenses.Scanner({"x": (" ".join(f"w{i}" for i in template),)}, least=3)
     ids = scan.numbers([f"w{i}".encode() for i in text])
     spans = scan.spans(ids)
-    longest = plain_chain([f"w{i}" for i in text], [f"w{i}" for i in template], 3, 6)
+    longest = longest_match([f"w{i}" for i in text], [f"w{i}" for i in template], 3)
     assert (not spans) == (longest < 3)
     for label, share, lo, hi in spans:
         assert label == "x" and round(share * len(template)) >= longest and 0 <= lo < hi <= len(text) and share <= 1
