@@ -167,7 +167,9 @@ class Scanner:
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(label, coverage, first word, end) of the best chain of each notice."""
-        known = np.flatnonzero(np.diff(np.r_[False, np.isin(self._runs(ids), self.runs), False].astype(np.int8)))
+        own = self._runs(ids)
+        hit = self.runs[np.searchsorted(self.runs[:-1], own)] == own if len(self.runs) else np.zeros(len(own), bool)
+        known = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
         parts: dict[int, list[tuple[int, int, int, int]]] = {}
         for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
             for end, n, state in self.automaton.matches(ids[a : b + self.least - 1].tolist(), self.least):
