@@ -218,3 +218,17 @@ def test_push_down(spark, tmp_path):
     e = EventSet.from_dataframe(spark.read.parquet(str(tmp_path / "t")), id="id")
     plan = engine.run(e, "n = 3 and s == 17").filtered.select("n")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(n,3)" in plan and "EqualTo(s,17)" in plan
+
+
+def test_all_groups_where_a_caller_wants_them(spark, tmp_path):
+    """q07_group2 has no limit in its SQL, so it returns more groups than a list keeps; a list says that it is cut."""
+    import __spark_entry__ as entry
+
+    n = engine.MOST_GROUPS + 500
+    spark.range(n).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id as user_id", "'view' as event_type", "1.0D as value", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["q07_group2"](spark, str(tmp_path))
+    assert got.select("user_id").distinct().count() == got.count() == n
+    e = EventSet.from_dataframe(spark.read.parquet(str(tmp_path / "events.parquet")), id="event_id", time="ts")
+    short, whole = engine.run(e, "group by user_id"), engine.run(e, "group by user_id", most_groups=None)
+    assert short.groups.count() == engine.MOST_GROUPS and short.truncated() and whole.groups.count() == n and not whole.truncated()
+    assert engine.run(e, "group by user_id | limit 7", most_groups=None).groups.count() == 7
