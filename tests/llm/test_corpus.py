@@ -289,6 +289,33 @@ def test_large_groups_are_parted(spark, monkeypatch):
     assert gone <= set(planted) and sum(d in gone for d in planted) >= 0.95 * len(planted)
 
 
+@pytest.mark.parametrize("group", [lines.GROUP, 4])
+def test_no_link_is_lost(spark, monkeypatch, group):
+    """Exactly what brute force links: edits scattered so that few pairs of words stay, insertions, few words that recur, large groups."""
+    monkeypatch.setattr(lines, "GROUP", group)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 10))) for _ in range(60)]
+    families = []
+    for n in (4, 5, 6, 8, 9, 10, 14, 20, 24, 41):
+        base = rng.choices(vocabulary[: rng.choice((2, 60))], k=n)
+        for _ in range(24):
+            line, edits = list(base), rng.randrange(1, n // 5 + 2)
+            for p in sorted((i * n // edits for i in range(edits)), reverse=True):
+                line[p : p + rng.choice((1, 1, 1, 0))] = [rng.choice(vocabulary) for _ in range(rng.choice((1, 1, 1, 0, 2)))]
+            families.append(line)
+    families = [list(w) for w in dict.fromkeys(map(tuple, families)) if w]
+    find, join = union_find(len(families))
+    for i, a in enumerate(families):
+        for j, b in enumerate(families[:i]):
+            if abs(len(a) - len(b)) <= max(len(a), len(b)) // 5 and edit_distance(a, b) <= max(len(a), len(b)) // 5:
+                join(i, j)
+    first = {}
+    for i in range(len(families)):
+        first.setdefault(find(i), i)
+    gone = {d for d, n in removed(spark, [(i, " ".join(w), "s") for i, w in enumerate(families)]).items() if n}
+    assert gone == set(range(len(families))) - set(first.values()) and len(gone) > 50
+
+
 def test_planted_edits_are_found(spark):
     rng = random.Random(6)
     fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
