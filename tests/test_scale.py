@@ -135,6 +135,20 @@ def test_analytics_of_hot_keys_equal_the_plain_ones(spark, monkeypatch):
     assert all_of() == plain and all(plain)
 
 
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_slices_do_not_grow_with_the_table(spark, monkeypatch, n):
+    """More rows make more slices, not larger ones, and keys of more rows than a task takes are cut, whatever the number of partitions."""
+    monkeypatch.setattr(R, "TASK_ROWS", 200)
+    cut = []
+    monkeypatch.setattr(R, "stored", lambda df, label: cut.append((label, _stored(df, label))) or cut[-1][1])
+    rows = spark.range(n).select("id", F.when(F.col("id") % 4 > 0, F.lit(0)).otherwise(F.col("id") % 12).alias("k"), (F.col("id") * 7 % 101).alias("v"))
+    want = rows.withColumn("t", F.sum("v").over(Window.partitionBy("k").orderBy("id")))
+    got = R.running(rows, ["k"], ["id"], [R.Running("t", "sum", F.col("v"))], 20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    sliced = next(df for label, df in cut if label == "slices")
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 600 and sliced.groupBy("k").count().count() > 0
+
+
 def test_pages_and_places_read_few_files(spark):
     ids = sorted(random.Random(3).sample(range(100_000), 20_000))
     rows = spark.createDataFrame([(i, i * 2) for i in ids], "id long, v long").repartition(7)
