@@ -73,6 +73,28 @@ def test_forests_with_cycles_and_lost_parents(spark):
     assert proctree.trees(nodes.limit(0)).count() == 0 == proctree.depths(nodes.limit(0)).count()
 
 
+def test_few_rows_move_however_deep_the_chain(spark, monkeypatch):
+    """All levels of contraction together move a few times the nodes; doubling moves them all in each of 11 rounds."""
+    n, rows = 2000, []
+    monkeypatch.setattr(proctree, "FEW", 400)
+    real = proctree.stored
+
+    def counting(df, label):
+        out = real(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(proctree, "stored", counting)
+    got = proctree.depths(chain(spark, n)).collect()
+    assert {r["key"]: (r["depth"], r["root"]) for r in got} == {f"k{i}": (i, "k0") for i in range(n)}
+    assert sum(rows) < 7 * n
+
+
+def test_contracted_forests_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(proctree, "FEW", 200)
+    test_forests_with_cycles_and_lost_parents(spark)
+
+
 def test_siblings_in_order_of_time(spark):
     """A node without a start takes its earliest child's; children without one do not count."""
     rows = [("a", None, "a", "", None, 1), ("a1", "a", "a1", "", None, 2), ("a2", "a", "a2", "", 50, 3), ("b", None, "b", "", 10, 4), ("c", None, "c", "", 90, 5), ("z", None, "z", "", 0, 6)]
