@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -289,6 +291,27 @@ def test_large_groups_are_parted(spark, monkeypatch):
     assert gone <= set(planted) and sum(d in gone for d in planted) >= 0.95 * len(planted)
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a stage shuffled is gone when its table is written, and the session's setting is as before."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.name for d in manager.localDirsString() for f in pathlib.Path(d).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(common.CLEANED, None)
+    rows = common.stored(spark.range(20_000).repartition(3).groupBy((F.col("id") % 7000).alias("k")).count(), "counts")
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(common.CLEANED, None) == setting
+    assert rows.count() == 7000 and rows.where("count > 2").count() == 6000
+
+
+def test_keys_of_a_line_take_few_bytes(spark):
+    """Keys stay within KEY_BITS and units are numbered from small numbers, task by task."""
+    units = common.stored(lines.distinct_units(frame(spark, [(i, f"some words of line number {i} and others beside it {i * 7}", "s") for i in range(50)])), "units")
+    keys = units.select("u", F.explode(lines.keys_of(F.col("words"))).alias("g"))
+    most = keys.agg(F.max("g"), F.min("g"), F.max(F.col("u").bitwiseAND(F.lit((1 << 33) - 1))), F.countDistinct("u")).first()
+    assert 0 <= most[1] and most[0] < 1 << lines.KEY_BITS and most[2] < 50 and most[3] == 50
+
+
 @pytest.mark.parametrize("group", [lines.GROUP, 4])
 def test_no_link_is_lost(spark, monkeypatch, group):
     """Exactly what brute force links: edits scattered so that few pairs of words stay, insertions, few words that recur, large groups."""
