@@ -312,6 +312,25 @@ def test_keys_of_a_line_take_few_bytes(spark):
     assert 0 <= most[1] and most[0] < 1 << lines.KEY_BITS and most[2] < 50 and most[3] == 50
 
 
+def test_rare_pairs_come_first(spark):
+    """Lines that share long but frequent words alone meet under no key: pairs are ordered by how rare their words are."""
+    rows = [(i, " ".join(["transcontinental", "counterrevolutionary", "incomprehensibilities"] + [f"w{i}x{k}" for k in range(17)]), "s") for i in range(320)]
+    units = common.stored(lines.distinct_units(frame(spark, rows)), "units")
+    keys = lines.keys_of(F.col("words"), weights=lines.rarity(units))
+    assert not lines.shared_keys(units.select("u", F.explode(keys).alias("g"))).count()
+
+
+def test_lengths_too_far_apart_do_not_meet(spark):
+    """Of the units under a key those stay that have another one near enough in length, and every such pair stays."""
+    rng = random.Random(8)
+    spots = {(g, (rng.choice((rng.randrange(4, 40), rng.randrange(4, 4000))) << 51) + i) for i, g in enumerate(rng.choices(range(60), k=260))}
+    near = lambda a, b: abs(a - b) <= max(a, b) // 5
+    want = {(g, u) for g, u in spots if any(g == h and u != v and near(u >> 51, v >> 51) for h, v in spots)}
+    got = lines.shared_keys(spark.createDataFrame(sorted(spots), "g long, u long")).collect()
+    assert {(r["g"], r["u"]) for r in got} == want and 20 < len(want) < len(spots) - 20
+    assert all(near(r["before"] >> 51, r["u"] >> 51) and (r["g"], r["before"]) in want for r in got if r["before"] is not None)
+
+
 @pytest.mark.parametrize("group", [lines.GROUP, 4])
 def test_no_link_is_lost(spark, monkeypatch, group):
     """Exactly what brute force links: edits scattered so that few pairs of words stay, insertions, few words that recur, large groups."""
