@@ -331,6 +331,16 @@ def test_lengths_too_far_apart_do_not_meet(spark):
     assert all(near(r["before"] >> 51, r["u"] >> 51) and (r["g"], r["before"]) in want for r in got if r["before"] is not None)
 
 
+def test_largest_component_of_a_key_does_not_meet_itself(spark):
+    """A family under a key with a few others: only the others count as left to compare, and each pair of components meets once."""
+    roots = [1] * 30 + [40, 40, 50]
+    under = spark.createDataFrame([(7, u, r, 9, 0, 0) for u, r in enumerate(roots)], "g long, u long, root long, n int, even long, odd long")
+    rows = lines._mixed(under)
+    assert {(r["many"], r["others"]) for r in rows.collect()} == {(33, 3)} and rows.where("main").count() == 30
+    got = [(r["a"], r["b"]) for r in lines._meetings(rows).collect()]
+    assert sorted(got) == [(a, b) for a in range(33) for b in range(a + 1, 33) if roots[a] != roots[b]]
+
+
 @pytest.mark.parametrize("group", [lines.GROUP, 4])
 def test_no_link_is_lost(spark, monkeypatch, group):
     """Exactly what brute force links: edits scattered so that few pairs of words stay, insertions, few words that recur, large groups."""
