@@ -341,6 +341,46 @@ def test_largest_component_of_a_key_does_not_meet_itself(spark):
     assert sorted(got) == [(a, b) for a in range(33) for b in range(a + 1, 33) if roots[a] != roots[b]]
 
 
+def test_long_lines_that_share_a_pair_alone_are_not_compared(spark, monkeypatch):
+    """Long lines under one key whose words differ are left out by their parities before their words are read; near ones are not."""
+    rng, compared, verified = random.Random(31), [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, units: compared.append(pairs.count()) or verified(pairs, units))
+    own = lambda n: ["rarest", "couple"] + [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [own(n) for n in (90, 150, 240, 300) for _ in range(16)]
+    rows += [[w if i % 6 or i < 2 else f"edit{i}" for i, w in enumerate(line)] for line in rows[::16]]
+    assert removed(spark, [(i, " ".join(w), "s") for i, w in enumerate(rows)]) == {i: int(i >= 64) for i in range(68)}
+    assert 4 <= sum(compared) < 20
+
+
+def test_lines_that_share_a_passage_meet_no_more_often_in_parts(spark, monkeypatch):
+    """A large group is not parted where every further pair brings all of it together again."""
+    monkeypatch.setattr(lines, "GROUP", 8)
+    rng, work, meetings = random.Random(32), [], lines._meetings
+    monkeypatch.setattr(lines, "_meetings", lambda rows: work.append(rows.agg(F.coalesce(F.sum("others"), F.lit(0))).first()[0]) or meetings(rows))
+    common_words, passage = [f"c{i}" for i in range(30)], [f"passage{i}" for i in range(14)]
+    rows = [rng.choices(common_words, k=3) for _ in range(300)] + [passage + rng.choices(common_words, k=16) for _ in range(30)]
+    texts = list(dict.fromkeys(" ".join(w) for w in rows))
+    assert not any(removed(spark, [(i, t, "s") for i, t in enumerate(texts)]).values())
+    assert 30 * 29 <= sum(work) <= 14 * 30 * 29
+
+
+def test_classes_of_words_are_short_in_plans(spark):
+    """A plan with the classes of words, of which the driver keeps the text, is not long."""
+    units = common.stored(lines.distinct_units(frame(spark, [(0, "one line of a few words", "s")])), "units")
+    plan = units.select(lines.keys_of(F.col("words"), weights=lines.rarity(units)))._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 400_000
+
+
+def test_components_of_more_edges(spark):
+    """What more edges join is the same as the components of all edges, new nodes and none at all included."""
+    rng = random.Random(33)
+    edges = lambda n, most: spark.createDataFrame([(rng.randrange(most), rng.randrange(most)) for _ in range(n)], "a long, b long")
+    first, more, none = edges(60, 150), edges(40, 300), edges(0, 1)
+    rows = lambda df: {tuple(r) for r in df.select("node", "root").collect()}
+    for a, b in ((first, more), (first, none), (none, more)):
+        assert rows(common.joined(common.components(a), b)) == rows(common.components(a.union(b)))
+
+
 @pytest.mark.parametrize("group", [lines.GROUP, 4])
 def test_no_link_is_lost(spark, monkeypatch, group):
     """Exactly what brute force links: edits scattered so that few pairs of words stay, insertions, few words that recur, large groups."""
